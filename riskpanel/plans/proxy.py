@@ -157,6 +157,17 @@ def order_indicators(spark: SparkSession, sf_dir: str, starts: Sequence[str] = S
     return latest.join(counts, ["party_id", "startdate"])
 
 
+def policies(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES) -> DataFrame:
+    """Members with an outcome per start date, their attributes and prior-window
+    order indicators (the panel without its claim pivots)."""
+    ae = a_to_e(spark, sf_dir, starts).select("party_id", "startdate", "a_to_e_value")
+    return (ae.join(members(spark, sf_dir).drop("c_acctbal"), "party_id")
+              .join(order_indicators(spark, sf_dir, starts), ["party_id", "startdate"], "left")
+              .select("party_id", "startdate", fold_of("startdate", starts).alias("fold"), "plan", "state", "zip",
+                      "gender", "marketing_channel", "tobacco_usage_ind", "claims_3mos", "claims_6mos",
+                      "claims_12mos", "a_to_e_value"))
+
+
 def panel(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
           domains: dict[str, list[str]] | None = None) -> DataFrame:
     """The wide training panel, one row per (member, start date) with an outcome.
@@ -196,3 +207,11 @@ def score_pairs(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_
                .select("party_id", "startdate", fold_of("startdate", starts).alias("fold"), "plan", "state",
                        "y_test", "y_prior",
                        (F.lit(0.5) * F.col("y_prior") + F.lit(0.5) * F.col("state_prior")).alias("y_blend")))
+
+
+def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy underwriting score per member (``(acctbal + 1000) / 5000``), keyed
+    by a differently named column, as the reference's legacy table is."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("legacy_party_id"),
+                    ((F.col("c_acctbal") + F.lit(1000.0)) / F.lit(5000.0)).alias("legacy_score"))

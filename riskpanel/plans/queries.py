@@ -203,3 +203,6 @@ def stacked_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a96 = proxy.a_to_e(spark, sf_dir, ["1996-01-01"])
     a97 = proxy.a_to_e(spark, sf_dir, ["1997-01-01"]).select("party_id", "startdate", "plan", "a_to_e_value")
     return rounded(panel_ops.stack([a96, a97]))
+
+
+from riskpanel.plans import queries_profile  # noqa: E402,F401  (registers more queries)

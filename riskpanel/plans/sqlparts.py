@@ -207,3 +207,37 @@ panel_long AS (
   SELECT p.*, f.feature, b.value
   FROM pop p CROSS JOIN feats f
   LEFT JOIN blk b ON b.party_id = p.party_id AND b.startdate = p.startdate AND b.feature = f.feature)"""
+
+
+def population(starts: Sequence[str] = START_DATES) -> str:
+    """CTEs ending in ``pop``: one row per (member, start) with an outcome,
+    member attributes and prior-window order indicators (no pivots)."""
+    return f"""{LINES},
+{MEMBERS},
+{ae("ae", starts)},
+{indicators(starts)},
+pop AS (
+  SELECT a.party_id, a.startdate, {fold_expr("a.startdate", starts)} AS fold, m.plan, m.state, m.zip, m.gender,
+         i.marketing_channel, i.tobacco_usage_ind, i.claims_3mos, i.claims_6mos, i.claims_12mos,
+         a.a_to_e_value
+  FROM ae a JOIN members m USING (party_id)
+  LEFT JOIN ind i ON i.party_id = a.party_id AND i.startdate = a.startdate)"""
+
+
+SPARK_TYPE = ("CASE {t} WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+              "WHEN 'VARCHAR' THEN 'string' WHEN 'SMALLINT' THEN 'smallint' WHEN 'TINYINT' THEN 'tinyint' "
+              "WHEN 'FLOAT' THEN 'float' ELSE lower({t}) END")
+
+
+def band_case(expr: str, edges: Sequence[float], labels: Sequence[str], lower_open: bool = True) -> str:
+    """SQL form of ``functions.binning.band``."""
+    arms = []
+    if lower_open:
+        arms.append(f"WHEN {expr} < {float(edges[0])!r}::DOUBLE THEN '{labels[0]}'")
+        for i in range(1, len(edges)):
+            arms.append(f"WHEN {expr} < {float(edges[i])!r}::DOUBLE THEN '{labels[i]}'")
+    else:
+        for i in range(len(edges) - 1):
+            arms.append(f"WHEN {expr} >= {float(edges[i])!r}::DOUBLE AND {expr} < {float(edges[i + 1])!r}::DOUBLE "
+                        f"THEN '{labels[i]}'")
+    return "CASE " + " ".join(arms) + f" ELSE '{labels[-1]}' END"
