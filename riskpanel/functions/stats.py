@@ -22,8 +22,11 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
 def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
     """Pearson correlation from the six sufficient sums (sparse long form, zeros implicit)."""
     num = n * sxy - sx * sy
-    den = F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy)
-    return F.when(den > 0, num / den)
+    vx = n * sxx - sx * sx
+    vy = n * syy - sy * sy
+    # a constant side leaves only rounding noise in n·Σx² − (Σx)²: treat it as 0
+    ok = (vx > F.lit(1e-12) * n * sxx) & (vy > F.lit(1e-12) * n * syy)
+    return F.when(ok, num / (F.sqrt(vx) * F.sqrt(vy)))
 
 
 def _gammaincc(a: float, x: float) -> float:

@@ -33,10 +33,10 @@ def target_corr(long: DataFrame, rows: DataFrame, keys: Sequence[str], target: s
     e.g. all zero), matching a dense ``corrwith`` after ``fillna(0)``.
     """
     y = F.col(target).cast("double")
-    base = rows.select(*keys, y.alias("__y"))
+    base = rows.select(*keys, *[b for b in by if b not in keys], y.alias("__y"))
     stats = base.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"),
                                   F.sum("__y").alias("sy"), F.sum(F.col("__y") * F.col("__y")).alias("syy"))
-    sums = (long.join(base, list(keys))
+    sums = (long.select(*keys, "feature", "value").join(base, list(keys))
                 .groupBy(*by, "feature")
                 .agg(F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"),
                      F.sum(F.col("value") * F.col("__y")).alias("sxy")))

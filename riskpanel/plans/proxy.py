@@ -215,3 +215,30 @@ def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("legacy_party_id"),
                     ((F.col("c_acctbal") + F.lit(1000.0)) / F.lit(5000.0)).alias("legacy_score"))
+
+
+def feature_names(domains: dict[str, list[str]]) -> list[str]:
+    """Wide feature names of the three pivots, in panel order."""
+    from riskpanel.operators.panel import pivot_names
+    names = []
+    names += [n for _, _, n in pivot_names([f"CCSR_{m}mos" for m in WINDOWS], domains["CCSR_CATEGORY"])]
+    names += [n for _, _, n in pivot_names(["DRG_LoS"], domains["DRG"])]
+    names += [n for _, _, n in pivot_names([f"CCS_{m}mos" for m in WINDOWS], domains["CCS"])]
+    return names
+
+
+def claims_long(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
+                domains: dict[str, list[str]] | None = None) -> DataFrame:
+    """The long feature store ``(party_id, startdate, feature, value)``, non-zero
+    cells only, built straight from the claim tables (no wide pivot)."""
+    from riskpanel.operators.panel import features_long
+    domains = domains or code_domains(spark, sf_dir)
+    keys = ["party_id", "startdate"]
+    icd = diagnosis_long(spark, sf_dir, starts).where(F.col("CCSR_CATEGORY").isin(domains["CCSR_CATEGORY"]))
+    cpt = procedure_long(spark, sf_dir, starts)
+    parts = [
+        features_long(icd, keys, "CCSR_CATEGORY", [f"CCSR_{m}mos" for m in WINDOWS]),
+        features_long(cpt.where(F.col("DRG").isin(domains["DRG"])), keys, "DRG", ["DRG_LoS"]),
+        features_long(cpt.where(F.col("CCS").isin(domains["CCS"])), keys, "CCS", [f"CCS_{m}mos" for m in WINDOWS]),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
