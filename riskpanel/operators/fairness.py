@@ -162,3 +162,19 @@ def ablate_column(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     with_s = fit(list(categorical) + [sensitive]).withColumnRenamed("coef", "coef_with")
     without = fit(list(categorical)).withColumnRenamed("coef", "coef_without")
     return compare_coefficients(with_s, without, "feature", "coef_with", "coef_without", k=10_000)
+
+
+def class_table(df: DataFrame, key: str, cls: str, classes: Sequence[str], given: str = "key") -> DataFrame:
+    """Probability table ``(key, p_<class>...)`` from labelled rows.
+
+    ``given='key'``: P(class | key) = n(key, class) / n(key);
+    ``given='class'``: P(key | class) = n(key, class) / n(class).
+    Counts are one aggregate; the normalising window runs over the
+    (keys x classes) count table only.
+    """
+    c = (df.where(F.col(key).isNotNull() & F.col(cls).isNotNull())
+           .groupBy(key, F.col(cls).cast("string").alias("__c")).agg(F.count(F.lit(1)).alias("__n")))
+    part = Window.partitionBy(key) if given == "key" else Window.partitionBy("__c")
+    c = c.withColumn("__p", F.col("__n") / F.sum("__n").over(part))
+    return c.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col("__c") == F.lit(k), F.col("__p"))), F.lit(0.0))
+                                .alias(f"p_{k}") for k in classes])

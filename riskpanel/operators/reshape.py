@@ -61,7 +61,7 @@ def weighted_sample(df: DataFrame, n: int | None = None, frac: float | None = No
     row = cut.first()
     if row is None:  # fewer positive weights than n: all of them
         return keyed.where(F.col("__key").isNotNull()).drop("__key")
-    return keyed.where(F.col("__key") <= F.lit(row.__cut)).drop("__key")
+    return keyed.where(F.col("__key") <= F.lit(row[0])).drop("__key")
 
 
 def dummies(df: DataFrame, column: str, levels: Sequence[str] | None = None, drop: str | None = "first",

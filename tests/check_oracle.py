@@ -29,8 +29,12 @@ def main() -> None:
     for name in names or list(qs):
         t0 = time.time()
         if name not in sqls:
-            n = qs[name](spark, sf_dir).count()
-            print(json.dumps({"query": name, "rows_only": n, "sec": round(time.time() - t0, 2)}))
+            try:
+                n = qs[name](spark, sf_dir).count()
+                print(json.dumps({"query": name, "rows_only": n, "sec": round(time.time() - t0, 2)}))
+            except Exception as exc:
+                bad += 1
+                print(json.dumps({"query": name, "ok": False, "error": repr(exc)[:800]}))
             continue
         try:
             res = compare(spark, con, qs[name], sqls[name], sf_dir)
