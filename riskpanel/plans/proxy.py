@@ -242,3 +242,10 @@ def claims_long(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_
         features_long(cpt.where(F.col("CCS").isin(domains["CCS"])), keys, "CCS", [f"CCS_{m}mos" for m in WINDOWS]),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def training_frame(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES) -> DataFrame:
+    """The panel cleaned for modelling (kept plans, no zip / start date,
+    text as categories, numerics filled with 0)."""
+    from riskpanel.operators.cleaning import clean_fold
+    return clean_fold(panel(spark, sf_dir, starts), KEPT_PLANS, drop=["zip", "startdate"])

@@ -208,3 +208,4 @@ def stacked_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 from riskpanel.plans import queries_profile  # noqa: E402,F401  (registers more queries)
 from riskpanel.plans import queries_select  # noqa: E402,F401
 from riskpanel.plans import queries_fair  # noqa: E402,F401
+from riskpanel.plans import queries_ml  # noqa: E402,F401
