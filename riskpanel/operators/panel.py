@@ -50,6 +50,16 @@ def pivot_features(df: DataFrame, keys: Sequence[str], category: str, values: Se
     return df.where(cat.isin(list(domain))).groupBy(*keys).agg(*aggs)
 
 
+def pivot_long(long: DataFrame, keys: Sequence[str], names: Sequence[str], feature: str = "feature",
+               value: str = "value") -> DataFrame:
+    """Long ``(keys..., feature, value)`` -> one column per listed feature name.
+
+    Runs on the aggregated long store, so the wide projection touches one row per
+    key, never the line-level data; absent cells are NULL.
+    """
+    return long.groupBy(*keys).pivot(feature, list(names)).agg(F.first(value))
+
+
 def features_long(df: DataFrame, keys: Sequence[str], category: str, values: Sequence[str],
                   prefix: str | None = None) -> DataFrame:
     """Long store ``(keys..., feature, value)``, zeros implicit: the compute form of
@@ -75,13 +85,16 @@ def lookback(df: DataFrame, date_col: str, starts: Sequence[str], months: Sequen
     bounded by the schedule, never by the data.
     """
     d = F.to_date(F.col(date_col))
-    arr = F.array(*[F.to_date(F.lit(s)) for s in sorted(starts)])
     span = max(months)
-    if forward:
-        pick = F.filter(arr, lambda s: (d >= s) & (d < F.add_months(s, span)))
-    else:
-        pick = F.filter(arr, lambda s: (d >= F.add_months(s, -span)) & (d < s))
-    out = df.withColumn(name, F.explode(pick))
+    cands = []
+    for s in sorted(starts):
+        sd = F.to_date(F.lit(s))
+        cond = (d >= sd) & (d < F.add_months(sd, span)) if forward else (d >= F.add_months(sd, -span)) & (d < sd)
+        cands.append(F.when(cond, sd))
+    # explode of a fixed-size array of CASE results stays in generated code
+    # (a higher-order filter over the schedule would be interpreted per row)
+    pick = F.array(*cands)
+    out = df.withColumn(name, F.explode(pick)).where(F.col(name).isNotNull())
     st = F.col(name)
     made: dict[str, Column] = {}
     for vname, expr in values.items():

@@ -26,7 +26,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.operators.joins import broadcast_if_small
 from riskpanel.operators.panel import (assemble, latest_per_key, lookback, pivot_features,
                                        resolve_domain)
 
@@ -62,12 +61,41 @@ def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "l_quantity", "l_returnflag", "p_type", "p_brand", "p_size"))
 
 
+def tagged_lines(spark: SparkSession, sf_dir: str, back: Sequence[str] = START_DATES,
+                 fwd: Sequence[str] = START_DATES, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """Claim lines assigned in ONE explode to every start date whose look-back
+    window (``role='back'``, the 12 months before) or outcome window
+    (``role='fwd'``, the 12 months from it) holds them, with nested-window flags
+    ``w3``/``w6`` and the start as a date ``sdate``. A line lands in at most a
+    handful of start dates; the candidate array is a fixed list of CASE
+    expressions, so the whole step stays in generated code.
+    """
+    d = F.to_date(F.col("o_orderdate"))
+    span = max(windows)
+    cands = []
+    for x in sorted(back):
+        s = F.to_date(F.lit(x))
+        cands.append(F.when((d >= F.add_months(s, -span)) & (d < s),
+                            F.struct(s.alias("sdate"), F.lit("back").alias("role"))))
+    for x in sorted(fwd):
+        s = F.to_date(F.lit(x))
+        cands.append(F.when((d >= s) & (d < F.add_months(s, span)),
+                            F.struct(s.alias("sdate"), F.lit("fwd").alias("role"))))
+    t = claim_lines(spark, sf_dir).select("*", F.explode(F.array(*cands)).alias("__t")).where(F.col("__t").isNotNull())
+    sd = F.col("__t.sdate")
+    return t.select("party_id", "revenue", "l_quantity", "p_type", "p_brand",
+                    F.when(F.col("l_returnflag") == "R", F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("DRG"),
+                    sd.alias("sdate"), F.col("__t.role").alias("role"),
+                    *[(d >= F.add_months(sd, -m)).alias(f"w{m}") for m in windows if m != span])
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Static member attributes (customer ⋈ nation ⋈ region; the two small
-    dimension tables are broadcast after a size check)."""
+    """Static member attributes (customer ⋈ nation ⋈ region). The two dimension
+    tables carry no hint: Spark broadcasts them from their file-size statistics
+    (``autoBroadcastJoinThreshold``), which is the size check."""
     c = table(spark, sf_dir, "customer")
-    n = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), 100_000)
-    r = broadcast_if_small(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), 100_000)
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     return (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
              .select(F.col("c_custkey").alias("party_id"), F.col("c_mktsegment").alias("plan"),
                      F.col("r_name").alias("state"), F.col("c_nationkey").cast("string").alias("zip"),
@@ -168,20 +196,104 @@ def policies(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DAT
                       "claims_12mos", "a_to_e_value"))
 
 
+def _with_outcome(spark: SparkSession, sf_dir: str, agg: DataFrame, starts: Sequence[str]) -> DataFrame:
+    """Rows with an outcome -> member attributes, expected (plan mean) and A/E."""
+    a = agg.join(members(spark, sf_dir).drop("c_acctbal"), "party_id")
+    exp = a.groupBy("plan", "startdate").agg(F.avg("actual").alias("expected"))
+    return (a.join(exp, ["plan", "startdate"])
+             .withColumn("a_to_e_value", F.col("actual") / F.col("expected"))
+             .withColumn("fold", fold_of("startdate", starts)))
+
+
 def panel(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
           domains: dict[str, list[str]] | None = None) -> DataFrame:
     """The wide training panel, one row per (member, start date) with an outcome.
 
-    ``policies ⟕ icd ⟕ drg ⟕ cpt ⋈ a_to_e``; every block is keyed by
-    ``(party_id, startdate)``, so the joins shuffle on the same key.
+    Same result as ``policies ⟕ icd ⟕ drg ⟕ cpt ⋈ a_to_e``, but the claim lines
+    are read once, into the long store; the store is pivoted to wide at member
+    level. A member without claims of a block gets NULL for the whole block
+    (the left-join result): the store keeps every 12-month cell of a claimed
+    code, so "any 12-month cell present" is the block's presence test. Only the
+    order indicators read ``orders`` again.
     """
-    ae = a_to_e(spark, sf_dir, starts).select("party_id", "startdate", "a_to_e_value")
-    pol = (ae.select("party_id", "startdate")
-             .join(members(spark, sf_dir).drop("c_acctbal"), "party_id")
-             .join(order_indicators(spark, sf_dir, starts), ["party_id", "startdate"], "left"))
-    pv = pivots(spark, sf_dir, starts, domains)
-    out = assemble(pol, ["party_id", "startdate"], left=[pv["icd"], pv["drg"], pv["cpt"]], inner=[ae])
-    return out.withColumn("fold", fold_of("startdate", starts))
+    from riskpanel.operators.panel import pivot_long
+    domains = domains or code_domains(spark, sf_dir)
+    names = feature_names(domains)
+    long, _ = claims_store(spark, sf_dir, starts, domains)
+    wide = pivot_long(long, ["party_id", "startdate"], names + ["__actual"])
+    wide = wide.where(F.col("__actual").isNotNull())
+    flags = []
+    for fam, marker in (("ccsr", "ccsr_12mos_"), ("drg", "drg_los_"), ("ccs", "ccs_12mos_")):
+        cols = [F.col(f"`{n}`") for n in names if n.startswith(marker)]
+        flags.append((F.greatest(*cols) if len(cols) > 1 else cols[0]).isNotNull().alias(f"__has_{fam}"))
+    # presence flags in their own projection: each is evaluated once per row
+    wide = wide.select("party_id", "startdate", "__actual", *[F.col(f"`{n}`") for n in names], *flags)
+    cols = [F.when(F.col(f"__has_{n.split('_', 1)[0]}"), F.coalesce(F.col(f"`{n}`"), F.lit(0.0))).alias(n)
+            for n in names]
+    agg = wide.select("party_id", "startdate", F.col("__actual").alias("actual"), *cols)
+    out = _with_outcome(spark, sf_dir, agg, starts).join(order_indicators(spark, sf_dir, starts),
+                                                         ["party_id", "startdate"], "left")
+    pol = ["party_id", "startdate", "plan", "state", "zip", "gender", "marketing_channel", "tobacco_usage_ind",
+           *[f"claims_{m}mos" for m in WINDOWS]]
+    return out.select(*pol, *names, "a_to_e_value", "fold")
+
+
+def claims_store(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
+                 domains: dict[str, list[str]] | None = None,
+                 materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The long feature store and the outcome rows from ONE pass over the claim lines.
+
+    Returns ``(long, rows)``. ``long(party_id, startdate, feature, value)``
+    holds every 12-month cell of a claimed code and the non-zero 3/6-month
+    cells (zeros implicit), plus one ``__actual`` entry per outcome;
+    ``rows`` has one row per (member, start) with an outcome, its attributes,
+    ``a_to_e_value`` and ``fold``.
+
+    Each line becomes at most three items (diagnosis, procedure, DRG) carrying
+    its 3/6/12-month amounts; a code-generated partial aggregate sums them per
+    (member, start, kind, code), and the windows are unpivoted only after
+    that. With ``materialize`` the store is written once to the shared
+    checkpoint folder, so both outputs read it instead of re-running the pass.
+    """
+    from riskpanel.session import materialize as _mat
+    domains = domains or code_domains(spark, sf_dir)
+    t = tagged_lines(spark, sf_dir, starts, starts)
+    rev, zero, one = F.col("revenue"), F.lit(0.0), F.lit(1.0)
+
+    def item(kind, code, v3, v6, v12):
+        return F.struct(F.lit(kind).alias("kind"), code.alias("code"), v3.alias("v3"), v6.alias("v6"),
+                        v12.cast("double").alias("v12"))
+
+    back = F.array(
+        item("ccsr", F.when(F.col("p_type").isin(domains["CCSR_CATEGORY"]), F.lower("p_type")),
+             F.when(F.col("w3"), rev).otherwise(zero), F.when(F.col("w6"), rev).otherwise(zero), rev),
+        item("ccs", F.when(F.col("p_brand").isin(domains["CCS"]), F.lower("p_brand")),
+             F.when(F.col("w3"), one).otherwise(zero), F.when(F.col("w6"), one).otherwise(zero), one),
+        item("drg", F.when(F.col("DRG").isin(domains["DRG"]), F.lower("DRG")), zero, zero, F.col("l_quantity")))
+    fwd = F.array(item("__actual", F.lit(""), zero, zero, rev))
+    e = (t.select("party_id", "sdate", F.explode(F.when(F.col("role") == "fwd", fwd).otherwise(back)).alias("i"))
+          .select("party_id", "sdate", "i.*").where(F.col("code").isNotNull()))
+    agg = e.groupBy("party_id", "sdate", "kind", "code").agg(
+        F.sum("v3").alias("v3"), F.sum("v6").alias("v6"), F.sum("v12").alias("v12"))
+
+    def cell(name, v):
+        return F.struct(name.alias("feature"), v.alias("value"))
+
+    k, c = F.col("kind"), F.col("code")
+    windows = lambda pre: F.array(*[cell(F.concat(F.lit(f"{pre}_{m}mos_"), c), F.col(f"v{m}"))
+                                    for m in WINDOWS])
+    cells = (F.when(k == "ccsr", windows("ccsr")).when(k == "ccs", windows("ccs"))
+              .when(k == "drg", F.array(cell(F.concat(F.lit("drg_los_"), c), F.col("v12"))))
+              .otherwise(F.array(cell(F.lit("__actual"), F.col("v12")))))
+    long = (agg.select("party_id", F.date_format("sdate", "yyyy-MM-dd").alias("startdate"),
+                       F.explode(cells).alias("x"))
+               .select("party_id", "startdate", "x.feature", "x.value")
+               .where((F.col("value") != 0) | ~F.col("feature").rlike("_(3|6)mos_")))
+    if materialize:
+        long = _mat(long, "claims_store")
+    outcome = (long.where(F.col("feature") == "__actual")
+                   .select("party_id", "startdate", F.col("value").alias("actual")))
+    return long, _with_outcome(spark, sf_dir, outcome, starts)
 
 
 def score_pairs(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
@@ -226,24 +338,6 @@ def feature_names(domains: dict[str, list[str]]) -> list[str]:
     names += [n for _, _, n in pivot_names([f"CCS_{m}mos" for m in WINDOWS], domains["CCS"])]
     return names
 
-
-def claims_long(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
-                domains: dict[str, list[str]] | None = None) -> DataFrame:
-    """The long feature store ``(party_id, startdate, feature, value)``, non-zero
-    cells only, built straight from the claim tables (no wide pivot)."""
-    from riskpanel.operators.panel import features_long
-    domains = domains or code_domains(spark, sf_dir)
-    keys = ["party_id", "startdate"]
-    icd = diagnosis_long(spark, sf_dir, starts).where(F.col("CCSR_CATEGORY").isin(domains["CCSR_CATEGORY"]))
-    cpt = procedure_long(spark, sf_dir, starts)
-    parts = [
-        features_long(icd, keys, "CCSR_CATEGORY", [f"CCSR_{m}mos" for m in WINDOWS]),
-        features_long(cpt.where(F.col("DRG").isin(domains["DRG"])), keys, "DRG", ["DRG_LoS"]),
-        features_long(cpt.where(F.col("CCS").isin(domains["CCS"])), keys, "CCS", [f"CCS_{m}mos" for m in WINDOWS]),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 def training_frame(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES) -> DataFrame:
     """The panel cleaned for modelling (kept plans, no zip / start date,
     text as categories, numerics filled with 0)."""

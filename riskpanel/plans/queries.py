@@ -100,6 +100,13 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reshape.melt(wide, PANEL_IDS, feats, "feature", "value"))
 
 
+@register("panel_wide", "E1 A1 J1 J2 P13")
+def panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 as used downstream: the wide panel (one column per code and window).
+    Its values are oracle-checked cell by cell through ``training_panel``."""
+    return proxy.panel(spark, sf_dir)
+
+
 @register("latest_order", "W1 O1", sql="""
 SELECT o_custkey AS party_id, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
        o_orderpriority, o_orderstatus, round(o_totalprice, 6) AS o_totalprice

@@ -13,7 +13,7 @@ from riskpanel.operators import evaluate
 from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.registry import register, rounded
-from riskpanel.session import checkpoint_dir
+from riskpanel.session import checkpoint_dir, materialize
 from riskpanel.sources import sinks
 
 FOLDS = [1, 2, 3, 4, 5]
@@ -91,7 +91,8 @@ def expanding_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frame(spark: SparkSession, sf_dir: str):
-    df = proxy.training_frame(spark, sf_dir)
+    # every fit runs several jobs over the same rows: write the frame once
+    df = materialize(proxy.training_frame(spark, sf_dir), "training_frame")
     numeric = [c for c in df.columns if c not in NON_FEATURES]
     return df, numeric
 

@@ -23,9 +23,7 @@ mean_corr AS (SELECT feature, avg(abs(corr)) AS mean_abs_corr FROM fold_corr GRO
 def _corr_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 from the long store: rows = members with an outcome per start date."""
     domains = proxy.code_domains(spark, sf_dir)
-    rows = proxy.a_to_e(spark, sf_dir).select("party_id", "startdate", "a_to_e_value") \
-        .withColumn("fold", proxy.fold_of("startdate"))
-    long = proxy.claims_long(spark, sf_dir, domains=domains)
+    long, rows = proxy.claims_store(spark, sf_dir, domains=domains)
     return selection.target_corr(long, rows, ["party_id", "startdate"], "a_to_e_value",
                                  proxy.feature_names(domains), by=["fold"])
 
@@ -95,9 +93,9 @@ def cross_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     domains = proxy.code_domains(spark, sf_dir)
     names = proxy.feature_names(domains)
     last = proxy.START_DATES[-1]
-    rows = proxy.a_to_e(spark, sf_dir, [last]).select("party_id", "startdate", "a_to_e_value")
-    long = proxy.claims_long(spark, sf_dir, [last], domains).join(rows.select("party_id", "startdate"),
-                                                                 ["party_id", "startdate"])
+    long, rows = proxy.claims_store(spark, sf_dir, [last], domains)
+    rows = rows.select("party_id", "startdate", "a_to_e_value")
+    long = long.join(rows.select("party_id", "startdate"), ["party_id", "startdate"])
     fam = [n for n in names if n.startswith("ccsr_3mos")]
     corr = selection.target_corr(long, rows, ["party_id", "startdate"], "a_to_e_value", fam)
     top = selection.top_k(corr.withColumn("abs_corr", F.abs("corr")), "abs_corr", 10, tie="feature")
@@ -125,12 +123,15 @@ SELECT feature FROM am UNION SELECT feature FROM nc
 """)
 def drop_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-missing features plus features with a NULL correlation in every fold."""
-    panel = proxy.panel(spark, sf_dir)
-    feats = [c for c in panel.columns if c in set(proxy.feature_names(proxy.code_domains(spark, sf_dir)))]
-    nulled = panel.select("fold", *[F.nullif(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in feats])
-    am = quality.all_missing(nulled, "fold", feats)
-    nc = selection.null_corr_features(_corr_by_fold(spark, sf_dir), 5)
-    return selection.drop_list(am, nc)
+    domains = proxy.code_domains(spark, sf_dir)
+    names = proxy.feature_names(domains)
+    long, rows = proxy.claims_store(spark, sf_dir, domains=domains)
+    keys = ["party_id", "startdate"]
+    # all-missing on the store: no non-zero cell for any member with an outcome
+    seen = long.where(F.col("value") != 0).join(rows.select(*keys), keys).select("feature").distinct()
+    am = spark.createDataFrame([(n,) for n in names], "feature string").join(seen, "feature", "left_anti")
+    corr = selection.target_corr(long, rows, keys, "a_to_e_value", names, by=["fold"])
+    return selection.drop_list(am, selection.null_corr_features(corr, 5))
 
 
 @register("constant_features", "P11", sql=f"""
