@@ -68,9 +68,9 @@ def dummies(df: DataFrame, column: str, levels: Sequence[str] | None = None, dro
             prefix: str | None = None, dtype: str = "int") -> DataFrame:
     """One 0/1 column per level (sorted); ``drop='first'`` or a named level
     is left out. NULL and unseen values give all zeros."""
-    if levels is None:
-        levels = sorted(r[0] for r in df.select(F.col(column).cast("string")).where(F.col(column).isNotNull())
-                        .distinct().collect())
+    if levels is None:  # a category domain: bounded, checked
+        from riskpanel.operators.panel import resolve_domain
+        levels = resolve_domain(df, column)
     levels = list(levels)
     if drop == "first" and levels:
         levels = levels[1:]

@@ -26,8 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.operators.panel import (assemble, latest_per_key, lookback, pivot_features,
-                                       resolve_domain)
+from riskpanel.operators.panel import assemble, lookback, pivot_features
 
 # --- Fixed values of the proxy mapping --------------------------------------
 START_DATES = ["1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01"]  # folds 1-5
@@ -142,15 +141,23 @@ def procedure_long(spark: SparkSession, sf_dir: str, starts: Sequence[str] = STA
                      F.col("l_quantity").alias("DRG_LoS"))
 
 
-def code_domains(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
-    """Category domains from the code table (``part``), each with one unused code."""
+def code_domains(spark: SparkSession, sf_dir: str, max_size: int = 50_000) -> dict[str, list[str]]:
+    """Category domains from the code table (``part``), each with one unused code.
+
+    One distinct over (kind, code) pairs, bounded by ``max_size`` per kind: the
+    domains become output columns, so they are schema metadata on the driver.
+    """
     p = table(spark, sf_dir, "part")
-    return {
-        "CCSR_CATEGORY": resolve_domain(p, "p_type", [UNUSED_CATEGORY]),
-        "CCS": resolve_domain(p, "p_brand", [UNUSED_CATEGORY]),
-        "DRG": resolve_domain(p.select(F.lpad(F.col("p_size").cast("string"), 3, "0").alias("d")), "d",
-                              [UNUSED_CATEGORY]),
-    }
+    kinds = {"CCSR_CATEGORY": F.col("p_type"), "CCS": F.col("p_brand"),
+             "DRG": F.lpad(F.col("p_size").cast("string"), 3, "0")}
+    pairs = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
+                                         for k, v in kinds.items()])).alias("x")).select("x.*")
+    rows = pairs.where(F.col("v").isNotNull()).distinct().limit(len(kinds) * max_size + 1).collect()
+    out = {k: sorted({r.v for r in rows if r.k == k} | {UNUSED_CATEGORY}) for k in kinds}
+    for k, v in out.items():
+        if len(v) > max_size:
+            raise ValueError(f"domain of {k} exceeds {max_size} values")
+    return out
 
 
 def pivots(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
@@ -170,19 +177,18 @@ def pivots(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES
 
 
 def order_indicators(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES) -> DataFrame:
-    """Per (member, start): latest prior-year order's priority and status
-    and order counts in the 3/6/12-month windows."""
+    """Per (member, start): latest prior-year order's priority and status (W1, as a
+    ``max_by`` over (date, key)) and order counts in the 3/6/12-month windows,
+    all in one partial aggregate over the orders of the look-back windows."""
     o = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("party_id"), "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     lb = lookback(o, "o_orderdate", starts, WINDOWS, {"claims": F.lit(1)})
-    latest = latest_per_key(lb, ["party_id", "startdate"], ["o_orderdate", "o_orderkey"],
-                            ["o_orderpriority", "o_orderstatus"])
-    latest = latest.select("party_id", "startdate",
-                           F.col("o_orderpriority").alias("marketing_channel"),
-                           F.col("o_orderstatus").alias("tobacco_usage_ind"))
-    counts = lb.groupBy("party_id", "startdate").agg(
-        *[F.sum(f"claims_{m}mos").cast("long").alias(f"claims_{m}mos") for m in WINDOWS])
-    return latest.join(counts, ["party_id", "startdate"])
+    latest = F.max_by(F.struct("o_orderpriority", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey"))
+    agg = lb.groupBy("party_id", "startdate").agg(
+        latest.alias("__l"), *[F.sum(f"claims_{m}mos").cast("long").alias(f"claims_{m}mos") for m in WINDOWS])
+    return agg.select("party_id", "startdate", F.col("__l.o_orderpriority").alias("marketing_channel"),
+                      F.col("__l.o_orderstatus").alias("tobacco_usage_ind"),
+                      *[f"claims_{m}mos" for m in WINDOWS])
 
 
 def policies(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES) -> DataFrame:

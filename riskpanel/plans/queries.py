@@ -216,3 +216,4 @@ from riskpanel.plans import queries_profile  # noqa: E402,F401  (registers more
 from riskpanel.plans import queries_select  # noqa: E402,F401
 from riskpanel.plans import queries_fair  # noqa: E402,F401
 from riskpanel.plans import queries_ml  # noqa: E402,F401
+from riskpanel.plans import queries_io  # noqa: E402,F401

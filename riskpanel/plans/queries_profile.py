@@ -243,7 +243,7 @@ def band_report_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------- evaluation
 
 
-@register("regression_metrics", "T10", sql=f"""
+@register("regression_metrics", "T10 C11", sql=f"""
 WITH {S.pairs()}
 """ + _union([f"SELECT '{p}' AS model, count(*) AS n, round(avg(({p} - y_test) * ({p} - y_test)), 6) AS mse, "
               f"round(sqrt(avg(({p} - y_test) * ({p} - y_test))), 6) AS rmse, "

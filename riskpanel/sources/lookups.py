@@ -13,9 +13,11 @@ from riskpanel.operators.joins import broadcast_if_small
 def load_map(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
     """A JSON object file ``{key: value, ...}`` (or JSON lines of pairs) as a
     two-column table. Read by Spark, so a large map stays distributed."""
-    raw = spark.read.option("multiLine", "true").json(path)
+    raw = spark.read.json(path)  # JSON Lines: one {key, value} pair per line
     if set(raw.columns) == {key, value}:
-        return raw
+        return raw.select(F.col(key).cast("string").alias(key), value)
+    if "_corrupt_record" in raw.columns:  # one pretty-printed mapping object
+        raw = spark.read.option("multiLine", "true").json(path)
     # one JSON object whose fields are the keys: unpivot it
     cols = raw.columns
     return (raw.select(F.explode(F.map_from_arrays(
