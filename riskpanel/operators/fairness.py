@@ -146,7 +146,10 @@ def ablate_column(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     """
     from pyspark.ml.classification import LogisticRegression
     from riskpanel.ml.models import fit_preprocessor
+    from riskpanel.session import materialize
 
+    # two preprocessors and two iterative fits read the same rows: write them once
+    df = materialize(df.select(*numeric, *categorical, sensitive, label), "ablation_input")
     n = df.count()
 
     def fit(cats):

@@ -114,7 +114,12 @@ def a_to_e(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES
     fwd = lookback(lines, "o_orderdate", starts, [12], {"revenue": F.col("revenue")}, forward=True)
     actual = fwd.groupBy("party_id", "startdate").agg(F.sum("revenue").alias("actual"))
     m = members(spark, sf_dir).select("party_id", "plan")
-    a = actual.join(m, "party_id")
+    # the plan means are joined back onto the same rows, and most callers
+    # branch further: write the per-member actuals once so no branch
+    # re-reads the claim lines (filters pushed into one branch only would
+    # otherwise defeat shuffle reuse)
+    from riskpanel.session import materialize
+    a = materialize(actual.join(m, "party_id"), "actuals")
     # plans x start dates rows: AQE sees the materialised size and broadcasts it
     exp = a.groupBy("plan", "startdate").agg(F.avg("actual").alias("expected"))
     return (a.join(exp, ["plan", "startdate"])

@@ -14,6 +14,7 @@ from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.queries_select import _corr_by_fold
 from riskpanel.plans.registry import register, rounded
+from riskpanel.session import materialize
 
 THRESHOLD_PAIRS = f"""{S.pairs()},
 t AS (SELECT *, CASE WHEN y_prior <= 1 THEN 1 ELSE 0 END AS threshold FROM pairs)"""
@@ -206,7 +207,9 @@ FROM f1 CROSS JOIN ml WHERE ml.lv > (SELECT min(lv) FROM ml)
 """)
 def plan_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0/1 columns per level, first level dropped, NULL -> zeros (fold 1)."""
-    pol = proxy.policies(spark, sf_dir).where(F.col("fold") == 1).select("party_id", "plan", "marketing_channel")
+    # level resolution and the projection both read the rows: write them once
+    pol = materialize(proxy.policies(spark, sf_dir).where(F.col("fold") == 1)
+                      .select("party_id", "plan", "marketing_channel"), "dummies_input")
     d = reshape.dummies(reshape.dummies(pol, "plan"), "marketing_channel")
     cols = [c for c in d.columns if c != "party_id"]
     return reshape.melt(d, ["party_id"], cols, "dummy", "value")
