@@ -76,9 +76,12 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count per value and its percentage of the non-null total (NULL excluded)."""
-    c = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())  # groups only: one small window
-    return c.select(column, "count", (F.col("count") / total * 100.0).alias("percentage"))
+    nn = df.where(F.col(column).isNotNull())
+    # the total is one number from one partial aggregate; dividing by a literal
+    # keeps a high-cardinality column's counts spread over all partitions
+    total = nn.agg(F.count(F.lit(1))).first()[0]
+    c = nn.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    return c.select(column, "count", (F.col("count") / F.lit(total) * 100.0).alias("percentage"))
 
 
 def prevalence(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
