@@ -22,7 +22,12 @@ from riskpanel.session import get_session  # noqa: E402
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):  # the driver's style of session, none of our defaults
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .getOrCreate())
+    else:
+        spark = get_session("local[8]", 8)
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
