@@ -121,10 +121,23 @@ def histogram_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.histogram(proxy.score_pairs(spark, sf_dir), "y_prior", 1000))
 
 
-@register("density_prior", "T12")
+@register("density_prior", "T12", sql=f"""
+WITH {S.pairs()},
+st AS (SELECT count(y_prior) AS n, stddev_samp(y_prior) * pow(count(y_prior)::DOUBLE, -0.2) AS bw,
+              min(y_prior) AS lo, max(y_prior) AS hi FROM pairs WHERE y_prior IS NOT NULL),
+g AS (SELECT CAST(i AS INTEGER) AS i,
+             CASE WHEN i = 199 THEN hi + 3.0 * bw
+                  ELSE i::DOUBLE * (((hi + 3.0 * bw) - (lo - 3.0 * bw)) / 199.0) + (lo - 3.0 * bw) END AS x,
+             n, bw
+      FROM range(200) r(i), st)
+SELECT g.i, round(g.x, 6) AS x,
+       round(sum(exp(-0.5 * ((g.x - p.y_prior) / g.bw) * ((g.x - p.y_prior) / g.bw)))
+             / (g.n * g.bw * sqrt(2 * pi())), 6) AS density
+FROM g, pairs p WHERE p.y_prior IS NOT NULL GROUP BY g.i, g.x, g.n, g.bw
+""")
 def density_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaussian KDE of the prior-year score on a 200-point grid (rows-only check)."""
-    return profile.density(proxy.score_pairs(spark, sf_dir), "y_prior")
+    """Gaussian KDE (Scott's bandwidth) of the prior-year score on a 200-point grid."""
+    return rounded(profile.density(proxy.score_pairs(spark, sf_dir), "y_prior"))
 
 
 # ------------------------------------------------------------------ quality
