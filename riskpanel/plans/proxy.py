@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.operators.panel import assemble, lookback, pivot_features
+from riskpanel.operators.panel import lookback, pivot_features
 
 # --- Fixed values of the proxy mapping --------------------------------------
 START_DATES = ["1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01"]  # folds 1-5

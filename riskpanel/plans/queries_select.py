@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.operators import quality, selection
+from riskpanel.operators import selection
 from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.registry import register, rounded

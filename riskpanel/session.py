@@ -77,3 +77,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables ``materialize`` (and the I/O round trips) wrote under the
+    checkpoint folder. Call once the DataFrames reading them are no longer needed."""
+    jvm = spark._jvm
+    base = checkpoint_dir(spark).rstrip("/")
+    conf = spark._jsc.hadoopConfiguration()
+    for sub in ("tables", "io"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{sub}")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            fs.delete(path, True)

@@ -73,3 +73,12 @@ def test_stream_scoring(spark, tmpdir_path):
     assert got.count() == 10
     ref = {r.party_id: r.prediction for r in model.transform(batch).collect()}
     assert all(abs(r.y_pred - ref[r.party_id]) < 1e-9 for r in got.collect())
+
+
+def test_drop_materialized(spark):
+    from riskpanel.session import checkpoint_dir, drop_materialized, materialize
+    t = materialize(spark.range(5), "probe")
+    assert t.count() == 5
+    drop_materialized(spark)
+    base = checkpoint_dir(spark).replace("file:", "")
+    assert not os.path.exists(f"{base}/tables")
