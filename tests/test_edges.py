@@ -221,3 +221,31 @@ def test_histogram_last_bin_closed(spark):
 def test_chi2_tail_matches_known_values():
     assert math.isclose(chi2_sf_value(5.0, 3), 0.171797, rel_tol=1e-5)
     assert math.isclose(chi2_sf_value(20.0, 10), 0.029253, rel_tol=1e-4)
+
+
+def test_nan_to_null_and_group_mean(spark):
+    from riskpanel.operators.cleaning import nan_to_null
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), (None, 3.0)], "k string, v double")
+    clean = nan_to_null(df)
+    assert [r.v for r in clean.orderBy("v").collect()].count(None) == 1
+    assert {r.k: r.v for r in profile.group_mean(clean, "k", ["v"]).collect()} == {"a": 1.0}
+
+
+def test_split_guard():
+    from riskpanel.ml.tuning import check_splits
+    check_splits([([1, 2], 3)])
+    with pytest.raises(ValueError):
+        check_splits([([1, 2, 3], 3)])
+
+
+def test_expected_counts(spark):
+    rows = [("A", 1)] * 30 + [("A", 0)] * 20 + [("B", 1)] * 15 + [("B", 0)] * 35
+    e = {(r.g, r.t): r.expected for r in fairness.expected_counts(spark.createDataFrame(rows, "g string, t int"),
+                                                                 "g", "t").collect()}
+    assert e == {("A", 1): 22.5, ("A", 0): 27.5, ("B", 1): 22.5, ("B", 0): 27.5}
+
+
+def test_read_query_on_catalog(spark):
+    from riskpanel.sources.readers import read_query
+    spark.range(3).createOrReplaceTempView("rp_q")
+    assert read_query(spark, "SELECT sum(id) AS s FROM rp_q").first().s == 3
