@@ -37,15 +37,25 @@ def row_hashes(cols: list[str], rows: list[tuple]) -> list[str]:
     return sorted(hashlib.md5(repr(tuple(_norm(r[i]) for i in order)).encode()).hexdigest() for r in rows)
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean", "FLOAT": "float", "SMALLINT": "smallint", "TINYINT": "tinyint",
+                 "DATE": "date"}
+
+
 def compare(spark, con, build, sql: str, sf_dir: str) -> dict:
     sdf = build(spark, sf_dir)
     s_cols = sdf.columns
+    s_types = dict(sdf.dtypes)
     s_rows = [tuple(r) for r in sdf.collect()]
     rel = con.sql(sql)
     d_cols = rel.columns
+    d_types = {c: DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
     d_rows = rel.fetchall()
     out = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
-           "names_match": sorted(s_cols) == sorted(d_cols)}
+           "names_match": sorted(s_cols) == sorted(d_cols), "types_match": s_types == d_types}
+    if not out["types_match"]:
+        out["type_diff"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                            if s_types.get(c) != d_types.get(c)}
     if out["names_match"]:
         hs, hd = row_hashes(s_cols, s_rows), row_hashes(d_cols, d_rows)
         out["values_match"] = hs == hd
@@ -61,6 +71,6 @@ def compare(spark, con, build, sql: str, sf_dir: str) -> dict:
     else:
         out["spark_cols"] = sorted(s_cols)
         out["oracle_cols"] = sorted(d_cols)
-    out["ok"] = (out["spark_rows"] == out["oracle_rows"] and out["names_match"]
+    out["ok"] = (out["spark_rows"] == out["oracle_rows"] and out["names_match"] and out["types_match"]
                  and out.get("values_match", False))
     return out
