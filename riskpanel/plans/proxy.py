@@ -157,7 +157,10 @@ def code_domains(spark: SparkSession, sf_dir: str, max_size: int = 50_000) -> di
              "DRG": F.lpad(F.col("p_size").cast("string"), 3, "0")}
     pairs = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
                                          for k, v in kinds.items()])).alias("x")).select("x.*")
-    rows = pairs.where(F.col("v").isNotNull()).distinct().limit(len(kinds) * max_size + 1).collect()
+    cap = len(kinds) * max_size
+    rows = pairs.where(F.col("v").isNotNull()).distinct().limit(cap + 1).collect()
+    if len(rows) > cap:  # truncated: some domain is over its bound
+        raise ValueError(f"code domains exceed {max_size} values")
     out = {k: sorted({r.v for r in rows if r.k == k} | {UNUSED_CATEGORY}) for k in kinds}
     for k, v in out.items():
         if len(v) > max_size:
