@@ -249,3 +249,25 @@ def test_read_query_on_catalog(spark):
     from riskpanel.sources.readers import read_query
     spark.range(3).createOrReplaceTempView("rp_q")
     assert read_query(spark, "SELECT sum(id) AS s FROM rp_q").first().s == 3
+
+
+def test_features_long_matches_pivot(spark):
+    df = spark.createDataFrame([(1, "A", 1.0), (1, "A", 2.0), (1, "B", 0.0), (2, "B", 3.0)], "k int, cat string, V double")
+    long = {(r.k, r.feature): r.value for r in panel.features_long(df, ["k"], "cat", ["V"]).collect()}
+    assert long == {(1, "v_a"): 3.0, (2, "v_b"): 3.0}  # zeros implicit
+    wide = panel.pivot_features(df, ["k"], "cat", ["V"], ["A", "B"])
+    assert {(r.k, f): r[f] for r in wide.collect() for f in ("v_a", "v_b") if r[f] != 0} == long
+
+
+def test_column_helpers(spark):
+    from riskpanel.operators import columns
+    from riskpanel.operators.joins import join_keys
+    df = spark.createDataFrame([(1, "x", 2.0)], "PARTY_ID int, Plan string, `ccs_3mos_1.0` double")
+    assert columns.matching(df, regex="^ccs_") == ["ccs_3mos_1.0"]
+    assert columns.of_type(df, ["number"]) == ["PARTY_ID", "ccs_3mos_1.0"]
+    r = columns.rename(df, lower=True, pattern=(r"\.0", "_0"))
+    assert r.columns == ["party_id", "plan", "ccs_3mos_1_0"]
+    other = spark.createDataFrame([(1, 7.0)], "party_id int, score double")
+    assert columns.attach(r, other, ["party_id"]).columns == ["party_id", "plan", "ccs_3mos_1_0", "score"]
+    j = join_keys(df, other.withColumnRenamed("party_id", "pid"), "PARTY_ID", "pid", "left")
+    assert set(j.columns) == {"PARTY_ID", "Plan", "ccs_3mos_1.0", "pid", "score"} and j.count() == 1
