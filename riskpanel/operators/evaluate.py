@@ -66,25 +66,30 @@ def threshold_curve(df: DataFrame, scores: Sequence[str], measure: str,
                      F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"),
                                                   F.col(s).cast("double").alias("__s"))
                                          for s in scores])).alias("__p"))
-    long = long.select("__p.score_name", bucket_index("__p.__s", edges).alias("__b"), "__m")
-    counts = long.groupBy("score_name", "__b").agg(
+    # buckets 0..n-1 can be accepted; n = at or above the last edge (or NaN);
+    # n + 1 = NULL score: never accepted, still counted in the total
+    b = F.coalesce(bucket_index("__p.__s", edges), F.lit(n + 1))
+    long = long.select("__p.score_name", b.alias("i"), "__m")
+    counts = long.groupBy("score_name", "i").agg(
         F.count(F.lit(1)).alias("__n"), F.sum("__m").alias("__sm"), F.count("__m").alias("__nm"))
-    # one row per score: total rows and the full threshold index range
-    totals = (counts.groupBy("score_name").agg(F.sum("__n").alias("__total"))
-                    .select("score_name", "__total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")))
-    per_i = totals.join(counts.where(F.col("__b") < n).withColumnRenamed("__b", "i"),
-                        ["score_name", "i"], "left")
-    w = Window.partitionBy("score_name").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    # every (score, bucket) index as a literal (scores x (n + 2) rows, set by the
+    # parameters): the count table has a single consumer, so the input is read once
+    idx = df.sparkSession.createDataFrame([(s, i) for s in scores for i in range(n + 2)], "score_name string, i int")
+    per_i = idx.join(counts, ["score_name", "i"], "left")
+    whole = Window.partitionBy("score_name")
+    w = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.coalesce(F.col("__n"), F.lit(0))).over(whole)
     cum_n = F.sum(F.coalesce(F.col("__n"), F.lit(0))).over(w)
     cum_sm = F.sum(F.coalesce(F.col("__sm"), F.lit(0.0))).over(w)
     cum_nm = F.sum(F.coalesce(F.col("__nm"), F.lit(0))).over(w)
     arr = F.array(*[F.lit(float(e)) for e in edges])
-    return per_i.select(
+    curve = per_i.select(
         "score_name", F.col("i").cast("int").alias("i"),
-        F.element_at(arr, F.col("i") + 1).alias("threshold"),
+        F.try_element_at(arr, F.col("i") + 1).alias("threshold"),  # NULL for the two extra buckets
         cum_n.cast("long").alias("accepted"),
-        (cum_n / F.col("__total") * 100.0).alias("accept_pct"),
+        (cum_n / total * 100.0).alias("accept_pct"),
         F.try_divide(cum_sm, cum_nm.cast("double")).alias("mean_measure"))
+    return curve.where(F.col("i") < n)
 
 
 def regression_metrics(df: DataFrame, truth: str, preds: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
