@@ -24,21 +24,34 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
                     (F.col("count") / F.sum("count").over(Window.partitionBy(row))).alias("row_share"))
 
 
+def _cells(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Observed cells with their row, column and grand totals.
+
+    The totals are windows over the contingency table itself (rows x columns
+    levels, bounded by the two category domains), so the input is aggregated
+    once and never joined back to its own sums.
+    """
+    cells = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+               .groupBy(row, col).agg(F.count(F.lit(1)).alias("observed")))
+    o = F.col("observed").cast("double")
+    return cells.select(row, col, "observed",
+                        F.sum(o).over(Window.partitionBy(row)).alias("__r"),
+                        F.sum(o).over(Window.partitionBy(col)).alias("__c"),
+                        F.sum(o).over(Window.partitionBy()).alias("__n"))
+
+
 def chi_square_cells(df: DataFrame, row: str, col: str) -> DataFrame:
     """T7 statistic without continuity correction from the observed cells only:
 
     ``chi2 = N * Σ O_ij² / (R_i C_j) - N`` (empty cells add nothing to the sum),
     ``dof = (r - 1)(c - 1)`` over the non-empty row and column levels.
     """
-    cells = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-               .groupBy(row, col).agg(F.count(F.lit(1)).cast("double").alias("o")))
-    rs = cells.groupBy(row).agg(F.sum("o").alias("r"))
-    cs = cells.groupBy(col).agg(F.sum("o").alias("c"))
-    j = cells.join(rs, row).join(cs, col)
-    return j.agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"),
-                 F.countDistinct(row).alias("nr"), F.countDistinct(col).alias("nc")) \
-            .select(F.col("n").cast("long").alias("n"), (F.col("n") * F.col("s") - F.col("n")).alias("chi2"),
-                    ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("int").alias("dof"))
+    j = _cells(df, row, col)
+    o = F.col("observed").cast("double")
+    return (j.agg(F.max("__n").alias("n"), F.sum(o * o / (F.col("__r") * F.col("__c"))).alias("s"),
+                  F.countDistinct(row).alias("nr"), F.countDistinct(col).alias("nc"))
+             .select(F.col("n").cast("long").alias("n"), (F.col("n") * F.col("s") - F.col("n")).alias("chi2"),
+                     ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("int").alias("dof")))
 
 
 def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -49,14 +62,8 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
 
 def expected_counts(df: DataFrame, row: str, col: str) -> DataFrame:
     """T7 expected table ``R_i C_j / N`` for the observed cells."""
-    cells = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-               .groupBy(row, col).agg(F.count(F.lit(1)).alias("observed")))
-    rs = cells.groupBy(row).agg(F.sum("observed").alias("r"))
-    cs = cells.groupBy(col).agg(F.sum("observed").alias("c"))
-    # the cell table is rows x columns levels: one small window gives N
-    n = F.sum("observed").over(Window.partitionBy())
-    return (cells.join(rs, row).join(cs, col)
-                 .select(row, col, "observed", (F.col("r") * F.col("c") / n).alias("expected")))
+    j = _cells(df, row, col)
+    return j.select(row, col, "observed", (F.col("__r") * F.col("__c") / F.col("__n")).alias("expected"))
 
 
 def pairwise_chi_square(df: DataFrame, group: str, flag: str, with_p: bool = True) -> DataFrame:
