@@ -69,12 +69,16 @@ def expected_counts(df: DataFrame, row: str, col: str) -> DataFrame:
 def pairwise_chi_square(df: DataFrame, group: str, flag: str, with_p: bool = True) -> DataFrame:
     """2 x 2 chi-square (no correction) of ``flag`` for every pair of groups.
 
-    Counts per (group, flag) are one small aggregate; the pairs come from a
-    self-join of that table on ``g1 < g2`` (groups x groups rows, never rows x rows).
+    Counts per (group, flag) are one small aggregate, written once; the pairs come
+    from a self-join of that table on ``g1 < g2`` (groups x groups rows, never rows x rows).
     """
     cnt = (df.where(F.col(group).isNotNull() & F.col(flag).isNotNull())
              .groupBy(group).agg(F.sum(F.when(F.col(flag) == 1, 1).otherwise(0)).cast("double").alias("a1"),
                                  F.sum(F.when(F.col(flag) == 1, 0).otherwise(1)).cast("double").alias("a0")))
+    # both sides of the pair join read the (one row per group) count table: write
+    # it once so the input is aggregated once
+    from riskpanel.session import materialize
+    cnt = materialize(cnt, "group_counts")
     x = cnt.select(F.col(group).alias("g1"), F.col("a1").alias("x1"), F.col("a0").alias("x0"))
     y = cnt.select(F.col(group).alias("g2"), F.col("a1").alias("y1"), F.col("a0").alias("y0"))
     p = x.join(y, F.col("g1") < F.col("g2"))
