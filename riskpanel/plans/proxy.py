@@ -357,3 +357,10 @@ def training_frame(spark: SparkSession, sf_dir: str, starts: Sequence[str] = STA
     text as categories, numerics filled with 0)."""
     from riskpanel.operators.cleaning import clean_fold
     return clean_fold(panel(spark, sf_dir, starts), KEPT_PLANS, drop=["zip", "startdate"])
+
+
+def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored set written once, for operators that make several passes over it
+    (moments + quantile ranking, range + counts, iterative fits)."""
+    from riskpanel.session import materialize
+    return materialize(score_pairs(spark, sf_dir), "scored")

@@ -20,9 +20,10 @@ THRESHOLD_PAIRS = f"""{S.pairs()},
 t AS (SELECT *, CASE WHEN y_prior <= 1 THEN 1 ELSE 0 END AS threshold FROM pairs)"""
 
 
-def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored set with the acceptance flag (score <= 1)."""
-    return proxy.score_pairs(spark, sf_dir).withColumn("threshold", flag("y_prior", "<=", 1))
+def _flagged(spark: SparkSession, sf_dir: str, written: bool = False) -> DataFrame:
+    """Scored set with the acceptance flag (score <= 1); ``written`` for multi-pass use."""
+    src = proxy.scored_table(spark, sf_dir) if written else proxy.score_pairs(spark, sf_dir)
+    return src.withColumn("threshold", flag("y_prior", "<=", 1))
 
 
 @register("crosstab_threshold", "A11 C13 W3", sql=f"""
@@ -69,7 +70,7 @@ def pairwise_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chi_square_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 + T8 with p-values (upper chi-square tail, Arrow-batched UDF on the
     few statistic rows); rows-only check since the oracle has no erfc."""
-    f = _flagged(spark, sf_dir)
+    f = _flagged(spark, sf_dir, written=True)
     overall = fairness.chi_square(f, "state", "threshold").select(
         F.lit("*").alias("g1"), F.lit("*").alias("g2"), "n", "chi2", "dof", "p_value")
     pairs = fairness.pairwise_chi_square(f, "state", "threshold")
@@ -133,7 +134,7 @@ def posterior_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logit_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logit of the acceptance flag on the blend score and plan dummies, no
     intercept, constant columns removed first; coefficients with std. errors, z, p."""
-    f = _flagged(spark, sf_dir).select("y_blend", "plan", "threshold")
+    f = _flagged(spark, sf_dir, written=True).select("y_blend", "plan", "threshold")
     d = reshape.dummies(f, "plan", drop="first", dtype="double")
     feats = [c for c in d.columns if c not in ("threshold",)]
     d = selection.drop_constant(d, feats)

@@ -66,7 +66,7 @@ WITH {S.pairs()}
               f"round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM pairs" for c in SCORES]))
 def describe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5 on truth and the two scores."""
-    return rounded(profile.describe(proxy.score_pairs(spark, sf_dir), SCORES))
+    return rounded(profile.describe(proxy.scored_table(spark, sf_dir), SCORES))
 
 
 @register("value_counts", "A7 W3", sql=f"""
@@ -118,7 +118,7 @@ FROM e JOIN e e2 ON e2.i = e.i + 1 LEFT JOIN c ON c.bin = e.i
 """)
 def histogram_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1,000 equal-width bins of the prior-year score."""
-    return rounded(profile.histogram(proxy.score_pairs(spark, sf_dir), "y_prior", 1000))
+    return rounded(profile.histogram(proxy.scored_table(spark, sf_dir), "y_prior", 1000))
 
 
 @register("density_prior", "T12", sql=f"""
@@ -137,7 +137,7 @@ FROM g, pairs p WHERE p.y_prior IS NOT NULL GROUP BY g.i, g.x, g.n, g.bw
 """)
 def density_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaussian KDE (Scott's bandwidth) of the prior-year score on a 200-point grid."""
-    return rounded(profile.density(proxy.score_pairs(spark, sf_dir), "y_prior"))
+    return rounded(profile.density(proxy.scored_table(spark, sf_dir), "y_prior"))
 
 
 # ------------------------------------------------------------------ quality
