@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, simhash, url_filter
+from . import chat_format, decontaminate, packing, quality_rules, simhash, toxicity, url_filter, wavelet
 from .common import materialize, read
 
+#: Threshold of op4's decision and of the pipeline's first stage.
+TOXIC_AT = 0.3
+END_ID = 2
 #: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -71,6 +74,57 @@ FROM o GROUP BY conv_id
 """
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Trained on labelled rows outside the held-out quarter."""
+    labels = read(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return toxicity.fit(docs, labels)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.scores(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 4 == 2).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet.write_shards(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID)
+    return wavelet.read_documents(shards)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = decontaminate.findings(docs, read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "found")
+    flagged = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found")), "left")
+    return flagged.select("doc_id", F.col("items").isNotNull().alias("contaminated"),
+                          F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+                          F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dt AS (SELECT doc_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+it AS (SELECT item_id, len(w) AS m, unnest(w) AS t, generate_subscripts(w, 1) AS q FROM i WHERE len(w) >= 13),
+e AS (SELECT doc_id, item_id, p - q AS diag, q, least(n, m + p - q) - greatest(0, p - q) AS overlap FROM dt JOIN it USING (t)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS same FROM e WHERE overlap >= 13),
+f AS (SELECT DISTINCT doc_id, item_id FROM c WHERE same >= 11),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM f GROUP BY doc_id)
+SELECT doc_id, g.items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID, 1024)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -82,5 +136,9 @@ QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
     "op3_chat_format": (op3_chat_format, OP3_SQL),
+    "op4_toxicity": (op4_toxicity, None),
+    "op6_wavelet": (op6_wavelet, None),
+    "op8_decontaminate": (op8_decontaminate, OP8_SQL),
+    "op9_packing": (op9_packing, None),
     "op10_simhash": (op10_simhash, None),
 }
