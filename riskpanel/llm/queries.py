@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_rules, simhash, toxicity, url_filter, wavelet
+from . import chat_format, decontaminate, lm_score, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter, wavelet
 from .common import materialize, read
 
 #: Threshold of op4's decision and of the pipeline's first stage.
@@ -92,11 +92,41 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(read(spark, sf_dir, "documents"), order=3, min_count=2, backoff=0.4)
+    return scored.select(F.col("id").alias("doc_id"), "n_tokens", F.round("log_score", 3).alias("log_score"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT r, unnest(w) AS w3, generate_subscripts(w, 1) AS p FROM d),
+g AS (SELECT r, p, w3, lag(w3) OVER (PARTITION BY r ORDER BY p) AS w2, lag(w3, 2) OVER (PARTITION BY r ORDER BY p) AS w1 FROM t),
+n AS (SELECT count(*) AS n FROM g),
+c1 AS (SELECT w3, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 2),
+c2 AS (SELECT w2, w3, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+c3 AS (SELECT w1, w2, w3, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+j AS (SELECT g.*, n, c1.c AS k1, c2.c AS k2, c3.c AS k3, x1.c AS x2, x2.c AS x3 FROM g CROSS JOIN n
+    LEFT JOIN c1 ON c1.w3 = g.w3 LEFT JOIN c2 ON c2.w2 = g.w2 AND c2.w3 = g.w3
+    LEFT JOIN c3 ON c3.w1 = g.w1 AND c3.w2 = g.w2 AND c3.w3 = g.w3
+    LEFT JOIN c1 AS x1 ON x1.w3 = g.w2 LEFT JOIN c2 AS x2 ON x2.w2 = g.w1 AND x2.w3 = g.w2),
+s1 AS (SELECT *, CASE WHEN k1 IS NULL THEN -ln(n + 1.0) ELSE ln(k1) - ln(n) END AS a FROM j),
+s2 AS (SELECT *, CASE WHEN w2 IS NULL THEN a WHEN k2 IS NULL THEN a + ln(0.4) ELSE ln(k2) - ln(x2) END AS b FROM s1),
+s3 AS (SELECT *, CASE WHEN w1 IS NULL THEN b WHEN k3 IS NULL THEN b + ln(0.4) ELSE ln(k3) - ln(x3) END AS s FROM s2),
+z AS (SELECT r, sum(s) AS s FROM s3 GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(s, 0.0), 3) AS log_score FROM d LEFT JOIN z USING (r)
+"""
+
+
 def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID)
     return wavelet.read_documents(shards)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read(spark, sf_dir, "documents"), length=200).withColumnRenamed("id", "doc_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = decontaminate.findings(docs, read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "found")
@@ -137,7 +167,9 @@ QUERIES = {
     "op2_url_filter": (op2_url_filter, OP2_SQL),
     "op3_chat_format": (op3_chat_format, OP3_SQL),
     "op4_toxicity": (op4_toxicity, None),
+    "op5_lm_score": (op5_lm_score, OP5_SQL),
     "op6_wavelet": (op6_wavelet, None),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_decontaminate": (op8_decontaminate, OP8_SQL),
     "op9_packing": (op9_packing, None),
     "op10_simhash": (op10_simhash, None),

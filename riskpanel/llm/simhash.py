@@ -233,3 +233,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component) of every row of ``docs``."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     return link_components(fps, radius, hot)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4,
+             hot: int = 4096) -> DataFrame:
+    """One row of each group of ``docs``: that of the smallest id (null ids last). Rows are
+    numbered and written once, so rows that share an id are told apart."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, "__row", text_col, shingle, radius, hot)
+    ids = rows.select("__row", F.col(f"`{id_col}`").alias("key"))
+    rank = F.struct(F.col("key").isNull(), "key", "__row")
+    stay = found.join(ids, found.id == ids["__row"]).groupBy("component").agg(F.min_by("__row", rank).alias("__row"))
+    return rows.join(stay.select("__row"), "__row", "left_semi").drop("__row")

@@ -190,32 +190,56 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **options) ->
     return train([r["text"].encode() if r["text"] is not None else None for r in rows], [r["y"] for r in rows], **options)
 
 
+def _scorer(df: DataFrame, model: Model):
+    """texts of a batch -> scores, with a bounded cache of word logits per task."""
+    sent = df.sparkSession.sparkContext.broadcast((model.gram_logit.astype(np.float32), model.bias, model.window))
+
+    def start():
+        model = Model(*sent.value)
+        known: dict[bytes, int] = {}
+        values = np.zeros(0)
+
+        def score(text: bytes | None) -> float:
+            nonlocal known, values
+            words = words_of(text)
+            if len(known) > 500_000:
+                known, values = {}, np.zeros(0)
+            new = [x for x in dict.fromkeys(words) if x not in known]
+            if new:
+                first = len(known)
+                known.update(zip(new, range(first, first + len(new))))
+                if len(known) > len(values):
+                    values = np.concatenate([values, np.zeros(max(len(known), 1 << 16))])
+                values[first:len(known)] = model.word_logits(new)
+            ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            return model.score(ids, values[ids])
+        return score
+    return start
+
+
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row: 0 to 1, of its worst passage."""
     src = only(docs, id=id_col, text=text_col)
-    sent = src.sparkSession.sparkContext.broadcast((model.gram_logit.astype(np.float32), model.bias, model.window))
+    start = _scorer(src, model)
 
     def run(batches: Iterator):
         import pyarrow as pa
-        logits, bias, window = sent.value
-        model = Model(logits, bias, window)
-        known: dict[bytes, int] = {}
-        values = np.zeros(0)
+        score = start()
         for b in batches:
-            out = []
-            for text in binary_list(b, "text"):
-                words = words_of(text)
-                if len(known) > 500_000:
-                    known, values = {}, np.zeros(0)
-                new = [x for x in dict.fromkeys(words) if x not in known]
-                if new:
-                    first = len(known)
-                    known.update(zip(new, range(first, first + len(new))))
-                    if len(known) > len(values):
-                        values = np.concatenate([values, np.zeros(max(len(known), 1 << 16))])
-                    values[first:len(known)] = model.word_logits(new)
-                ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                out.append(model.score(ids, values[ids]))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([score(t) for t in binary_list(b, "text")], pa.float64())],
+                                             names=["id", "score"])
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, all columns kept (no shuffle)."""
+    start = _scorer(docs, model)
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+        score = start()
+        for b in batches:
+            yield b.filter(pa.array([score(t) < threshold for t in binary_list(b, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
