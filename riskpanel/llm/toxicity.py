@@ -117,7 +117,7 @@ def window_starts(n: int, window: int) -> np.ndarray:
 
 
 def train(texts: list[bytes | None], labels: list[int], buckets: int = 1 << 16, dim: int = 8, window: int = 16,
-          epochs: int = 6, batch: int = 64, rate: float = 1.0, seed: int = 7) -> Model:
+          epochs: int = 8, batch: int = 64, rate: float = 1.0, seed: int = 7, start: float = 1e-4, warm_up: int = 2) -> Model:
     """Joint training of embeddings and softmax by Adagrad on the worst passage of each text."""
     y = np.asarray(labels, float)
     share = float(y.mean()) if len(y) else 0.0
@@ -130,13 +130,16 @@ def train(texts: list[bytes | None], labels: list[int], buckets: int = 1 << 16,
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (buckets, dim)) / dim
     w, b = np.zeros((dim, 2)), np.zeros(2)
-    emb_sq, w_sq, b_sq = np.full(buckets, 1e-6), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
+    emb_sq, w_sq, b_sq = np.full(buckets, start), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(epochs):
-        # word logits under the present model choose each text's worst passage
+    for epoch in range(epochs):
+        # at first a text is one bag; then word logits under the present model choose its worst passage
         logit = _sums((emb @ (w[:, 1] - w[:, 0]))[gram], n_grams) / np.maximum(n_grams, 1)
         chosen = []
         for d in docs:
+            if epoch < warm_up:
+                chosen.append(np.unique(d))
+                continue
             at = window_starts(len(d), window)
             k = at[int(np.argmax(passage_means(d, logit[d], window)))]
             chosen.append(np.unique(d[k:k + window]))
