@@ -29,6 +29,17 @@ def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column,
     return F.when(ok, num / (F.sqrt(vx) * F.sqrt(vy)))
 
 
+def corr_sparse(n: Column, mean_y: Column, ss_y: Column, n1: Column, mean_x1: Column, ss_x1: Column,
+                mean_y1: Column, co_1: Column) -> Column:
+    """Pearson correlation from centred moments of the rows that hold a value (``1``: count, mean and
+    sum of squares of x, mean of y, co-moment) and of y over all ``n`` rows, x being 0 in the
+    others. Centred sums keep a small variance beside a large mean; a constant side gives NULL.
+    """
+    ss_x = ss_x1 + n1 * (n - n1) / n * mean_x1 * mean_x1
+    co = co_1 + mean_x1 * n1 * (mean_y1 - mean_y)
+    return F.when((ss_x > 0) & (ss_y > 0), co / (F.sqrt(ss_x) * F.sqrt(ss_y)))
+
+
 def _gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x): series below a+1, continued fraction above."""
     if x <= 0:
@@ -36,19 +47,21 @@ def _gammaincc(a: float, x: float) -> float:
     lg = math.lgamma(a)
     if x < a + 1:
         ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(10000):
+        for _ in range(100_000 + int(20 * math.sqrt(a))):
             ap += 1
             d *= x / ap
             s += d
             if abs(d) < abs(s) * 1e-16:
                 break
+        else:
+            raise ArithmeticError(f"gamma series did not converge for a={a}, x={x}")
         return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - lg))
     tiny = 1e-300
     b = x + 1 - a
     c = 1 / tiny
     d = 1 / b
     h = d
-    for i in range(1, 10000):
+    for i in range(1, 100_000 + int(20 * math.sqrt(a))):
         an = -i * (i - a)
         b += 2
         d = an * d + b
@@ -58,8 +71,10 @@ def _gammaincc(a: float, x: float) -> float:
         d = 1 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1) < 1e-16:
+        if abs(delta - 1) < 1e-15:
             break
+    else:
+        raise ArithmeticError(f"gamma fraction did not converge for a={a}, x={x}")
     return math.exp(-x + a * math.log(x) - lg) * h
 
 

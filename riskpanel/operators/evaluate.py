@@ -87,7 +87,7 @@ def threshold_curve(df: DataFrame, scores: Sequence[str], measure: str,
         "score_name", F.col("i").cast("int").alias("i"),
         F.try_element_at(arr, F.col("i") + 1).alias("threshold"),  # NULL for the two extra buckets
         cum_n.cast("long").alias("accepted"),
-        (cum_n / total * 100.0).alias("accept_pct"),
+        (F.try_divide(cum_n, total) * 100.0).alias("accept_pct"),
         F.try_divide(cum_sm, cum_nm.cast("double")).alias("mean_measure"))
     return curve.where(F.col("i") < n)
 

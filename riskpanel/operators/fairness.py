@@ -9,49 +9,55 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.rowwise import row_argmax
 from riskpanel.functions.stats import chi2_sf
-from riskpanel.operators.joins import broadcast_if_small
 
 
-def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
-    """Contingency counts and row-normalised shares, long form
-    ``(row, col, count, row_share)``; NULL in either key is dropped.
+def _grid(df: DataFrame, row: str, col: str) -> DataFrame:
+    """The full contingency table ``(row, col, observed)``: every pair of levels, 0
+    where the pair never occurs; NULL in either key is dropped.
 
-    The window normalising by row runs over the (rows x columns) count table only.
+    The levels of ``col`` are gathered from the count table, one array; each row
+    level then lists all of them. Sizes are those of the two category domains.
     """
-    c = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-           .groupBy(row, col).agg(F.count(F.lit(1)).alias("count")))
-    return c.select(row, col, "count",
-                    (F.col("count") / F.sum("count").over(Window.partitionBy(row))).alias("row_share"))
+    cells = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+               .groupBy(row, col).agg(F.count(F.lit(1)).alias("__o")))
+    levels = F.array_distinct(F.flatten(F.collect_list(F.map_keys("__m")).over(Window.partitionBy())))
+    rows = cells.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, "__o"))).alias("__m"))
+    return (rows.withColumn("__levels", levels).select(row, "__m", F.explode("__levels").alias(col))
+                .select(row, col, F.coalesce(F.try_element_at("__m", F.col(col)), F.lit(0)).cast("long").alias("observed")))
+
+
+def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Contingency counts and row-normalised shares, long form
+    ``(row, col, count, row_share)``, zero cells included; NULL keys are dropped."""
+    o = F.col("observed")
+    return _grid(df, row, col).select(row, col, o.alias("count"),
+                                      (o / F.sum(o).over(Window.partitionBy(row))).alias("row_share"))
 
 
 def _cells(df: DataFrame, row: str, col: str) -> DataFrame:
-    """Observed cells with their row, column and grand totals.
+    """All cells with their row, column and grand totals.
 
     The totals are windows over the contingency table itself (rows x columns
     levels, bounded by the two category domains), so the input is aggregated
     once and never joined back to its own sums.
     """
-    cells = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-               .groupBy(row, col).agg(F.count(F.lit(1)).alias("observed")))
     o = F.col("observed").cast("double")
-    return cells.select(row, col, "observed",
-                        F.sum(o).over(Window.partitionBy(row)).alias("__r"),
-                        F.sum(o).over(Window.partitionBy(col)).alias("__c"),
-                        F.sum(o).over(Window.partitionBy()).alias("__n"))
+    return _grid(df, row, col).select(row, col, "observed",
+                                      F.sum(o).over(Window.partitionBy(row)).alias("__r"),
+                                      F.sum(o).over(Window.partitionBy(col)).alias("__c"),
+                                      F.sum(o).over(Window.partitionBy()).alias("__n"))
 
 
 def chi_square_cells(df: DataFrame, row: str, col: str) -> DataFrame:
-    """T7 statistic without continuity correction from the observed cells only:
-
-    ``chi2 = N * Σ O_ij² / (R_i C_j) - N`` (empty cells add nothing to the sum),
-    ``dof = (r - 1)(c - 1)`` over the non-empty row and column levels.
-    """
-    j = _cells(df, row, col)
-    o = F.col("observed").cast("double")
-    return (j.agg(F.max("__n").alias("n"), F.sum(o * o / (F.col("__r") * F.col("__c"))).alias("s"),
-                  F.countDistinct(row).alias("nr"), F.countDistinct(col).alias("nc"))
-             .select(F.col("n").cast("long").alias("n"), (F.col("n") * F.col("s") - F.col("n")).alias("chi2"),
-                     ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("int").alias("dof")))
+    """T7 statistic without continuity correction, ``chi2 = Σ (O - E)² / E`` over the
+    full table, ``dof = (r - 1)(c - 1)``."""
+    e = F.col("__r") * F.col("__c") / F.col("__n")
+    d = F.col("observed").cast("double") - e
+    return (_cells(df, row, col)
+            .agg(F.max("__n").alias("n"), F.sum(d * d / e).alias("chi2"),
+                 F.countDistinct(row).alias("nr"), F.countDistinct(col).alias("nc"))
+            .select(F.col("n").cast("long").alias("n"), "chi2",
+                    ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("int").alias("dof")))
 
 
 def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -61,7 +67,7 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def expected_counts(df: DataFrame, row: str, col: str) -> DataFrame:
-    """T7 expected table ``R_i C_j / N`` for the observed cells."""
+    """T7 expected table ``R_i C_j / N`` of every cell, zero cells included."""
     j = _cells(df, row, col)
     return j.select(row, col, "observed", (F.col("__r") * F.col("__c") / F.col("__n")).alias("expected"))
 
@@ -92,32 +98,34 @@ def pairwise_chi_square(df: DataFrame, group: str, flag: str, with_p: bool = Tru
 
 
 def compare_coefficients(a: DataFrame, b: DataFrame, name: str = "feature", a_col: str = "coef_a",
-                         b_col: str = "coef_b", k: int = 30) -> DataFrame:
+                         b_col: str = "coef_b", k: int | None = 30) -> DataFrame:
     """Full outer join of two coefficient sets by name, absolute
-    difference, zero-difference flag, and the ``k`` largest differences ranked."""
+    difference, zero-difference flag, and the ``k`` largest differences ranked
+    (``k=None``: all rows, unranked)."""
     j = a.select(name, a_col).join(b.select(name, b_col), name, "outer")
     d = F.abs(F.col(a_col) - F.col(b_col))
     out = j.select(name, a_col, b_col, d.alias("coef_diff"), (d == 0).alias("zero_diff"))
-    w = Window.orderBy(F.col("coef_diff").desc_nulls_last(), F.col(name))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if k is None:
+        return out
+    order = [F.col("coef_diff").desc_nulls_last(), F.col(name)]
+    top = out.orderBy(*order).limit(k)  # the rank's window holds k rows
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def posterior_class(df: DataFrame, tables: Sequence[tuple[str, DataFrame]], classes: Sequence[str],
-                    prior: dict[str, float] | None = None, out: str = "predicted",
-                    max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                    prior: dict[str, float] | None = None, out: str = "predicted") -> DataFrame:
     """M8 (re-aimed): class posterior from independent lookup tables (naive Bayes).
 
     Each table maps a key column of ``df`` to one probability column per class
     (``p_<class>``). The posterior is the normalised product (times an optional
     prior); a key missing from a table leaves that factor out. The predicted
-    class is the arg-max, the first class winning ties. Tables are joined as
-    broadcasts only after a row-count check.
+    class is the arg-max, the first class winning ties. Whether a table is broadcast
+    is left to its size statistics and AQE.
     """
     cur = df
     factors = {c: F.lit(float(prior[c]) if prior else 1.0) for c in classes}
     for i, (key, tbl) in enumerate(tables):
         t = tbl.select(F.col(key).alias(f"__k{i}"), *[F.col(f"p_{c}").alias(f"__t{i}_{c}") for c in classes])
-        t = broadcast_if_small(t, max_broadcast_rows)
         cur = cur.join(t, cur[key] == t[f"__k{i}"], "left").drop(f"__k{i}")
         for c in classes:
             factors[c] = factors[c] * F.coalesce(F.col(f"__t{i}_{c}"), F.lit(1.0))
@@ -169,13 +177,13 @@ def ablate_column(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
         lr = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
                                 maxIter=max_iter, tol=1e-8)
         m = lr.fit(data)
-        names = prep.stages[-1].getInputCols()
+        names = prep.feature_names
         return df.sparkSession.createDataFrame([(nm, float(c)) for nm, c in zip(names, m.coefficients)],
                                                "feature string, coef double")
 
     with_s = fit(list(categorical) + [sensitive]).withColumnRenamed("coef", "coef_with")
     without = fit(list(categorical)).withColumnRenamed("coef", "coef_without")
-    return compare_coefficients(with_s, without, "feature", "coef_with", "coef_without", k=10_000)
+    return compare_coefficients(with_s, without, "feature", "coef_with", "coef_without", k=None)
 
 
 def class_table(df: DataFrame, key: str, cls: str, classes: Sequence[str], given: str = "key") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Join helpers: checked broadcasts and the join shapes the panel uses."""
+"""The join shapes the panel uses."""
 
 from __future__ import annotations
 
@@ -8,16 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the frame is
-    returned untouched and Spark/AQE choose a shuffle join from runtime sizes.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def join_keys(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
               right_on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on differently named keys; both key columns are kept."""

@@ -8,20 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DOMAIN = 50_000
-
-
-def resolve_domain(df: DataFrame, column: str, extra: Sequence[str] = (),
-                   max_size: int = MAX_DOMAIN) -> list[str]:
-    """Distinct, sorted category list (a code table), checked against ``max_size``.
+def resolve_domain(df: DataFrame, column: str, extra: Sequence[str] = ()) -> list[str]:
+    """Distinct, sorted category list (a code table).
 
     The domain becomes part of the output schema, so it is resolved before the
     plan is built; it is as large as the code table, never as large as the data.
     """
-    rows = (df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull())
-              .distinct().limit(max_size + 1).collect())
-    if len(rows) > max_size:
-        raise ValueError(f"domain of {column} exceeds {max_size} values")
+    rows = df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().collect()
     return sorted({r.v for r in rows} | set(extra))
 
 

@@ -5,26 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.functions.binning import flag
 from riskpanel.operators.evaluate import bucket_index, linspace_edges
 from riskpanel.operators.quantiles import exact_quantiles
-
-NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
-
-
-def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    return [c for c, t in df.dtypes if (t in NUMERIC or t.startswith("decimal")) and c not in exclude]
-
-
-def wide_to_long_stats(row: DataFrame, by: Sequence[str], names: Sequence[str], column: str = "column",
-                       value: str = "value") -> DataFrame:
-    """Unpivot a (small) aggregate result with one column per input column."""
-    return row.unpivot(list(by), list(names), column, value)
-
+from riskpanel.session import materialize
 
 def group_mean(df: DataFrame, by: Sequence[str] | str, measures: Sequence[str]) -> DataFrame:
     """A2: mean of each measure per group; NULL group keys are dropped (pandas groupby)."""
@@ -64,6 +51,8 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("__c")
     ).select(*by, "__c.column", "__c.v")
     long = long.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    for b in by:  # as everywhere, a NULL group key drops the row
+        long = long.where(F.col(b).isNotNull())
     keys = [*by, "column"]
     mom = long.groupBy(*keys).agg(F.count("v").alias("count"), F.avg("v").alias("mean"),
                                   F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
@@ -76,12 +65,11 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count per value and its percentage of the non-null total (NULL excluded)."""
-    nn = df.where(F.col(column).isNotNull())
-    # the total is one number from one partial aggregate; dividing by a literal
-    # keeps a high-cardinality column's counts spread over all partitions
-    total = nn.agg(F.count(F.lit(1))).first()[0]
-    c = nn.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    return c.select(column, "count", (F.col("count") / F.lit(total) * 100.0).alias("percentage"))
+    # the count table is written once; its total is a literal, so a
+    # high-cardinality column's counts stay spread over all partitions
+    c = materialize(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count")), "value_counts")
+    total = c.agg(F.sum("count")).first()[0]
+    return c.select(column, "count", (F.try_divide(F.col("count"), F.lit(total)) * 100.0).alias("percentage"))
 
 
 def prevalence(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -111,6 +99,8 @@ def histogram(df: DataFrame, column: str, bins: int = 1000) -> DataFrame:
     """
     v = F.col(column).cast("double")
     rng = df.where(v.isNotNull() & ~F.isnan(v)).agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    if rng.lo is None:  # no value: no bin
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, count long")
     lo, hi = float(rng.lo), float(rng.hi)
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
@@ -130,38 +120,26 @@ def histogram(df: DataFrame, column: str, bins: int = 1000) -> DataFrame:
 def density(df: DataFrame, column: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density (Scott's bandwidth) on an evenly spaced grid.
 
-    n, std, min and max come from one aggregate; each partition then adds its
-    rows' kernel contributions to the grid with NumPy (``mapInPandas``), and the
-    per-partition grids are summed by grid index. Output ``(i, x, density)``.
+    n, std, min and max come from one aggregate; each value then adds its kernel to
+    the grid points, exploded and summed by grid index with a partial aggregate (at
+    most ``grid`` rows a task are shuffled). Output ``(i, x, density)``; no row without values.
     """
     v = F.col(column).cast("double")
     clean = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     st = clean.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"),
                    F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     n, sd = int(st.n), float(st.sd or 0.0)
+    if n == 0:
+        return df.sparkSession.createDataFrame([], "i int, x double, density double")
     bw = sd * n ** (-1.0 / 5.0) if n > 1 and sd > 0 else 1.0
     xs = np.linspace(float(st.lo) - cut * bw, float(st.hi) + cut * bw, grid)
-
-    def part(batches):
-        acc = np.zeros(grid)
-        for pdf in batches:
-            vals = pdf["v"].to_numpy(dtype="float64")
-            for start in range(0, len(vals), 4096):
-                chunk = vals[start:start + 4096]
-                z = (xs[None, :] - chunk[:, None]) / bw
-                acc += np.exp(-0.5 * z * z).sum(axis=0)
-        yield pd.DataFrame({"i": np.arange(grid, dtype="int32"), "s": acc})
-
-    sums = clean.mapInPandas(part, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    points = clean.select("v", F.posexplode(F.array(*[F.lit(float(x)) for x in xs])).alias("i", "x"))
+    z = (F.col("x") - F.col("v")) / F.lit(bw)
     norm = 1.0 / (n * bw * np.sqrt(2 * np.pi))
-    xarr = F.array(*[F.lit(float(x)) for x in xs])
-    return sums.select("i", F.element_at(xarr, F.col("i") + 1).alias("x"), (F.col("s") * norm).alias("density"))
+    return points.groupBy("i", "x").agg((F.sum(F.exp(-0.5 * z * z)) * F.lit(float(norm))).alias("density"))
 
 
 def state_means(df: DataFrame, location: str, target: str) -> DataFrame:
     """T14 (choropleth table): mean target per location."""
     return group_mean(df, location, [target])
 
-
-def column_exprs(cols: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{c}`") for c in cols]

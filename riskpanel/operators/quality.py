@@ -29,7 +29,7 @@ def missing(df: DataFrame, columns: Sequence[str] | None = None, only_missing: b
     row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(_q(c)).alias(c) for c in cols])
     long = row.unpivot(["__n"], cols, "column", "non_null")
     out = long.select("column", (F.col("__n") - F.col("non_null")).alias("missing"),
-                      ((F.col("__n") - F.col("non_null")) / F.col("__n") * 100.0).alias("missing_pct"))
+                      (F.try_divide(F.col("__n") - F.col("non_null"), F.col("__n")) * 100.0).alias("missing_pct"))
     return out.where(F.col("missing") > 0) if only_missing else out
 
 
@@ -90,7 +90,3 @@ def narrow_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                               pick.otherwise(F.lit(types[c])).alias("narrow_type")))
     return row.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
-
-def apply_types(df: DataFrame, plan: dict[str, str]) -> DataFrame:
-    """Cast columns to the types chosen by ``narrow_types`` (collected: one row per column)."""
-    return df.select(*[_q(c).cast(plan[c]).alias(c) if c in plan else _q(c) for c in df.columns])

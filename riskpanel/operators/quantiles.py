@@ -1,45 +1,66 @@
 """Exact quantiles without funnelling a column through one task.
 
 ``percentile`` keeps a value -> count map per group and merges it in one task,
-which does not hold for a continuous column at scale. Here the values are
-range-partitioned and sorted by (group, value); each row's global rank is its
-position inside its partition plus the row count of all earlier partitions
-(a table with one row per partition). The ranks needed for linear
-interpolation are then picked with a filter, so only two rows per requested
-quantile reach the final aggregate.
+which does not hold for a continuous column at scale. Here one approximate pass
+gives fixed bucket borders, literals from then on. Rows are counted per (group,
+bucket), which locates the bucket of every requested rank; only the rows of
+those buckets are then aggregated to (value, count) and ranked inside their
+bucket. Each step is an aggregate over the rows themselves: no row position is
+ever computed, so the result does not depend on how a plan is evaluated, and a
+value held by a third of the rows collapses in the partial aggregate.
+
+NULL and NaN values are skipped and rows with a NULL group key are dropped, as
+pandas does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 256
+
 
-def ranked(df: DataFrame, value: str, by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """Rows ``(by..., __v, __rank)`` with 0-based rank of the value inside its group
-    (NULL and NaN values removed, as pandas skips them)."""
+def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     v = F.col(value).cast("double")
-    base = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a seeded random tie-break spreads a value held by a third of the rows over
-    # many range partitions; equal values are interchangeable for ranking
-    base = base.withColumn("__t", F.rand(17))
-    keys = [*by, "__v", "__t"]
-    srt = (base.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-               .withColumn("__pid", F.spark_partition_id())
-               .withColumn("__mid", F.monotonically_increasing_id()))
-    # row position inside the partition: the id's low 33 bits count rows in order
-    srt = srt.withColumn("__pos", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33))
-    # rows of each group in each partition, then offsets (partitions x groups rows)
-    per = srt.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__cnt"),
-                                        F.min("__pos").alias("__first"))
-    wg = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1) if by else \
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("__before", F.coalesce(F.sum("__cnt").over(wg), F.lit(0)))
-    joined = srt.join(per.select("__pid", *by, "__first", "__before"), ["__pid", *by])
-    return joined.select(*by, "__v", (F.col("__before") + F.col("__pos") - F.col("__first")).alias("__rank"))
+    out = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    for b in by:
+        out = out.where(F.col(b).isNotNull())
+    return out
+
+
+def _bucket(borders: Sequence[float], first: int = 0) -> Column:
+    """Number of borders at or below the value, as a balanced tree of comparisons."""
+    if not borders:
+        return F.lit(first)
+    mid = len(borders) // 2
+    return F.when(F.col("__v") < F.lit(borders[mid]), _bucket(borders[:mid], first)) \
+        .otherwise(_bucket(borders[mid + 1:], first + mid + 1))
+
+
+def select_ranks(rows: DataFrame, by: Sequence[str], wanted: Column) -> DataFrame:
+    """``(by..., __n, __rank, __v)``: the value at each 0-based rank of the array ``wanted``
+    (an expression over the group's row count ``__n``). ``rows`` holds ``by`` and ``__v``."""
+    by = list(by)
+    got = rows.agg(F.percentile_approx("__v", [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("b")).first()[0]
+    rows = rows.withColumn("__b", _bucket(sorted(set(got or []))))
+    counts = rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*by)
+    counts = counts.select(*by, "__b", "__c", F.sum("__c").over(group).alias("__n"),
+                           (F.sum("__c").over(group.orderBy("__b")) - F.col("__c")).alias("__before"))
+    ranks = F.filter(wanted, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")))
+    need = counts.select(*by, "__b", "__n", "__before", ranks.alias("__ranks")).where(F.size("__ranks") > 0)
+    # (value, count) of the located buckets only; equal values are one row
+    held = rows.join(need.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, "__b"])]),
+                     [F.col(c) == F.col(f"__k{i}") for i, c in enumerate([*by, "__b"])], "left_semi")
+    held = held.groupBy(*by, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__b").orderBy("__v"))
+    held = held.withColumn("__upto", upto).join(need, [*by, "__b"])
+    last = F.col("__before") + F.col("__upto")
+    mine = F.filter("__ranks", lambda r: (r < last) & (r >= last - F.col("__c")))
+    return held.select(*by, "__n", F.explode(mine).alias("__rank"), "__v")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -47,24 +68,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 
     Output: ``by... , q_<p*100>`` one column per probability, one row per group.
     """
-    r = ranked(df, value, by)
-    counts = r.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    targets = []
+    def ends(p: float) -> list[Column]:
+        at = (F.col("__n") - 1) * F.lit(float(p))
+        return [F.floor(at).cast("long"), F.ceil(at).cast("long")]
+
+    wanted = F.array_distinct(F.array(*[r for p in probs for r in ends(p)]))
+    picked = select_ranks(_values(df, value, by), by, wanted)
+    values = picked.groupBy(*by).agg(F.max("__n").alias("__n"),
+                                     F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"))
+    out = []
     for p in probs:
-        pos = (F.col("__n") - 1) * F.lit(float(p))
-        targets.append(F.struct(F.lit(float(p)).alias("p"), pos.alias("pos")))
-    t = counts.select(*by, "__n", F.explode(F.array(*targets)).alias("t")).select(*by, "t.p", "t.pos")
-    t = t.select(*by, "p", "pos", F.floor("pos").cast("long").alias("lo"), F.ceil("pos").cast("long").alias("hi"))
-    need = t.select(*by, "p", "pos", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("__rank"))
-    picked = need.join(r, [*by, "__rank"]) if by else need.join(r, ["__rank"])
-    agg = picked.groupBy(*by, "p", "pos", "lo").agg(
-        F.max(F.when(F.col("__rank") == F.col("lo"), F.col("__v"))).alias("vlo"),
-        F.max(F.when(F.col("__rank") == F.col("hi"), F.col("__v"))).alias("vhi"))
-    frac = F.col("pos") - F.col("lo")
-    val = F.col("vlo") + (F.col("vhi") - F.col("vlo")) * frac
-    out = agg.select(*by, "p", val.alias("q"))
-    names = {float(p): f"q{round(float(p) * 100, 4):g}".replace(".", "_") for p in probs}
-    expr = [F.max(F.when(F.col("p") == F.lit(k), F.col("q"))).alias(n) for k, n in names.items()]
-    if by:
-        return out.groupBy(*by).agg(*expr)
-    return out.agg(*expr)
+        at, (lo, hi) = (F.col("__n") - 1) * F.lit(float(p)), ends(p)
+        a, b = F.try_element_at("__m", lo), F.try_element_at("__m", hi)
+        out.append((a + (b - a) * (at - lo)).alias(f"q{round(float(p) * 100, 4):g}".replace(".", "_")))
+    return values.where(F.col("__n").isNotNull()).select(*by, *out)  # no value, no row

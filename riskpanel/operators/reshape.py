@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskpanel.operators.quantiles import ranked
+from riskpanel.operators.quantiles import select_ranks
+from riskpanel.session import materialize
 
 
 def melt(df: DataFrame, id_vars: Sequence[str], value_vars: Sequence[str], var_name: str = "variable",
@@ -24,8 +25,9 @@ def transpose(df: DataFrame, key: str, value_cols: Sequence[str] | None = None,
     report-sized frames (group means, describe output).
     """
     cols = list(value_cols or [c for c in df.columns if c != key])
-    keys = sorted(r[0] for r in df.select(F.col(key).cast("string")).distinct().collect())
-    long = df.select(F.col(key).cast("string").alias("__k"), *cols).unpivot(["__k"], cols, name, "__v")
+    k = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))  # a NULL key is a column as well
+    keys = sorted(r[0] for r in df.select(k).distinct().collect())
+    long = df.select(k.alias("__k"), *cols).unpivot(["__k"], cols, name, "__v")
     return long.groupBy(name).pivot("__k", keys).agg(F.first("__v"))
 
 
@@ -44,24 +46,24 @@ def weighted_sample(df: DataFrame, n: int | None = None, frac: float | None = No
                     seed: int = 0) -> DataFrame:
     """Weighted sample without replacement (Efraimidis-Spirakis).
 
-    Each row draws ``key = -ln(u) / w``; the sample is the ``n`` smallest keys.
-    The n-th smallest key is found with the distributed rank selection, then a
-    filter keeps the rows at or below it: the sample never passes through one
-    task. Weight 0 (or NULL) is never drawn.
+    Each row draws ``key = -ln(u) / w``; the sample is the ``n`` smallest keys
+    (``frac``: that share of all rows). The keyed rows are written once, so the
+    draw is the same in every pass; the n-th smallest key is found with the
+    distributed rank selection, then a filter keeps the rows at or below it: the
+    sample never passes through one task. Weight 0 (or NULL) is never drawn; with
+    fewer positive weights than ``n`` all of them are.
     """
     w = F.col(weight).cast("double")
-    keyed = df.withColumn("__key", F.when(w > 0, -F.log(F.rand(seed)) / w))
+    keyed = materialize(df.withColumn("__key", F.when(w > 0, -F.log(F.rand(seed)) / w)), "weighted")
     if n is None:
-        total = df.where(w > 0).count()
-        n = int(round(frac * total))
+        n = int(round(frac * keyed.count()))
+    drawn = keyed.where(F.col("__key").isNotNull())
     if n <= 0:
         return keyed.where(F.lit(False)).drop("__key")
-    r = ranked(keyed.where(F.col("__key").isNotNull()), "__key")
-    cut = r.where(F.col("__rank") == n - 1).select(F.col("__v").alias("__cut"))
-    row = cut.first()
-    if row is None:  # fewer positive weights than n: all of them
-        return keyed.where(F.col("__key").isNotNull()).drop("__key")
-    return keyed.where(F.col("__key") <= F.lit(row[0])).drop("__key")
+    row = select_ranks(drawn.select(F.col("__key").alias("__v")), [], F.array(F.lit(n - 1).cast("long"))).first()
+    if row is not None:
+        drawn = drawn.where(F.col("__key") <= F.lit(row["__v"]))
+    return drawn.drop("__key")
 
 
 def dummies(df: DataFrame, column: str, levels: Sequence[str] | None = None, drop: str | None = "first",

@@ -13,15 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskpanel.functions.stats import corr_from_sums
-
-
-def melt_features(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Wide -> sparse long: ``(keys..., feature, value)``, NULL treated as 0 and zeros dropped."""
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value"))
-        for f in features])).alias("__f")).select(*keys, "__f.feature", "__f.value")
-    return long.where(F.col("value").isNotNull() & (F.col("value") != 0))
+from riskpanel.functions.stats import corr_from_sums, corr_sparse
 
 
 def target_corr(long: DataFrame, rows: DataFrame, keys: Sequence[str], target: str,
@@ -34,16 +26,19 @@ def target_corr(long: DataFrame, rows: DataFrame, keys: Sequence[str], target: s
     """
     y = F.col(target).cast("double")
     base = rows.select(*keys, *[b for b in by if b not in keys], y.alias("__y"))
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"),
-                                  F.sum("__y").alias("sy"), F.sum(F.col("__y") * F.col("__y")).alias("syy"))
-    sums = (long.select(*keys, "feature", "value").join(base, list(keys))
-                .groupBy(*by, "feature")
-                .agg(F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"),
-                     F.sum(F.col("value") * F.col("__y")).alias("sxy")))
-    grid = stats.select(*by, "n", "sy", "syy", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
-    j = grid.join(sums, [*by, "feature"], "left").fillna(0.0, subset=["sx", "sxx", "sxy"])
-    return j.select(*by, "feature", corr_from_sums(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"),
-                                                   F.col("syy"), F.col("sxy")).alias("corr"))
+    stats = base.groupBy(*by).agg(F.count("__y").cast("double").alias("n"), F.avg("__y").alias("my"),
+                                  (F.var_pop("__y") * F.count("__y")).alias("ssy"))
+    x = F.col("value").cast("double")
+    sums = (long.select(*keys, "feature", "value").join(base.where(F.col("__y").isNotNull()), list(keys))
+                .where(F.col("value").isNotNull()).groupBy(*by, "feature")
+                .agg(F.count("value").cast("double").alias("n1"), F.avg(x).alias("mx1"),
+                     (F.var_pop(x) * F.count("value")).alias("ssx1"), F.avg("__y").alias("my1"),
+                     (F.covar_pop(x, F.col("__y")) * F.count("value")).alias("co1")))
+    grid = stats.select(*by, "n", "my", "ssy", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    j = grid.join(sums, [*by, "feature"], "left").fillna(0.0, subset=["n1", "mx1", "ssx1", "my1", "co1"])
+    c = F.col
+    return j.select(*by, "feature", corr_sparse(c("n"), c("my"), c("ssy"), c("n1"), c("mx1"), c("ssx1"),
+                                                c("my1"), c("co1")).alias("corr"))
 
 
 def rank_corr(corr: DataFrame, feature: str = "feature", value: str = "corr") -> DataFrame:

@@ -21,6 +21,7 @@ Everything is one lazy plan per call; the large inputs are ``lineitem`` and
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +48,28 @@ def fold_of(startdate_col: str = "startdate", starts: Sequence[str] = START_DATE
     return F.array_position(arr, F.col(startdate_col)).cast("int")
 
 
-def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated claim lines: one row per line item with its member and codes."""
+def window_bounds(starts: Sequence[str], months: int, back: bool = True, fwd: bool = True):
+    """Filter on the raw order date that holds every window of ``starts``: a plain range of
+    literals, so it reaches the Parquet scan of ``orders``."""
+    first, last = dt.datetime.fromisoformat(min(starts)), dt.datetime.fromisoformat(max(starts))
+
+    def moved(d: dt.datetime, n: int) -> dt.datetime:
+        y, m = divmod(d.year * 12 + d.month - 1 + n, 12)
+        return d.replace(year=y, month=m + 1, day=1)
+
+    lo = moved(first, -months) if back else first
+    hi = moved(last, months + 1) if fwd else last  # a month more: the window's exact end is checked per row
+    return (F.col("o_orderdate") >= F.lit(lo)) & (F.col("o_orderdate") < F.lit(hi))
+
+
+def claim_lines(spark: SparkSession, sf_dir: str, dates=None) -> DataFrame:
+    """Dated claim lines: one row per line item with its member and codes. ``dates``: filter on
+    the order date, applied to the scan of ``orders`` before any join."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_returnflag",
         (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("revenue"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = o if dates is None else o.where(dates)
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(p, li.l_partkey == p.p_partkey)
@@ -80,7 +97,8 @@ def tagged_lines(spark: SparkSession, sf_dir: str, back: Sequence[str] = START_D
         s = F.to_date(F.lit(x))
         cands.append(F.when((d >= s) & (d < F.add_months(s, span)),
                             F.struct(s.alias("sdate"), F.lit("fwd").alias("role"))))
-    t = claim_lines(spark, sf_dir).select("*", F.explode(F.array(*cands)).alias("__t")).where(F.col("__t").isNotNull())
+    dates = window_bounds([*back, *fwd], span, back=bool(back), fwd=bool(fwd))
+    t = claim_lines(spark, sf_dir, dates).select("*", F.explode(F.array(*cands)).alias("__t")).where(F.col("__t").isNotNull())
     sd = F.col("__t.sdate")
     return t.select("party_id", "revenue", "l_quantity", "p_type", "p_brand",
                     F.when(F.col("l_returnflag") == "R", F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("DRG"),
@@ -110,7 +128,7 @@ def a_to_e(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES
     not a window over a whole plan; no size check job is spent on it, AQE
     broadcasts it from the runtime size of its shuffle stage.
     """
-    lines = claim_lines(spark, sf_dir).select("party_id", "o_orderdate", "revenue")
+    lines = claim_lines(spark, sf_dir, window_bounds(starts, 12, back=False)).select("party_id", "o_orderdate", "revenue")
     fwd = lookback(lines, "o_orderdate", starts, [12], {"revenue": F.col("revenue")}, forward=True)
     actual = fwd.groupBy("party_id", "startdate").agg(F.sum("revenue").alias("actual"))
     m = members(spark, sf_dir).select("party_id", "plan")
@@ -124,12 +142,13 @@ def a_to_e(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES
     exp = a.groupBy("plan", "startdate").agg(F.avg("actual").alias("expected"))
     return (a.join(exp, ["plan", "startdate"])
              .select("party_id", "startdate", "plan", "actual", "expected",
-                     (F.col("actual") / F.col("expected")).alias("a_to_e_value")))
+                     F.try_divide("actual", "expected").alias("a_to_e_value")))
 
 
 def diagnosis_long(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES) -> DataFrame:
     """ICD-like long table: (party_id, startdate, CCSR_CATEGORY, CCSR_3mos/6mos/12mos)."""
-    lines = claim_lines(spark, sf_dir).select("party_id", "o_orderdate", "revenue", "p_type")
+    lines = claim_lines(spark, sf_dir, window_bounds(starts, max(WINDOWS), fwd=False)).select(
+        "party_id", "o_orderdate", "revenue", "p_type")
     lb = lookback(lines, "o_orderdate", starts, WINDOWS, {"CCSR": F.col("revenue")})
     return (lb.groupBy("party_id", "startdate", F.col("p_type").alias("CCSR_CATEGORY"))
               .agg(*[F.sum(f"CCSR_{m}mos").alias(f"CCSR_{m}mos") for m in WINDOWS]))
@@ -137,7 +156,7 @@ def diagnosis_long(spark: SparkSession, sf_dir: str, starts: Sequence[str] = STA
 
 def procedure_long(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES) -> DataFrame:
     """CPT-like line table: (party_id, startdate, CCS, CCS_3mos/6mos/12mos, DRG, DRG_LoS)."""
-    lines = claim_lines(spark, sf_dir).select(
+    lines = claim_lines(spark, sf_dir, window_bounds(starts, max(WINDOWS), fwd=False)).select(
         "party_id", "o_orderdate", F.col("p_brand").alias("CCS"),
         F.when(F.col("l_returnflag") == "R", F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("DRG"),
         "l_quantity")
@@ -146,26 +165,19 @@ def procedure_long(spark: SparkSession, sf_dir: str, starts: Sequence[str] = STA
                      F.col("l_quantity").alias("DRG_LoS"))
 
 
-def code_domains(spark: SparkSession, sf_dir: str, max_size: int = 50_000) -> dict[str, list[str]]:
+def code_domains(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """Category domains from the code table (``part``), each with one unused code.
 
-    One distinct over (kind, code) pairs, bounded by ``max_size`` per kind: the
-    domains become output columns, so they are schema metadata on the driver.
+    One distinct over (kind, code) pairs: the domains become output columns, so
+    they are schema metadata on the driver.
     """
     p = table(spark, sf_dir, "part")
     kinds = {"CCSR_CATEGORY": F.col("p_type"), "CCS": F.col("p_brand"),
              "DRG": F.lpad(F.col("p_size").cast("string"), 3, "0")}
     pairs = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
                                          for k, v in kinds.items()])).alias("x")).select("x.*")
-    cap = len(kinds) * max_size
-    rows = pairs.where(F.col("v").isNotNull()).distinct().limit(cap + 1).collect()
-    if len(rows) > cap:  # truncated: some domain is over its bound
-        raise ValueError(f"code domains exceed {max_size} values")
-    out = {k: sorted({r.v for r in rows if r.k == k} | {UNUSED_CATEGORY}) for k in kinds}
-    for k, v in out.items():
-        if len(v) > max_size:
-            raise ValueError(f"domain of {k} exceeds {max_size} values")
-    return out
+    rows = pairs.where(F.col("v").isNotNull()).distinct().collect()
+    return {k: sorted({r.v for r in rows if r.k == k} | {UNUSED_CATEGORY}) for k in kinds}
 
 
 def pivots(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
@@ -188,7 +200,7 @@ def order_indicators(spark: SparkSession, sf_dir: str, starts: Sequence[str] = S
     """Per (member, start): latest prior-year order's priority and status (W1, as a
     ``max_by`` over (date, key)) and order counts in the 3/6/12-month windows,
     all in one partial aggregate over the orders of the look-back windows."""
-    o = table(spark, sf_dir, "orders").select(
+    o = table(spark, sf_dir, "orders").where(window_bounds(starts, max(WINDOWS), fwd=False)).select(
         F.col("o_custkey").alias("party_id"), "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     lb = lookback(o, "o_orderdate", starts, WINDOWS, {"claims": F.lit(1)})
     latest = F.max_by(F.struct("o_orderpriority", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey"))
@@ -215,7 +227,7 @@ def _with_outcome(spark: SparkSession, sf_dir: str, agg: DataFrame, starts: Sequ
     a = agg.join(members(spark, sf_dir).drop("c_acctbal"), "party_id")
     exp = a.groupBy("plan", "startdate").agg(F.avg("actual").alias("expected"))
     return (a.join(exp, ["plan", "startdate"])
-             .withColumn("a_to_e_value", F.col("actual") / F.col("expected"))
+             .withColumn("a_to_e_value", F.try_divide("actual", "expected"))
              .withColumn("fold", fold_of("startdate", starts)))
 
 
@@ -233,20 +245,19 @@ def panel(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
     from riskpanel.operators.panel import pivot_long
     domains = domains or code_domains(spark, sf_dir)
     names = feature_names(domains)
-    long, _ = claims_store(spark, sf_dir, starts, domains)
-    wide = pivot_long(long, ["party_id", "startdate"], names + ["__actual"])
-    wide = wide.where(F.col("__actual").isNotNull())
+    keys = ["party_id", "startdate"]
+    long, rows = claims_store(spark, sf_dir, starts, domains)
+    wide = pivot_long(long.where(F.col("feature") != "__actual"), keys, names)
     flags = []
     for fam, marker in (("ccsr", "ccsr_12mos_"), ("drg", "drg_los_"), ("ccs", "ccs_12mos_")):
         cols = [F.col(f"`{n}`") for n in names if n.startswith(marker)]
         flags.append((F.greatest(*cols) if len(cols) > 1 else cols[0]).isNotNull().alias(f"__has_{fam}"))
     # presence flags in their own projection: each is evaluated once per row
-    wide = wide.select("party_id", "startdate", "__actual", *[F.col(f"`{n}`") for n in names], *flags)
+    wide = wide.select(*keys, *[F.col(f"`{n}`") for n in names], *flags)
     cols = [F.when(F.col(f"__has_{n.split('_', 1)[0]}"), F.coalesce(F.col(f"`{n}`"), F.lit(0.0))).alias(n)
             for n in names]
-    agg = wide.select("party_id", "startdate", F.col("__actual").alias("actual"), *cols)
-    out = _with_outcome(spark, sf_dir, agg, starts).join(order_indicators(spark, sf_dir, starts),
-                                                         ["party_id", "startdate"], "left")
+    # the outcome rows come from the same store; the pivot is only joined to them
+    out = rows.join(wide.select(*keys, *cols), keys, "left").join(order_indicators(spark, sf_dir, starts), keys, "left")
     pol = ["party_id", "startdate", "plan", "state", "zip", "gender", "marketing_channel", "tobacco_usage_ind",
            *[f"claims_{m}mos" for m in WINDOWS]]
     return out.select(*pol, *names, "a_to_e_value", "fold")

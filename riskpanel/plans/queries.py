@@ -198,18 +198,23 @@ def valid_period_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("party_id").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+_YEARS = ["1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01"]
+
+
 @register("stacked_outcomes", "U1 S4", sql=f"""
-WITH {S.LINES}, {S.MEMBERS}, {S.ae("ae96", ["1996-01-01"])}, {S.ae("ae97", ["1997-01-01"])}
+WITH {S.LINES}, {S.MEMBERS}, {", ".join(S.ae("ae" + y[2:4], [y]) for y in _YEARS)}
 SELECT party_id, startdate, plan, round(actual, 6) AS actual, round(expected, 6) AS expected,
        round(a_to_e_value, 6) AS a_to_e_value FROM ae96
+""" + "".join(f"""
 UNION ALL
-SELECT party_id, startdate, plan, NULL, NULL, round(a_to_e_value, 6) FROM ae97
-""")
+SELECT party_id, startdate, plan, NULL, NULL, round(a_to_e_value, 6) FROM ae{y[2:4]}
+""" for y in _YEARS[1:]))
 def stacked_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union by name of yearly frames whose columns differ (missing -> NULL)."""
-    a96 = proxy.a_to_e(spark, sf_dir, ["1996-01-01"])
-    a97 = proxy.a_to_e(spark, sf_dir, ["1997-01-01"]).select("party_id", "startdate", "plan", "a_to_e_value")
-    return rounded(panel_ops.stack([a96, a97]))
+    """Union by name of the yearly frames, the first of which has more columns
+    (missing -> NULL); each year's scan is pruned to its own dates."""
+    years = [proxy.a_to_e(spark, sf_dir, [y]) for y in proxy.START_DATES]
+    slim = [y.select("party_id", "startdate", "plan", "a_to_e_value") for y in years[1:]]
+    return rounded(panel_ops.stack([years[0], *slim]))
 
 
 from riskpanel.plans import queries_profile  # noqa: E402,F401  (registers more queries)

@@ -196,24 +196,24 @@ def head_per_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("plan_dummies", "P12 U2", sql=f"""
 WITH {S.population()},
-f1 AS (SELECT * FROM pop WHERE fold = 1),
+f1 AS (SELECT * FROM pop),
 pl AS (SELECT DISTINCT plan AS lv FROM f1 WHERE plan IS NOT NULL),
 ml AS (SELECT DISTINCT marketing_channel AS lv FROM f1 WHERE marketing_channel IS NOT NULL)
-SELECT f1.party_id, 'plan_' || pl.lv AS dummy, CAST(CASE WHEN f1.plan = pl.lv THEN 1 ELSE 0 END AS INTEGER) AS value
+SELECT f1.party_id, f1.fold, 'plan_' || pl.lv AS dummy, CAST(CASE WHEN f1.plan = pl.lv THEN 1 ELSE 0 END AS INTEGER) AS value
 FROM f1 CROSS JOIN pl WHERE pl.lv > (SELECT min(lv) FROM pl)
 UNION ALL
-SELECT f1.party_id, 'marketing_channel_' || ml.lv,
+SELECT f1.party_id, f1.fold, 'marketing_channel_' || ml.lv,
        CAST(CASE WHEN f1.marketing_channel = ml.lv THEN 1 ELSE 0 END AS INTEGER)
 FROM f1 CROSS JOIN ml WHERE ml.lv > (SELECT min(lv) FROM ml)
 """)
 def plan_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0/1 columns per level, first level dropped, NULL -> zeros (fold 1)."""
+    """0/1 columns per level, first level dropped, NULL -> zeros."""
     # level resolution and the projection both read the rows: write them once
-    pol = materialize(proxy.policies(spark, sf_dir).where(F.col("fold") == 1)
-                      .select("party_id", "plan", "marketing_channel"), "dummies_input")
+    pol = materialize(proxy.policies(spark, sf_dir)
+                      .select("party_id", "fold", "plan", "marketing_channel"), "dummies_input")
     d = reshape.dummies(reshape.dummies(pol, "plan"), "marketing_channel")
-    cols = [c for c in d.columns if c != "party_id"]
-    return reshape.melt(d, ["party_id"], cols, "dummy", "value")
+    cols = [c for c in d.columns if c not in ("party_id", "fold")]
+    return reshape.melt(d, ["party_id", "fold"], cols, "dummy", "value")
 
 
 @register("score_argmax", "P14 P15", sql=f"""

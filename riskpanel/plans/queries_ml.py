@@ -112,7 +112,7 @@ def lasso_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boosted_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: boosted trees on folds 1-4, scored on the held-out fold 5."""
     df, numeric = _frame(spark, sf_dir)
-    est = models.boosted({"max_depth": 4, "learning_rate": 0.1, "n_estimators": 20, "bagging_fraction": 0.8,
+    est = models.boosted({"max_depth": 4, "learning_rate": 0.1, "n_estimators": 100, "bagging_fraction": 0.8,
                           "min_data_in_leaf": 20}, label="a_to_e_value")
     model = models.fit_pipeline(df.where(F.col("fold") <= 4), numeric, TEXT, est, "a_to_e_value")
     scored = model.transform(df.where(F.col("fold") == 5)).select("a_to_e_value", "prediction")
@@ -121,7 +121,7 @@ def boosted_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("calibration_legacy", "M4 J3")
 def calibration_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4: legacy score calibrated to A/E in-sample (isotonic)."""
+    """M4: legacy score calibrated to A/E in-sample (boosted trees)."""
     legacy = proxy.legacy_scores(spark, sf_dir)
     p = proxy.score_pairs(spark, sf_dir).select("party_id", "startdate", "y_test")
     j = evaluate.join_scores(p, legacy, "party_id", "legacy_party_id")
@@ -152,11 +152,11 @@ def tuning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = df.select("fold", "a_to_e_value", *codes, *TEXT).cache()
 
     def evaluate_params(p):
-        fit = (lambda tr: models.fit_pipeline(tr, codes, TEXT, models.lasso(p["alpha"], label="a_to_e_value",
-                                                                            max_iter=100), "a_to_e_value"))
+        fit = (lambda tr: models.fit_pipeline(tr, codes, TEXT, models.lasso(p["alpha"], label="a_to_e_value"),
+                                               "a_to_e_value"))
         return tuning.evaluate_splits(data, "fold", SLIDING, fit, "a_to_e_value")
 
-    rows = tuning.search({"alpha": ("loguniform", 0.01, 1.0)}, 3, evaluate_params, seed=42, parallelism=3)
+    rows = tuning.search({"alpha": ("loguniform", 0.001, 0.3)}, 20, evaluate_params, seed=42, parallelism=8)
     data.unpersist()
     cols = sorted(rows[0].keys())
     return spark.createDataFrame([tuple(float(r[c]) if c != "number" else int(r[c]) for c in cols) for r in rows],

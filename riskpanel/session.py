@@ -44,8 +44,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a scratch folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset, only a
+    local-mode session gets a scratch folder of its own; on a cluster that folder
+    would be a different one on every machine, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -53,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="riskpanel-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

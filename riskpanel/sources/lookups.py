@@ -7,27 +7,23 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.operators.joins import broadcast_if_small
-
 
 def load_map(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
-    """A JSON object file ``{key: value, ...}`` (or JSON lines of pairs) as a
-    two-column table. Read by Spark, so a large map stays distributed."""
-    raw = spark.read.json(path)  # JSON Lines: one {key, value} pair per line
-    if set(raw.columns) == {key, value}:
-        return raw.select(F.col(key).cast("string").alias(key), value)
-    if "_corrupt_record" in raw.columns:  # one pretty-printed mapping object
-        raw = spark.read.option("multiLine", "true").json(path)
-    # one JSON object whose fields are the keys: unpivot it
-    cols = raw.columns
-    return (raw.select(F.explode(F.map_from_arrays(
-        F.array(*[F.lit(c) for c in cols]),
-        F.array(*[F.col(f"`{c}`").cast("string") for c in cols]))).alias(key, value)))
-
+    """A mapping as a two-column table: JSON Lines of ``{key, value}`` pairs, or one
+    JSON object ``{key: value, ...}`` per file (values as text).
 
-def map_from_dict(spark: SparkSession, mapping: dict, key: str = "key", value: str = "value") -> DataFrame:
-    """A small literal mapping as a table (for tests and tiny code lists)."""
-    return spark.createDataFrame([(str(k), v) for k, v in mapping.items()], [key, value])
+    An object is parsed as a map, so keys that differ by case only, or hold dots,
+    stay apart, and no column per key is made.
+    """
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    try:
+        pair = first is not None and set(json.loads(first[0])) == {key, value}
+    except ValueError:  # an object written over several lines
+        pair = False
+    if pair:
+        return spark.read.json(path).select(F.col(key).cast("string").alias(key), value)
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
 
 
 def load_names(spark: SparkSession, path: str) -> list[str]:
@@ -43,19 +39,11 @@ def load_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def apply_map(df: DataFrame, column: str, mapping: DataFrame, key: str = "key",
-              value: str = "value", out: str | None = None,
-              max_broadcast_rows: int = 1_000_000) -> DataFrame:
+              value: str = "value", out: str | None = None) -> DataFrame:
     """P10: map ``column`` through a lookup; unmatched keys give NULL.
 
-    The lookup is broadcast only when its row count is checked to be small;
-    otherwise the join is left to a shuffle.
+    Whether the lookup is broadcast is left to its size statistics and AQE.
     """
     out = out or f"{column}_mapped"
     m = mapping.select(F.col(key).alias("__k"), F.col(value).alias(out))
-    m = broadcast_if_small(m, max_broadcast_rows)
     return df.join(m, df[column].cast("string") == m["__k"], "left").drop("__k")
-
-
-def json_dump_map(mapping: dict, path: str) -> None:
-    with open(path, "w") as fh:
-        json.dump(mapping, fh)

@@ -17,8 +17,8 @@ def read_query(spark: SparkSession, query: str, *, url: str | None = None,
 
     With ``url`` the query is pushed to the database through JDBC and read
     in ``num_partitions`` parallel ranges of ``partition_column`` (one
-    connection per range, never one task for the whole result). Without a
-    url the query runs on Spark's own catalog (tables / temp views).
+    connection per range); without a partition column the database gives one
+    connection, so one task. Without a url the query runs on Spark's own catalog (tables / temp views).
     """
     if url is None:
         return spark.sql(query)
@@ -26,6 +26,8 @@ def read_query(spark: SparkSession, query: str, *, url: str | None = None,
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)
     if partition_column:
+        if lower_bound is None or upper_bound is None or lower_bound >= upper_bound:
+            raise ValueError("a partitioned read needs lower_bound < upper_bound")
         # JDBC does not allow "query" together with partitionColumn: wrap as dbtable.
         reader = (spark.read.format("jdbc").option("url", url)
                   .option("dbtable", f"({query}) q")

@@ -71,7 +71,7 @@ def test_value_counts_excludes_null(null_keys):
 def test_crosstab_drops_null_keys(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), (None, 1), ("b", None), ("b", 1)], "g string, t int")
     got = {(r.g, r.t): (r["count"], r.row_share) for r in fairness.crosstab(df, "g", "t").collect()}
-    assert got == {("a", 1): (1, 0.5), ("a", 0): (1, 0.5), ("b", 1): (1, 1.0)}
+    assert got == {("a", 1): (1, 0.5), ("a", 0): (1, 0.5), ("b", 1): (1, 1.0), ("b", 0): (0, 0.0)}
 
 
 def test_pivot_zero_fill_and_names(spark):

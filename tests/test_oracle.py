@@ -8,8 +8,9 @@ import __spark_entry__ as E
 from parity import compare, duck
 
 SF = os.environ.get("RISKPANEL_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+#: The library's own queries; those of the training-data subpackage have tests of their own.
+QUERIES = {name: q for name, q in E.queries().items() if name in E._registry()}
+SQL = {name: q for name, q in E.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,7 @@ def test_query_matches_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_only_query_runs(spark, name):
     df = QUERIES[name](spark, SF)
-    assert df.count() >= 0
+    assert df.count() > 0
     assert len(df.columns) > 0
 
 
