@@ -46,11 +46,6 @@ def rename(df: DataFrame, mapping: Mapping[str, str] | None = None, lower: bool
     return df.select(*[F.col(f"`{c}`").alias(new(c)) for c in df.columns])
 
 
-def normalise_names(df: DataFrame) -> DataFrame:
-    """C10 over a frame's columns (``.0`` -> ``_0``)."""
-    return df.select(*[F.col(f"`{c}`").alias(T.normalise_name(c)) for c in df.columns])
-
-
 def label_features(names: DataFrame, labels: DataFrame, name: str = "feature", code: str = "code",
                    label: str = "label", sep: str = "_") -> DataFrame:
     """``feature -> 'code - label'`` via the code after the last separator and a

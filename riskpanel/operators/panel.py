@@ -101,17 +101,6 @@ def lookback(df: DataFrame, date_col: str, starts: Sequence[str], months: Sequen
     return out.select(*keep, F.date_format(st, "yyyy-MM-dd").alias(name), *cols)
 
 
-def assemble(base: DataFrame, keys: Sequence[str], left: Sequence[DataFrame] = (),
-             inner: Sequence[DataFrame] = ()) -> DataFrame:
-    """Left-join feature blocks onto the base rows, then inner-join the outcome."""
-    out = base
-    for blk in left:
-        out = out.join(blk, list(keys), "left")
-    for blk in inner:
-        out = out.join(blk, list(keys), "inner")
-    return out
-
-
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str],
                    columns: Sequence[str] | None = None) -> DataFrame:
     """The latest row per key (``ROW_NUMBER() OVER (... ORDER BY order DESC) = 1``).

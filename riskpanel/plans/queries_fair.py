@@ -149,7 +149,7 @@ def ablation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     pol = pol.withColumn("threshold", flag("a_to_e_value", "<=", 1)).fillna(0, subset=[
         "claims_3mos", "claims_6mos", "claims_12mos"])
     return fairness.ablate_column(pol, ["claims_3mos", "claims_6mos", "claims_12mos"], ["plan", "gender"],
-                                  "threshold", "state", max_iter=200)
+                                  "threshold", "state", max_iter=1000)
 
 
 # ------------------------------------------------------------------ reshape
@@ -158,15 +158,17 @@ _STATS = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
 
 @register("transpose_describe", "U3 A5", sql="""
-PIVOT (
-  FROM (
+WITH d AS (
     SELECT event_type, count(value)::DOUBLE AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
            round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS p25,
            round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75,
            round(max(value), 6) AS max
-    FROM events WHERE event_type IS NOT NULL GROUP BY event_type)
-  UNPIVOT INCLUDE NULLS (v FOR stat IN (count, mean, std, min, p25, p50, p75, max)))
-ON event_type USING first(v) GROUP BY stat
+    FROM events WHERE event_type IS NOT NULL GROUP BY event_type),
+u AS (FROM d UNPIVOT INCLUDE NULLS (v FOR stat IN (count, mean, std, min, p25, p50, p75, max)))
+SELECT stat, max(CASE WHEN event_type = 'click' THEN v END) AS click, max(CASE WHEN event_type = 'error' THEN v END) AS error,
+       max(CASE WHEN event_type = 'purchase' THEN v END) AS purchase, max(CASE WHEN event_type = 'signup' THEN v END) AS signup,
+       max(CASE WHEN event_type = 'view' THEN v END) AS view
+FROM u GROUP BY stat
 """)
 def transpose_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """describe() per event type, transposed (one column per event type)."""

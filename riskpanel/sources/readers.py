@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from riskpanel.operators.cleaning import nan_to_null
+
 
 def read_query(spark: SparkSession, query: str, *, url: str | None = None,
                properties: Mapping[str, str] | None = None,
@@ -55,7 +57,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
         df = spark.read.format("feather").load(path)
     else:
         df = spark.read.format(fmt).load(path)
-    return df.select(*columns) if columns else df
+    return nan_to_null(df.select(*columns) if columns else df)  # NaN is missing from here on
 
 
 def read_folds(spark: SparkSession, path: str, *, folds: Sequence[int] | None = None,
@@ -73,7 +75,7 @@ def read_folds(spark: SparkSession, path: str, *, folds: Sequence[int] | None =
         df = df.where(F.col(partition_column).isin(list(folds)))
     if max_fold is not None:
         df = df.where(F.col(partition_column) <= max_fold)
-    return df
+    return nan_to_null(df)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
@@ -84,4 +86,4 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
         reader = reader.schema(schema)
     else:
         reader = reader.option("inferSchema", "true")
-    return reader.csv(path)
+    return nan_to_null(reader.csv(path))

@@ -52,4 +52,4 @@ def model_inputs(model: PipelineModel) -> list[str]:
     """Raw text columns the fitted preprocessor reads (one-hot inputs)."""
     import re
     stmt = model.stages[0].getStatement() if hasattr(model.stages[0], "getStatement") else ""
-    return sorted(set(re.findall(r"CASE WHEN CAST\(`([^`]+)` AS STRING\)", stmt)))
+    return sorted({c.replace("``", "`") for c in re.findall(r"CAST\(`((?:[^`]|``)+)` AS STRING\) AS __txt", stmt)})
