@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.session import materialize
 
-__all__ = ["materialize", "read", "only", "binary_list", "partitions"]
+__all__ = ["materialize", "read", "only", "binary_list", "held", "partitions", "ranges"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,23 @@ def binary_list(batch, name: str) -> list:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
 
 
+_held: dict = {}
+
+
+def held(name: str, make):
+    """A Python worker's cache, kept over its tasks as long as they ask for the same one: a
+    worker that turns to another operator gives the memory of the last one's back."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+        try:
+            import ctypes
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    return _held[name]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

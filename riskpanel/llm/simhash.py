@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, materialize, only
+from .common import binary_list, held, materialize, only
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator):
         import pyarrow as pa
+        held("simhash", dict)
         for b in batches:
             fps = np.array([simhash(shingle_hashes(t, shingle)) for t in binary_list(b, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])

@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import binary_list, materialize, only, ranges
+from .common import binary_list, held, materialize, only, ranges
 
-ANCHOR, STRETCH, GROUP_BYTES = 40, 16, 4_000_000
+ANCHOR, STRETCH, GROUP_BYTES = 40, 16, 1_000_000
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -53,16 +53,10 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out[:n]
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _tables_for(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64."""
     size = 1 << max(16, (n - 1).bit_length())
-    if size not in _tables:
-        _tables.clear()
-        _tables[size] = _powers(size, BASE), _powers(size, pow(BASE, -1, 1 << 64))
-    return _tables[size]
+    return held(f"powers {size}", lambda: (_powers(size, BASE), _powers(size, pow(BASE, -1, 1 << 64))))
 
 
 def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -115,7 +109,7 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
     return text, window[first] - start[text], n, at[first] - start[text], h[at[first]]
 
 
-def _split(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _split(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:

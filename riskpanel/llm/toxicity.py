@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, only, ranges
+from .common import binary_list, held, only, ranges
 
 #: Bytes that end a word besides white space.
 PUNCTUATION = b".,;:!?\"()[]{}|"
@@ -199,13 +199,14 @@ def _scorer(df: DataFrame, model: Model):
 
     def start():
         model = Model(*sent.value)
+        held("toxicity", dict)
         known: dict[bytes, int] = {}
         values = np.zeros(0)
 
         def score(text: bytes | None) -> float:
             nonlocal known, values
             words = words_of(text)
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known, values = {}, np.zeros(0)
             new = [x for x in dict.fromkeys(words) if x not in known]
             if new:
