@@ -328,7 +328,7 @@ def test_sum_of_squares_rule():
     used, gaps = {}, collections.Counter()
     for s, q, o in zip(lengths.tolist(), seq.tolist(), off.tolist()):
         options = {}
-        for g in [g for g, n in gaps.items() if n and g >= s] + [32]:
+        for g in [g for g, n in gaps.items() if n and g >= s] or [32]:
             c = gaps.copy()
             if g < 32:
                 c[g] -= 1
