@@ -1,10 +1,11 @@
 """Batch encoding with the tokenizers library, each distinct chunk of text once.
 
 Both vocabularies pre-tokenize at white space: no token spans a single blank or line break
-between other characters. A text is therefore cut into chunks there, every distinct chunk
-is encoded by the library once (a bounded cache per Python worker), and a text's ids are the
-concatenation. Texts with other white space (runs of blanks, tabs, no-break spaces, ...)
-or the separator character itself are encoded whole, so ids never depend on the cutting.
+between other characters. Texts are therefore cut into chunks there (by Arrow, a batch at a
+time), every distinct chunk is encoded by the library once (a bounded cache per Python
+worker), and a text's ids are the concatenation. Texts with other white space (runs of blanks,
+tabs, no-break spaces, ...) or the separator character itself are encoded whole, so ids never
+depend on the cutting.
 """
 
 from __future__ import annotations
@@ -13,30 +14,31 @@ import os
 
 import numpy as np
 
-from .common import ranges
+from .common import held, ranges
 
-#: White space and separators other than a blank and a line break.
-ODD = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a" \
-      "\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
-#: Blanks and line breaks that aren't single ones between other characters.
-RUNS = ("  ", " \n", "\n ", "\n\n")
-
-
-def plain(text: str) -> bool:
-    """Whether white space is only single blanks and line breaks between other characters."""
-    return not (text[0] in " \n" or text[-1] in " \n" or any(c in text for c in ODD) or any(r in text for r in RUNS))
+#: White space other than a blank and a line break, the separator, and blanks and line breaks that
+#: aren't single ones between other characters.
+ODD = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]" \
+      r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
 class ChunkEncoder:
     """``encode`` gives the ids of many texts. ``blanks``: the vocabulary keeps white space
     (a blank belongs to the word after it, a line break is a token of its own); else it drops it."""
 
-    def __init__(self, path: str, blanks: bool, cache: int = 1_000_000):
+    def __init__(self, path: str, blanks: bool, cache: int = 300_000):
+        import pyarrow as pa
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        pa.set_memory_pool(pa.system_memory_pool())  # gives a batch's memory back, unlike Arrow's default pool
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.blanks, self.cache = blanks, cache
+        self.blanks, self.cache, self.model = blanks, cache, self.tokenizer.model
+        # how the library writes the letters of Latin-1 for its model, and the ids of what may stand beside a word
+        letters = [c for c in map(chr, range(256)) if c.isalpha()]
+        self.spelt = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+        self.beside = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",.\n"} | {"": []}
+        self.blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1] if blanks else ""
         self.clear()
 
     def clear(self) -> None:
@@ -44,74 +46,95 @@ class ChunkEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() < 65536 else np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _chunks(self, text: str) -> list[str]:
+    def _text_of(self, key: str) -> str:
         """Keys of the cache: a word stands for itself after a blank, ``\\n`` + word for a line's first
-        word with the break before it, ``\\0`` + text for a text's first word or a text that isn't cut."""
-        if not plain(text):
-            return ["\x00" + text]
+        word with the break before it, ``\\0`` + word for a text's first word."""
+        return key[1:] if key[:1] == "\x00" else " " + key if self.blanks and key[:1] != "\n" else key
+
+    def _word_ids(self, key: str, known: dict[str, list[int]]) -> list[int] | None:
+        """Ids of a word of Latin-1 letters, perhaps with a comma or full stop: always one pre-token, so
+        the library's model gives them directly. None: the key is something else."""
+        head = key[0] if key[:1] in ("\n", "\x00") else ""
+        word = key[len(head):]
+        tail = word[-1] if word[-1:] in (",", ".") else ""
+        word = word[:-1] if tail else word
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
+            return None
+        word = (self.blank + word if not head else word).translate(self.spelt) if self.blanks else word.lower().translate(self.spelt)
+        ids = known.get(word)
+        if ids is None:
+            ids = known[word] = [t.id for t in self.model.tokenize(word)]
+        return (self.beside["\n"] if self.blanks and head == "\n" else []) + ids + self.beside[tail]
+
+    def _learn(self, keys: list[str]) -> None:
+        known: dict[str, list[int]] = {}
+        got = [self._word_ids(k, known) for k in keys]
+        rest = [i for i, g in enumerate(got) if g is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([self._text_of(keys[i]) for i in rest], add_special_tokens=False)):
+            got[i] = e.ids
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter((i for g in got for i in g), self.flat.dtype, int(n.sum()))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        first, last = len(self.index), len(self.index) + len(keys)
+        while last > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.starts[first:last] = self.used + np.cumsum(n) - n
+        self.lengths[first:last] = n
+        self.used += len(ids)
+        self.index.update(zip(keys, range(first, last)))
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text). ``texts``: list
+        or Arrow array of strings; null counts as empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        odd = pc.match_substring_regex(texts, ODD)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):
+            texts, kept = pc.if_else(odd, "", texts), texts
         if self.blanks:
-            return ("\x00" + text).replace("\n", " \n").split(" ")
-        return text.replace("\n", " ").split(" ")
-
-    def _text_of(self, key: str) -> str:
-        return key[1:] if key[0] == "\x00" else " " + key if self.blanks and key[0] != "\n" else key
-
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at:at + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([*map(self._text_of, part)], add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((i for g in got for i in g), self.flat.dtype, int(n.sum()))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            first, last = len(self.index), len(self.index) + len(part)
-            while last > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.starts[first:last] = self.used + np.cumsum(n) - n
-            self.lengths[first:last] = n
-            self.used += len(ids)
-            self.index.update(zip(part, range(first, last)))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each text)."""
-        chunks: list[str] = []
-        counts = []
-        for t in texts:
-            own = self._chunks(t) if t else []
-            chunks += own
-            counts.append(len(own))
+            cut = pc.replace_substring(pc.binary_join_element_wise("\x00", texts, ""), "\n", " \n")
+        else:
+            cut = pc.replace_substring(texts, "\n", " ")
+        parts = pc.split_pattern(cut, " ")
+        chunks = parts.flatten().dictionary_encode()
+        keys = chunks.dictionary.to_pylist()
         if len(self.index) > self.cache:
             self.clear()
-        found = list(map(self.index.get, chunks))
+        found = list(map(self.index.get, keys))
         if None in found:
-            self._learn(list({c for c, i in zip(chunks, found) if i is None}))
-            found = list(map(self.index.get, chunks))
-        at = np.array(found, np.int64)
+            self._learn([k for k, i in zip(keys, found) if i is None])
+            found = list(map(self.index.get, keys))
+        at = np.array(found, np.int64)[chunks.indices.to_numpy(zero_copy_only=False)] if keys else np.zeros(0, np.int64)
         lengths = self.lengths[at]
         ids = self.flat[ranges(self.starts[at], lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        edge = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-        return ids, ends[edge[1:]] - ends[edge[:-1]]
-
-
-_encoders: dict[tuple, ChunkEncoder] = {}
+        edge = parts.offsets.to_numpy().astype(np.int64)
+        n = ends[edge[1:] - edge[0]] - ends[edge[:-1] - edge[0]]
+        if len(whole):
+            encoded = self.tokenizer.encode_batch_fast(pc.take(kept, pa.array(whole)).to_pylist(), add_special_tokens=False)
+            pieces = np.split(ids, np.cumsum(n)[:-1])
+            for i, e in zip(whole.tolist(), encoded):
+                pieces[i], n[i] = np.array(e.ids, ids.dtype), len(e.ids)
+            ids = np.concatenate(pieces)
+        return ids, n
 
 
 def encoder(path: str, blanks: bool) -> ChunkEncoder:
     """The worker's own encoder: its cache serves all tasks that this worker runs."""
-    if (path, blanks) not in _encoders:
-        _encoders[path, blanks] = ChunkEncoder(path, blanks)
-    return _encoders[path, blanks]
-
-
-def slices(texts: list[str | None], chars: int = 2_000_000):
-    """(first, last) of runs of texts of about ``chars`` characters; a longer text is a run of its own."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > chars:
-            yield first, i
-            first, size = i, 0
-        size += len(t or "")
-    if first < len(texts):
-        yield first, len(texts)
+    return held(f"encoder {path}", lambda: ChunkEncoder(path, blanks))
+
+
+def slices(texts, most: int = 4_000_000):
+    """(first, last) of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
+    import pyarrow.compute as pc
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(size):
+        before = int(size[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield first, last
+        first = last

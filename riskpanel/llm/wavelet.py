@@ -170,9 +170,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
         enc = encoder(tokenizer, blanks)
         for b in batches:
-            doc_ids, texts = b.column("id").to_numpy(), b.column("text").to_pylist()
-            for first, last in slices(texts, 2 * shard_tokens):
-                got, n = enc.encode([t or "" for t in texts[first:last]])
+            doc_ids, texts = b.column("id").to_numpy(), b.column("text")
+            for first, last in slices(texts):
+                got, n = enc.encode(texts.slice(first, last - first))
                 if len(got) and (int(got.max()) >> bits or end_id >> bits):
                     raise ValueError(f"ids need more than {bits} bits")
                 ends = np.cumsum(n + 1)
