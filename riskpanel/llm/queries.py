@@ -93,7 +93,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.score(read(spark, sf_dir, "documents"), order=3, min_count=2, backoff=0.4)
+    scored = lm_score.score(read(spark, sf_dir, "documents"), order=3, min_count=1, backoff=0.4)
     return scored.select(F.col("id").alias("doc_id"), "n_tokens", F.round("log_score", 3).alias("log_score"))
 
 

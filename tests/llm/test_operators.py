@@ -192,6 +192,23 @@ def test_lm_scores_do_not_depend_on_blocks(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
 
 
+def test_lm_query_is_plain_stupid_backoff(spark):
+    docs = [(k, t.encode().lower().split()) for k, t in docs_of(spark)]
+    seen = [collections.Counter(tuple(w[i:i + n]) for _, w in docs for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = sum(seen[0].values())
+
+    def log_s(gram):
+        if len(gram) == 1:
+            return np.log(seen[0][gram]) - np.log(total)
+        c = seen[len(gram) - 1][gram]
+        return np.log(c) - np.log(seen[len(gram) - 2][gram[:-1]]) if c else np.log(0.4) + log_s(gram[1:])
+
+    got = sorted((r.doc_id, r.n_tokens, r.log_score) for r in QUERIES["op5_lm_score"][0](spark, SF_SMALL).collect())
+    want = sorted((k, len(w), sum(log_s(tuple(w[max(0, i - 2):i + 1])) for i in range(len(w)))) for k, w in docs)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert max(abs(g[2] - w[2]) for g, w in zip(got, want)) < 2e-3
+
+
 # 6 token ids
 
 ODD_TEXTS = ["", "a", "  two  blanks ", " lead", "trail ", "a\n\nb", "tab\there", "it's we'll\nI'd x", "nb\xa0sp", "e\u0301 x", "A\x00B",
