@@ -20,7 +20,9 @@ equal ones meet:
 4. A crowded anchor (more than ``crowded`` differing contents) isn't sent to one task: its blocks
    are cut into stretches of ``STRETCH`` windows by distance from the anchor, and stretches
    are grouped by the bytes that all their windows share. Equal windows have equal distances
-   and equal shared bytes, so this loses none.
+   and equal shared bytes, so this loses none. Equal stretches are counted (those inside a passage
+   are equal in all of its copies) and one instance of each is compared as above; where more than
+   ``crowded`` differing ones are left in a group, single windows are counted by hash.
 
 Texts are UTF-8 bytes (null: empty) and matches never cross rows. Defined results: empty
 and short texts keep all bytes; rows that repeat an id are separate texts that count as
@@ -235,8 +237,15 @@ def _compare(length: int):
     return run
 
 
+def _batches(out: list[tuple], **types) -> Iterator:
+    import pyarrow as pa
+    for k in range(0, len(out), 8192):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k:k + 8192]), types.values())], names=list(types))
+
+
 def _cut_crowded(length: int):
-    """Blocks of crowded anchors -> stretches of windows, grouped by the bytes their windows share."""
+    """Blocks of crowded anchors -> stretches of windows, grouped by the bytes their windows share;
+    ``same`` is the hash of a stretch's bytes."""
     def run(batches: Iterator):
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
@@ -244,7 +253,7 @@ def _cut_crowded(length: int):
             out = []
             for g1, content, n, lead, crowded, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "n", "lead", "crowded", "bytes"))):
                 if not crowded:
-                    out.append((g1, 0, content, 0, n, raw))
+                    out.append((g1, 0, content, 0, n, False, 0, raw))
                     continue
                 first = 0
                 while first < n:  # windows whose distance to the anchor falls into one class
@@ -252,13 +261,25 @@ def _cut_crowded(length: int):
                     last = min(n - 1, lead - kind * STRETCH)
                     shared = raw[lead - kind * STRETCH:lead - kind * STRETCH - STRETCH + 1 + length]
                     key = xxh3_64_intdigest(shared, kind + 1) >> 1
-                    out.append((g1, key, content, first, last - first + 1, raw[first:last + length]))
+                    own = raw[first:last + length]
+                    # the distance too: windows cut off at either end may leave equal bytes at another place
+                    out.append((g1, key, content, first, last - first + 1, True, xxh3_64_intdigest(own, lead - first) >> 1, own))
                     first = last + 1
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                for k in range(0, len(out), 8192):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k:k + 8192]), types)],
-                                                     names=["g1", "g2", "content", "shift", "n", "bytes"])
+            yield from _batches(out, g1=pa.int64(), g2=pa.int64(), content=pa.int64(), shift=pa.int32(), n=pa.int32(),
+                                crowded=pa.bool_(), same=pa.int64(), bytes=pa.binary())
+    return run
+
+
+def _windows(length: int):
+    """Stretches -> their single windows, as hashes."""
+    def run(batches: Iterator):
+        import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
+        for b in batches:
+            out = [(g1, g2, content, shift + k, xxh3_64_intdigest(raw[k:k + length]) >> 1)
+                   for g1, g2, content, shift, n, raw in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "content", "shift", "n", "bytes")))
+                   for k in range(n)]
+            yield from _batches(out, g1=pa.int64(), g2=pa.int64(), content=pa.int64(), at=pa.int64(), window=pa.int64())
     return run
 
 
@@ -278,6 +299,32 @@ def _fetch(length: int):
     return run
 
 
+def _compared(rows: DataFrame, length: int) -> DataFrame:
+    """(anchor, content, first, last): runs of windows that rows of one (g1, g2) have in common."""
+    return rows.select("g1", "g2", "content", "shift", "n", "bytes").repartition("g1", "g2").sortWithinPartitions("g1", "g2") \
+        .mapInArrow(_compare(length), "anchor long, content long, first long, last long")
+
+
+def _crowded(stretches: DataFrame, length: int, crowded: int) -> DataFrame:
+    """The same for stretches of crowded anchors, whose groups may have any size: equal stretches and, in
+    groups with more than ``crowded`` differing ones, equal windows are found by counts."""
+    group = ["g1", "g2"]
+    picked = stretches.groupBy(*group, "same").agg(F.count("*").alias("times"), F.min("content").alias("content"))
+    picked = materialize(picked, "stretches")
+    differing = picked.groupBy(*group).agg(F.count("*").alias("differing")).filter("differing > 1")
+    # a content has at most one stretch in a group, so this join is not skewed by equal ones
+    one = stretches.join(picked.join(differing, group).select(*group, "content", "differing"), [*group, "content"])
+    again = stretches.join(picked.filter("times > 1").select(*group, "same"), [*group, "same"], "left_semi")
+    windows = one.filter(F.col("differing") > crowded).select(*group, "content", "shift", "n", "bytes").mapInArrow(
+        _windows(length), "g1 long, g2 long, content long, at long, window long")
+    common = windows.groupBy(*group, "window").agg(F.count("*").alias("times")).filter("times > 1").select(*group, "window")
+    single = windows.join(common, [*group, "window"], "left_semi")
+    shift = F.col("shift").cast("long")
+    return _compared(one.filter(F.col("differing") <= crowded), length) \
+        .unionByName(again.select(F.col("g1").alias("anchor"), "content", shift.alias("first"), (shift + F.col("n") - 1).alias("last"))) \
+        .unionByName(single.select(F.col("g1").alias("anchor"), "content", F.col("at").alias("first"), F.col("at").alias("last")))
+
+
 def repeated_ranges(prepared: DataFrame, length: int = 200, crowded: int = 5000) -> DataFrame:
     """(row, spans): of each text with repeated windows, [first, end) byte ranges that they cover (unmerged)."""
     if length < ANCHOR + 8:
@@ -294,9 +341,12 @@ def repeated_ranges(prepared: DataFrame, length: int = 200, crowded: int = 5000)
         "anchor", "content", "start", "n", "lead", (F.col("kinds") > crowded).alias("crowded"))).alias("wanted"))
     raw = prepared.select(F.col("__row").alias("row"), "__z").join(wanted, "row").select("__z", "wanted").mapInArrow(
         _fetch(length), "anchor long, content long, n int, lead int, crowded boolean, bytes binary")
-    dealt = raw.mapInArrow(_cut_crowded(length), "g1 long, g2 long, content long, shift int, n int, bytes binary")
-    partly = dealt.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(
-        _compare(length), "anchor long, content long, first long, last long")
+    dealt = raw.mapInArrow(_cut_crowded(length), "g1 long, g2 long, content long, shift int, n int, crowded boolean, same long, bytes binary")
+    if contents.filter(F.col("kinds") > crowded).isEmpty():
+        partly = _compared(dealt, length)
+    else:
+        dealt = materialize(dealt, "edges")
+        partly = _compared(dealt.filter("not crowded"), length).unionByName(_crowded(dealt.filter("crowded"), length, crowded))
     # of a content: all windows if it occurs again, and those that other contents hold too
     whole = contents.filter("times > 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
     hits = whole.unionByName(partly).groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "last")).alias("hits"))

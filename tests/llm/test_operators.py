@@ -287,6 +287,34 @@ def test_suffix_dedup_equals_brute_force(spark, crowded):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_suffix_dedup_compares_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    long, short = noise(600), noise(205)
+    texts = [noise(60) + long + noise(60) for _ in range(60)] + [noise(60) + short + noise(60) for _ in range(60)]
+    texts += [noise(60) + "xyz"[i % 3] + long[150:500] + "xyz"[i // 3 % 3] + noise(60) for i in range(30)]
+    compare, most = suffix_dedup._compare, 20
+
+    def checked(length):
+        run = compare(length)
+
+        def watch(batches):
+            import collections
+            groups = collections.Counter()
+            for b in batches:
+                groups.update(zip(b.column("g1").to_pylist(), b.column("g2").to_pylist()))
+                if max(groups.values(), default=0) > most:
+                    raise ValueError("a crowded group goes to one task")
+                yield b
+
+        return lambda batches: run(watch(batches))
+
+    monkeypatch.setattr(suffix_dedup, "_compare", checked)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.id: r.n_removed for r in suffix_dedup.digests(df, crowded=most).collect()}
+    assert got == {i: sum(m) for i, m in enumerate(brute_repeats([t.encode() for t in texts], 200))}
+
+
 def test_suffix_dedup_edges(spark, odd_docs, no_docs):
     assert suffix_dedup.digests(no_docs).count() == 0
     cut = suffix_dedup.strip_repeats(odd_docs.drop("__z"))
