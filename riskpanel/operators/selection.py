@@ -102,6 +102,33 @@ def cross_corr(long: DataFrame, keys: Sequence[str], selected: Sequence[str], ot
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cross_corr_by(long: DataFrame, keys: Sequence[str], by: str, selected: DataFrame, other_prefix: str,
+                  other_features: Sequence[str], n_rows: DataFrame, k: int = 15) -> DataFrame:
+    """T4 per group ``by``: ``cross_corr`` with a selection (by, feature) and a row count (by, n) of each group.
+
+    ``long`` holds ``by``; the selected values of a key are gathered into one map, so each row of
+    the other family meets the selection once, and sums are per (group, selected, other).
+    """
+    x = F.col("value").cast("double")
+    cells = long.select(by, *keys, "feature", x.alias("value")).where("value IS NOT NULL")
+    chosen = cells.join(selected.select(by, "feature"), [by, "feature"], "left_semi")
+    a_stats = chosen.groupBy(by, "feature").agg(F.sum("value").alias("sa"), F.sum(x * x).alias("saa"))
+    other = cells.where(F.col("feature").startswith(other_prefix)).withColumnRenamed("feature", "other")
+    b_stats = other.groupBy(by, "other").agg(F.sum("value").alias("sb"), F.sum(x * x).alias("sbb"))
+    own = chosen.groupBy(by, *keys).agg(F.collect_list(F.struct("feature", "value")).alias("__own"))
+    both = other.join(own, [by, *keys]).select(by, "other", "value", F.explode("__own").alias("a"))
+    ab = both.groupBy(by, F.col("a.feature").alias("feature"), "other").agg(F.sum(F.col("value") * F.col("a.value")).alias("sab"))
+    names = F.explode(F.array(*[F.lit(f) for f in other_features])).alias("other")
+    grid = selected.select(by, "feature", names).join(n_rows.select(by, F.col("n").cast("double").alias("n")), by)
+    sums = ["sa", "saa", "sb", "sbb", "sab"]
+    pairs = grid.join(a_stats, [by, "feature"], "left").join(b_stats, [by, "other"], "left") \
+        .join(ab, [by, "feature", "other"], "left").fillna(0.0, subset=sums)
+    c = corr_from_sums(*[F.col(v) for v in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    out = pairs.select(by, "feature", "other", c.alias("corr"), F.abs(c).alias("abs_corr"))
+    w = Window.partitionBy(by, "feature").orderBy(F.col("abs_corr").desc_nulls_last(), F.col("other"))
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def null_corr_features(corr: DataFrame, n_folds: int, fold: str = "fold", feature: str = "feature",
                        value: str = "corr") -> DataFrame:
     """Features whose correlation is NULL in ``n_folds`` distinct folds."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskpanel.operators import selection
@@ -106,6 +106,36 @@ def cross_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("feature", "other", "corr", "abs_corr", F.col("rank").cast("int").alias("rank")))
 
 
+@register("cross_corr_folds", "T4", sql=f"""
+WITH {S.panel_long()},
+f AS (SELECT fold, party_id, feature, coalesce(value, 0.0) AS value, a_to_e_value FROM panel_long
+      WHERE starts_with(feature, 'ccsr_3mos') OR starts_with(feature, 'ccs_')),
+fam AS (SELECT fold, feature, {NULLABLE_CORR.format(c="corr(value, a_to_e_value)")} AS c FROM f
+        WHERE starts_with(feature, 'ccsr_3mos') GROUP BY fold, feature),
+sel AS (SELECT fold, feature FROM fam QUALIFY row_number() OVER (PARTITION BY fold ORDER BY abs(c) DESC NULLS LAST, feature) <= 10),
+pairs AS (SELECT a.fold, a.feature, b.feature AS other, {NULLABLE_CORR.format(c="corr(a.value, b.value)")} AS corr
+          FROM f a JOIN sel s ON s.fold = a.fold AND s.feature = a.feature
+          JOIN f b ON b.fold = a.fold AND b.party_id = a.party_id AND starts_with(b.feature, 'ccs_')
+          GROUP BY a.fold, a.feature, b.feature)
+SELECT fold, feature, other, round(corr, 6) AS corr, round(abs(corr), 6) AS abs_corr,
+       CAST(row_number() OVER (PARTITION BY fold, feature ORDER BY abs(corr) DESC NULLS LAST, other) AS INTEGER) AS rank
+FROM pairs QUALIFY rank <= 15
+""")
+def cross_corr_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 in every fold: the 15 procedure features most correlated with each of the fold's 10
+    diagnosis (3-month) features most correlated with A/E (``cross_corr`` has the last fold)."""
+    domains = proxy.code_domains(spark, sf_dir)
+    names, keys = proxy.feature_names(domains), ["party_id", "startdate"]
+    long, rows = proxy.claims_store(spark, sf_dir, domains=domains)
+    rows = rows.select(*keys, "fold", "a_to_e_value")
+    corr = selection.target_corr(long, rows, keys, "a_to_e_value", [n for n in names if n.startswith("ccsr_3mos")], by=["fold"])
+    w = Window.partitionBy("fold").orderBy(F.abs("corr").desc_nulls_last(), F.col("feature"))
+    top = corr.withColumn("__k", F.row_number().over(w)).where("__k <= 10").select("fold", "feature")
+    out = selection.cross_corr_by(long.select(*keys, "feature", "value").join(rows.select(*keys, "fold"), keys), keys, "fold", top,
+                                  "ccs_", [n for n in names if n.startswith("ccs_")], rows.groupBy("fold").agg(F.count("*").alias("n")))
+    return rounded(out.select("fold", "feature", "other", "corr", "abs_corr", F.col("rank").cast("int").alias("rank")))
+
+
 @register("null_corr_features", "A12", sql=f"""
 WITH {fold_corr_sql()}
 SELECT feature FROM fold_corr WHERE corr IS NULL GROUP BY feature HAVING count(DISTINCT fold) = 5

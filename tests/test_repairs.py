@@ -146,3 +146,13 @@ def test_checkpoint_folder_is_needed_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_cross_corr_covers_every_fold(spark):
+    from riskpanel.plans import proxy, queries_select
+    got = [r.asDict() for r in queries_select.cross_corr_folds(spark, "/root/testdata/sf0.001").collect()]
+    assert {r["fold"] for r in got} == set(range(1, len(proxy.START_DATES) + 1))
+    last = [{k: v for k, v in r.items() if k != "fold"} for r in got if r["fold"] == len(proxy.START_DATES)]
+    want = [r.asDict() for r in queries_select.cross_corr(spark, "/root/testdata/sf0.001").collect()]
+    by_rank = lambda rows: sorted((r["feature"], r["rank"], r["other"], r["corr"]) for r in rows)
+    assert by_rank(last) == by_rank(want)
