@@ -209,6 +209,17 @@ def test_lm_query_is_plain_stupid_backoff(spark):
     assert max(abs(g[2] - w[2]) for g, w in zip(got, want)) < 2e-3
 
 
+def test_lm_buckets_grow_with_the_corpus(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    want = {r.id: r.log_score for r in lm_score.score(docs).collect()}
+    used, explode = [], lm_score.exploded
+    monkeypatch.setattr(lm_score, "exploded", lambda blocked, order, buckets: used.append(buckets) or explode(blocked, order, buckets))
+    monkeypatch.setattr(lm_score, "BUCKET_GRAMS", 2000, raising=False)
+    got = {r.id: (r.n_tokens, r.log_score) for r in lm_score.score(docs).collect()}
+    assert 3 * sum(n for n, _ in got.values()) <= 2000 * used[0]
+    assert got.keys() == want.keys() and all(abs(got[k][1] - want[k]) < 1e-6 for k in want)
+
+
 # 6 token ids
 
 ODD_TEXTS = ["", "a", "  two  blanks ", " lead", "trail ", "a\n\nb", "tab\there", "it's we'll\nI'd x", "nb\xa0sp", "e\u0301 x", "A\x00B",
