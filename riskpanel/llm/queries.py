@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lm_score, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter, wavelet
+from . import chat_format, decontaminate, filter_audit, lm_score, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter, wavelet
 from .common import materialize, read
 
 #: Threshold of op4's decision and of the pipeline's first stage.
@@ -161,6 +161,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = {"A": filter_audit.few_words(100), "B": filter_audit.few_distinct(80), "C": filter_audit.many_capitals(10),
+               "D": filter_audit.holds_any("#$%&*|")}
+    failed = filter_audit.failures(read(spark, sf_dir, "documents"), filters, "E")
+    return filter_audit.audit(filter_audit.combinations(failed, read(spark, sf_dir, "labels")), ["A", "B", "C", "D", "E"])
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    min(doc_id) OVER (PARTITION BY text) AS smallest FROM d),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(words) < 100,
+    100 * len(list_distinct(words)) < 80 * len(words), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text),
+    regexp_matches(text, '[#$%&*|]'), smallest < doc_id] AS fails FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+p AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: chr(64 + i)), '') AS filter_order, x.k AS step, o[x.k] AS own, o[1:x.k - 1] AS before FROM p, x),
+y AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fail, len(list_filter(before, lambda i: fails[i])) > 0 AS gone,
+    len(list_filter(fails, lambda b: b)) AS n_fails FROM c, s),
+z AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT gone AND NOT fail) AS kept, sum(n) FILTER (NOT gone AND fail) AS removed,
+    sum(n) FILTER (gone AND fail) AS redundant, sum(n) FILTER (fail AND n_fails = 1) AS unique_fails,
+    sum(n) FILTER (NOT gone AND fail AND good) AS good_lost, sum(n) FILTER (NOT gone AND fail AND toxic) AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+    CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+    CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM z
+"""
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
@@ -173,4 +204,5 @@ QUERIES = {
     "op8_decontaminate": (op8_decontaminate, OP8_SQL),
     "op9_packing": (op9_packing, None),
     "op10_simhash": (op10_simhash, None),
+    "op12_filter_audit": (op12_filter_audit, OP12_SQL),
 }
