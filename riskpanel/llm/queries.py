@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, filter_audit, lm_score, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter, wavelet
+from . import chat_format, decontaminate, filter_audit, lm_score, packing, prefix_trie, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc, wavelet
 from .common import materialize, read
 
 #: Threshold of op4's decision and of the pipeline's first stage.
@@ -161,6 +161,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.turn_rows(read(spark, sf_dir, "conversations"))
+    opening = F.crc32(F.col("conv").cast("string")) % 9
+    found = prefix_trie.prefix_trie(prefix_trie.with_shared_openings(rows, 5, opening))
+    return found.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), F.col("members").alias("n_convs"),
+        F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+OP11_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h FROM t),
+r AS (SELECT conv_id, place, role, text FROM t JOIN c USING (conv_id) WHERE conv_id % 5 = 0 OR place > h
+    UNION ALL SELECT c.conv_id, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE c.conv_id % 5 <> 0 AND place <= h),
+s AS (SELECT conv_id, coalesce(list({'r': role, 't': text} ORDER BY place) FILTER (place IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+u AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM s),
+m AS (SELECT conv_id, depth, depth = len(turns) AS ends, turns[1:depth] AS prefix, CASE WHEN depth > 0 THEN strlen(turns[depth].t) ELSE 0 END AS bytes FROM u),
+g AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, prefix) AS rep FROM m),
+n AS (SELECT rep, depth, count(*) AS n_convs, max(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM g GROUP BY rep, depth),
+p AS (SELECT n.*, g.rep AS parent FROM n LEFT JOIN g ON g.conv_id = n.rep AND g.depth = n.depth - 1),
+k AS (SELECT parent AS rep, depth - 1 AS depth, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN k USING (rep, depth)),
+b AS (SELECT g.rep, g.depth, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved
+    FROM f JOIN g ON g.conv_id = f.rep AND g.depth <= f.depth GROUP BY ALL)
+SELECT rep AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM f JOIN b USING (rep, depth)
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = {"A": filter_audit.few_words(100), "B": filter_audit.few_distinct(80), "C": filter_audit.many_capitals(10),
                "D": filter_audit.holds_any("#$%&*|")}
@@ -192,6 +223,22 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS
 """
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(read(spark, sf_dir, "pages"), min_bytes=1000)
+    found = warc.page_digests(warc.captures(materialize(warc.read_records(spark, archives), "records")))
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+    CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS holder FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN holder <> page_id THEN holder END AS refers_to FROM q
+"""
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
@@ -204,5 +251,7 @@ QUERIES = {
     "op8_decontaminate": (op8_decontaminate, OP8_SQL),
     "op9_packing": (op9_packing, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_filter_audit": (op12_filter_audit, OP12_SQL),
+    "op13_warc": (op13_warc, OP13_SQL),
 }
