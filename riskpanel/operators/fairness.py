@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskpanel.functions.rowwise import row_argmax
@@ -191,12 +191,46 @@ def class_table(df: DataFrame, key: str, cls: str, classes: Sequence[str], given
 
     ``given='key'``: P(class | key) = n(key, class) / n(key);
     ``given='class'``: P(key | class) = n(key, class) / n(class).
-    Counts are one aggregate; the normalising window runs over the
-    (keys x classes) count table only.
+    Counts are one aggregate by key with a column a class; class totals are a one-row aggregate.
     """
-    c = (df.where(F.col(key).isNotNull() & F.col(cls).isNotNull())
-           .groupBy(key, F.col(cls).cast("string").alias("__c")).agg(F.count(F.lit(1)).alias("__n")))
-    part = Window.partitionBy(key) if given == "key" else Window.partitionBy("__c")
-    c = c.withColumn("__p", F.col("__n") / F.sum("__n").over(part))
-    return c.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col("__c") == F.lit(k), F.col("__p"))), F.lit(0.0))
-                                .alias(f"p_{k}") for k in classes])
+    rows = df.where(F.col(key).isNotNull() & F.col(cls).isNotNull())
+    label = F.col(cls).cast("string")
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n"), *[F.count(F.when(label == F.lit(k), 1)).alias(f"__n{i}") for i, k in enumerate(classes)])
+    if given == "key":
+        return counts.select(key, *[(F.col(f"__n{i}") / F.col("__n")).alias(f"p_{k}") for i, k in enumerate(classes)])
+    totals = rows.agg(*[F.count(F.when(label == F.lit(k), 1)) for k in classes]).first()  # one number a class
+    return counts.select(key, *[F.coalesce(F.try_divide(F.col(f"__n{i}"), F.lit(totals[i])), F.lit(0.0)).alias(f"p_{k}") for i, k in enumerate(classes)])
+
+
+def name_key(col: Column | str) -> Column:
+    """A name as the tables have it: its letters A to Z in upper case; NULL if it has none."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.nullif(F.upper(F.regexp_replace(c, "[^A-Za-z]", "")), F.lit(""))
+
+
+def class_with_fallback(df: DataFrame, surname: tuple[str, DataFrame], first: tuple[str, DataFrame], place: tuple[str, DataFrame],
+                        classes: Sequence[str], out: str = "predicted") -> DataFrame:
+    """M8 from three tables: P(class | surname) P(first name | class) P(place | class), normalised, where all three keys are in
+    their tables; else the product of surname and place, where both are; else NULL.
+
+    The choice is made row by row and named in ``factors`` (3, 2 or NULL). Each pair is a key column of ``df`` and a table of the
+    same key column with ``p_<class>`` columns (:func:`class_table`). Names are matched by :func:`name_key`, places as they are; a table
+    may have several spellings of a name: they must agree on one key, as a duplicate key is an error.
+    """
+    cur = df
+    for i, (key, tbl) in enumerate((surname, first, place)):
+        own = name_key if i < 2 else F.col
+        t = tbl.select(own(key).alias(f"__k{i}"), *[F.col(f"p_{c}").alias(f"__t{i}_{c}") for c in classes]).where(F.col(f"__k{i}").isNotNull())
+        twice = t.groupBy(f"__k{i}").count().where("count > 1").limit(3).collect()
+        if twice:
+            raise ValueError(f"table of {key} has keys twice: {[r[0] for r in twice]}")
+        cur = cur.join(t, own(key) == F.col(f"__k{i}"), "left")
+    both = F.col("__k0").isNotNull() & F.col("__k2").isNotNull()
+    three = both & F.col("__k1").isNotNull()
+    products = [{c: F.col(f"__t0_{c}") * F.col(f"__t2_{c}") * (F.col(f"__t1_{c}") if n == 3 else 1.0) for c in classes} for n in (3, 2)]
+    totals = [sum((p[c] for c in classes), F.lit(0.0)) for p in products]
+    # a product that is zero for every class says nothing: the other one, then NULL
+    use = F.when(three & (totals[0] > 0), 3).when(both & (totals[1] > 0), 2)
+    post = [F.when(use == 3, products[0][c] / totals[0]).when(use == 2, products[1][c] / totals[1]).alias(f"post_{c}") for c in classes]
+    cur = cur.select(*df.columns, *post, use.alias("factors"))
+    return cur.withColumn(out, row_argmax([f"post_{c}" for c in classes], list(classes)))

@@ -130,6 +130,37 @@ def posterior_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fairness.posterior_class(docs, [("lang", p_lang), ("source", p_src)], classes))
 
 
+_WORD = "upper(regexp_extract(text, '[A-Za-z]+'))"
+
+
+@register("posterior_fallback", "M8 P15", sql=f"""
+WITH d AS (SELECT doc_id, lang AS surname, nullif({_WORD}, '') AS first, length(text) // 2000 AS place FROM documents),
+ld AS (SELECT d.*, CAST(quality AS VARCHAR) AS q FROM d JOIN labels USING (doc_id)),
+n AS (SELECT count(*) FILTER (q = '0') AS n0, count(*) FILTER (q = '1') AS n1 FROM ld),
+s AS (SELECT surname, count(*) FILTER (q = '0') / count(*) AS p0, count(*) FILTER (q = '1') / count(*) AS p1 FROM ld WHERE surname IS NOT NULL AND q IS NOT NULL GROUP BY 1),
+f AS (SELECT first, count(*) FILTER (q = '0') / max(n0) AS p0, count(*) FILTER (q = '1') / max(n1) AS p1 FROM ld, n WHERE first IS NOT NULL AND q IS NOT NULL GROUP BY 1),
+g AS (SELECT place, count(*) FILTER (q = '0') / max(n0) AS p0, count(*) FILTER (q = '1') / max(n1) AS p1 FROM ld, n WHERE place IS NOT NULL AND q IS NOT NULL GROUP BY 1),
+j AS (SELECT d.*, s.p0 * f.p0 * g.p0 AS a0, s.p1 * f.p1 * g.p1 AS a1, s.p0 * g.p0 AS b0, s.p1 * g.p1 AS b1
+      FROM d LEFT JOIN s USING (surname) LEFT JOIN f USING (first) LEFT JOIN g USING (place)),
+u AS (SELECT *, CASE WHEN a0 + a1 > 0 THEN 3 WHEN b0 + b1 > 0 THEN 2 END AS factors FROM j),
+p AS (SELECT *, CASE factors WHEN 3 THEN a0 / (a0 + a1) WHEN 2 THEN b0 / (b0 + b1) END AS post_0,
+             CASE factors WHEN 3 THEN a1 / (a0 + a1) WHEN 2 THEN b1 / (b0 + b1) END AS post_1 FROM u)
+SELECT doc_id, surname, first, place, round(post_0, 6) AS post_0, round(post_1, 6) AS post_1, factors,
+       CASE WHEN post_0 = greatest(post_0, post_1) THEN '0' WHEN post_1 = greatest(post_0, post_1) THEN '1' END AS predicted FROM p
+""")
+def posterior_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 from three tables learned on labelled rows, with the two-table product where the first word is unknown
+    and NULL where the length class is (lang, first word and length stand in for surname, first name and place)."""
+    docs = proxy.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("surname"), fairness.name_key(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("first"),
+        F.floor(F.length("text") / 2000).alias("place"))
+    known = docs.join(proxy.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    classes = ["0", "1"]
+    tables = [(key, fairness.class_table(known, key, "quality", classes, given=given))
+              for key, given in (("surname", "key"), ("first", "class"), ("place", "class"))]
+    return rounded(fairness.class_with_fallback(docs, *tables, classes))
+
+
 @register("logit_threshold", "T13 P11 P12")
 def logit_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logit of the acceptance flag on the blend score and plan dummies, no

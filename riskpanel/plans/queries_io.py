@@ -11,11 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.operators import columns, encoding, panel as panel_ops, profile, quality
+from riskpanel.operators import columns, encoding, panel as panel_ops, position, profile, quality
 from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.registry import register, rounded
-from riskpanel.session import checkpoint_dir
+from riskpanel.session import checkpoint_dir, materialize
 from riskpanel.sources import lookups, readers, sinks
 
 
@@ -68,6 +68,65 @@ def zip_map_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.apply_map(cust, "zip", zmap, out="zip_category")
 
 
+@register("map_object_roundtrip", "K3 S7", sql="""
+SELECT p_name || ' "' || p_partkey || '\\ /' || chr(10) AS key, p_type AS value FROM part
+""")
+def map_object_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 + S7: a map whose keys hold quotes, backslashes and line ends, written as one JSON object and read back."""
+    path = _scratch(spark, "map_object")
+    part = proxy.table(spark, sf_dir, "part")
+    key = F.concat("p_name", F.lit(' "'), F.col("p_partkey").cast("string"), F.lit("\\ /\n"))
+    sinks.write_map_object(part.select(key.alias("key"), F.col("p_type").alias("value")), path)
+    return lookups.load_map(spark, path)
+
+
+_YEAR_COLUMNS = ["party_id", "plan", "actual", "expected", "a_to_e_value"]
+
+
+@register("dated_files", "S4 U1", sql=f"""
+WITH {S.LINES}, {S.MEMBERS}, {S.ae("ae")}
+SELECT party_id, plan, CASE WHEN startdate <> '1998-01-01' THEN round(actual, 6) END AS actual, round(expected, 6) AS expected,
+       round(a_to_e_value, 6) AS a_to_e_value, startdate, {S.fold_expr()} AS fold FROM ae
+""")
+def dated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + U1: five yearly files named by their date, one of which lacks a column, read in one scan: the date comes from
+    the file's name, the missing column is NULL. The claim lines behind them are read once."""
+    path = _scratch(spark, "dated")
+    years = materialize(proxy.a_to_e(spark, sf_dir), "years")
+    for day in proxy.START_DATES:
+        columns = [c for c in _YEAR_COLUMNS if not (day == "1998-01-01" and c == "actual")]
+        years.where(F.col("startdate") == day).select(columns).write.parquet(f"{path}/train {day}.parquet")
+    back = readers.read_dated(spark, path)
+    return rounded(back.select(*_YEAR_COLUMNS, "startdate", "fold"))
+
+
+@register("narrowed_lines", "C3", sql="""
+SELECT l_orderkey, l_linenumber, CAST(l_quantity AS TINYINT) AS l_quantity, l_extendedprice, l_quantity AS quantity_before,
+       'tinyint' AS quantity_type, 'double' AS price_type FROM lineitem
+""")
+def narrowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line quantities in the narrowest type that holds them (whole numbers up to 50), beside their old values;
+    prices have fractions and keep their type."""
+    li = proxy.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    small = quality.narrow(li, ["l_quantity", "l_extendedprice"])
+    types = dict(small.dtypes)
+    return small.select("*", F.col("l_quantity").cast(dict(li.dtypes)["l_quantity"]).alias("quantity_before"),
+                        F.lit(types["l_quantity"]).alias("quantity_type"), F.lit(types["l_extendedprice"]).alias("price_type"))
+
+
+@register("beside_by_position", "P13", sql="""
+WITH a AS (SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS pos FROM customer),
+b AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders)
+SELECT coalesce(a.pos, b.pos) AS pos, c_custkey, c_acctbal, o_orderkey, round(o_totalprice, 2) AS o_totalprice
+FROM a FULL JOIN b ON a.pos = b.pos
+""")
+def beside_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by balance beside orders by price, the i-th with the i-th; the shorter table ends in NULLs."""
+    c = proxy.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    o = proxy.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return rounded(position.beside(c, o, ["c_acctbal", "c_custkey"], ["o_totalprice", "o_orderkey"]), 2)
+
+
 @register("drop_names_roundtrip", "K4 S8 P2", sql=f"""
 WITH {S.population()}
 SELECT party_id, startdate, plan, round(a_to_e_value, 6) AS a_to_e_value FROM pop

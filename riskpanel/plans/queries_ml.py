@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.ml import models, scoring, tuning
-from riskpanel.operators import evaluate
+from riskpanel.ml import models, penalty_path, scoring, sparse, tuning
+from riskpanel.operators import cleaning, evaluate
 from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.registry import register, rounded
@@ -21,7 +21,6 @@ WEIGHTS = [i / 10 for i in range(11)]
 SLIDING = tuning.sliding_splits(FOLDS, train_span=1, holdout=1)
 EXPANDING = tuning.expanding_splits(FOLDS, holdout=1)
 TEXT = ["plan", "gender", "marketing_channel", "tobacco_usage_ind"]
-NON_FEATURES = {"party_id", "fold", "state", "a_to_e_value", *TEXT}
 
 
 def _split_values(splits) -> str:
@@ -90,20 +89,67 @@ def expanding_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           F.max("fold").alias("max_fold"))
 
 
-def _frame(spark: SparkSession, sf_dir: str):
-    # every fit runs several jobs over the same rows: write the frame once
-    df = materialize(proxy.training_frame(spark, sf_dir), "training_frame")
-    numeric = [c for c in df.columns if c not in NON_FEATURES]
-    return df, numeric
+KEYS, CLAIMS, LABEL = ["party_id", "startdate"], [f"claims_{m}mos" for m in proxy.WINDOWS], "a_to_e_value"
+
+
+def _cells(spark: SparkSession, sf_dir: str):
+    """Rows of the kept plans, their cells (store and own columns) and the features of the code table."""
+    domains = proxy.code_domains(spark, sf_dir)
+    long, rows = proxy.claims_store(spark, sf_dir, domains=domains)
+    rows = rows.join(proxy.order_indicators(spark, sf_dir), KEYS, "left").select(*KEYS, "fold", LABEL, *TEXT, *CLAIMS)
+    rows = materialize(cleaning.clean_fold(rows, proxy.KEPT_PLANS), "training_rows")
+    cells = sparse.store_cells(long.where(F.col("feature") != "__actual"), KEYS).unionByName(sparse.row_cells(rows, KEYS, CLAIMS, TEXT))
+    known = spark.createDataFrame([(n, None) for n in [*CLAIMS, *proxy.feature_names(domains)]], "column string, level string")
+    return rows, cells, known
+
+
+def _vectors(spark: SparkSession, sf_dir: str):
+    """The training rows as sparse vectors, written once, and their feature index."""
+    rows, cells, known = _cells(spark, sf_dir)
+    index = materialize(sparse.feature_index(cells, known), "feature_index")
+    return sparse.vectors(rows.select(*KEYS, "fold", LABEL), cells, index, KEYS), index
+
+
+@register("training_cells", "M1", sql=f"""
+WITH {S.panel_long()},
+kept AS (SELECT * FROM pop WHERE plan IN {S.in_list(proxy.KEPT_PLANS)}),
+cells AS (
+  SELECT p.party_id, p.startdate, p.fold, p.feature AS col, NULL AS level, p.value FROM panel_long p JOIN kept USING (party_id, startdate) WHERE p.value <> 0
+  UNION ALL SELECT party_id, startdate, fold, c.col, NULL, c.v FROM kept, (VALUES ('claims_3mos'), ('claims_6mos'), ('claims_12mos')) n(col),
+    LATERAL (SELECT n.col, CASE n.col WHEN 'claims_3mos' THEN claims_3mos WHEN 'claims_6mos' THEN claims_6mos ELSE claims_12mos END AS v) c WHERE c.v <> 0
+  UNION ALL SELECT party_id, startdate, fold, n.col, coalesce(trim(CASE n.col WHEN 'plan' THEN plan WHEN 'gender' THEN gender
+    WHEN 'marketing_channel' THEN marketing_channel ELSE tobacco_usage_ind END), 'None'), 1.0
+    FROM kept, (VALUES ('plan'), ('gender'), ('marketing_channel'), ('tobacco_usage_ind')) n(col)),
+names AS (SELECT col, level FROM cells UNION SELECT DISTINCT feature, NULL FROM panel_long
+  UNION SELECT unnest(['claims_3mos', 'claims_6mos', 'claims_12mos']), NULL),
+idx AS (SELECT col, level, CAST(row_number() OVER (ORDER BY level IS NOT NULL, col, level) - 1 AS INTEGER) AS index FROM names),
+n AS (SELECT count(*) AS n FROM kept WHERE fold <= 4),
+tr AS (SELECT col, level, count(*) AS k, sum(value) AS s, sum(value * value) AS ss FROM cells WHERE fold <= 4 GROUP BY ALL)
+SELECT index, CASE WHEN idx.level IS NULL THEN 'num__' || idx.col ELSE 'cat__' || idx.col || '_' || idx.level END AS feature,
+  coalesce(k, 0) AS non_zero, round(coalesce(s, 0) / n, 6) AS mean, round(sqrt(coalesce(ss, 0) / n - pow(coalesce(s, 0) / n, 2)), 6) AS std
+FROM idx LEFT JOIN tr ON tr.col = idx.col AND tr.level IS NOT DISTINCT FROM idx.level CROSS JOIN n
+""")
+def training_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the distributed feature index and, read back from the sparse training vectors of folds 1-4, each
+    feature's non-zero rows, mean and population std."""
+    rows, index = _vectors(spark, sf_dir)
+    entries = rows.where("fold <= 4").select(F.unwrap_udt("vector").alias("v")).select(
+        F.explode(F.arrays_zip("v.indices", "v.values")).alias("e")).select(F.col("e.indices").alias("index"), F.col("e.values").alias("x"))
+    sums = entries.groupBy("index").agg(F.count("*").alias("k"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    n = F.lit(rows.where("fold <= 4").count())
+    k, m = F.coalesce("k", F.lit(0)), F.coalesce("m", F.lit(0.0))
+    spread = (k * F.coalesce("v", F.lit(0.0)) + m * m * k * (n - k) / n) / n  # the zeros joined to the others
+    name = F.when(F.col("level").isNull(), F.concat(F.lit("num__"), "column")).otherwise(F.concat(F.lit("cat__"), "column", F.lit("_"), "level"))
+    return rounded(index.join(sums, "index", "left").select(
+        "index", name.alias("feature"), k.alias("non_zero"), (m * k / n).alias("mean"), F.sqrt(spread).alias("std")))
 
 
 @register("lasso_coefficients", "M1 M2 V5")
 def lasso_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 + M2: scaled numerics and one-hot text, Lasso (alpha 0.01) refit on
     folds 1-4; the coefficient table plus the intercept."""
-    df, numeric = _frame(spark, sf_dir)
-    model = tuning.refit(df, "fold", FOLDS[:-1], lambda tr: models.fit_pipeline(
-        tr, numeric, TEXT, models.lasso(0.01, label="a_to_e_value"), "a_to_e_value"))
+    rows, index = _vectors(spark, sf_dir)
+    model = tuning.refit(rows, "fold", FOLDS[:-1], lambda tr: sparse.fit(tr, index, models.lasso(0.01, label=LABEL)))
     coefs = models.coefficients(model) + [("intercept", float(model.stages[-1].intercept))]
     return spark.createDataFrame(coefs, "feature string, coef double")
 
@@ -111,12 +157,12 @@ def lasso_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("boosted_holdout", "M3 T10")
 def boosted_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: boosted trees on folds 1-4, scored on the held-out fold 5."""
-    df, numeric = _frame(spark, sf_dir)
+    rows, index = _vectors(spark, sf_dir)
     est = models.boosted({"max_depth": 4, "learning_rate": 0.1, "n_estimators": 100, "bagging_fraction": 0.8,
-                          "min_data_in_leaf": 20}, label="a_to_e_value")
-    model = models.fit_pipeline(df.where(F.col("fold") <= 4), numeric, TEXT, est, "a_to_e_value")
-    scored = model.transform(df.where(F.col("fold") == 5)).select("a_to_e_value", "prediction")
-    return evaluate.regression_metrics(scored, "a_to_e_value", ["prediction"])
+                          "min_data_in_leaf": 20}, label=LABEL)
+    model = sparse.fit(rows.where("fold <= 4"), index, est)
+    scored = model.transform(rows.where("fold = 5")).select(LABEL, "prediction")
+    return evaluate.regression_metrics(scored, LABEL, ["prediction"])
 
 
 @register("calibration_legacy", "M4 J3")
@@ -133,13 +179,16 @@ def calibration_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: a fitted pipeline saved to the shared checkpoint folder, loaded back
     and applied to the aligned held-out batch; predictions stay on their rows."""
-    df, numeric = _frame(spark, sf_dir)
-    model = models.fit_pipeline(df.where(F.col("fold") <= 4), numeric, TEXT,
-                                models.lasso(0.01, label="a_to_e_value"), "a_to_e_value")
+    rows, cells, known = _cells(spark, sf_dir)
+    index = materialize(sparse.feature_index(cells, known), "feature_index")
+    # fold 5 comes as cells of its own: it is aligned with the saved index, not with the training rows' vectors
+    train = sparse.vectors(rows.where("fold <= 4").select(*KEYS, "fold", LABEL), cells, index, KEYS)
+    model = sparse.fit(train, index, models.lasso(0.01, label=LABEL))
     path = os.path.join(checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
-    sinks.save_model(model, path)
-    loaded = sinks.load_model(path)
-    batch = scoring.align(df.where(F.col("fold") == 5), numeric, keep=["party_id", *TEXT])
+    sinks.save_model(model, f"{path}/model")
+    sparse.save_index(index, f"{path}/index")
+    loaded = sinks.load_model(f"{path}/model")
+    batch = sparse.vectors(rows.where("fold = 5").select(*KEYS), cells, sparse.load_index(spark, f"{path}/index"), KEYS)
     return scoring.score(loaded, batch, keep=["party_id"])
 
 
@@ -155,33 +204,51 @@ SEARCHES = {
 @register("tuning_search", "V3 V5 V6")
 def tuning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3/V6: seeded random searches of the Lasso penalty over all features and over the claims-code columns,
-    each trial fitted and scored on the sliding splits (parallel jobs). V5: each search's best penalty
-    retrained on every pair of consecutive folds (``stage`` retrain) and fitted on all folds (final)."""
-    df, numeric = _frame(spark, sf_dir)
-    label, retrain = "a_to_e_value", tuning.sliding_splits(FOLDS, train_span=1, holdout=0)
-    rows = []
+    each trial fitted and scored on the sliding splits. V5: each search's best penalty retrained on every pair of consecutive
+    folds (``stage`` retrain) and fitted on all folds (final).
+
+    The rows are read once: cross products of the folds hold all that the trials need.
+    """
+    data, index = _vectors(spark, sf_dir)
+    retrain = tuning.sliding_splits(FOLDS, train_span=1, holdout=0)
+    shift = penalty_path.shifts(data, LABEL)
+    products = materialize(penalty_path.fold_products(data, "fold", LABEL, shift), "products")
+    numeric = [r["column"] for r in index.where("level is null").select("column").collect()]  # the models' own names
+    out = []
     for name, (prefixes, text, (low, high), n_trials, splits) in SEARCHES.items():
         columns = [c for c in numeric if c.startswith(prefixes)]
-        data = df.select("fold", label, *columns, *text)
-        # scaling and levels don't depend on the penalty: prepared and written once a split, which also
-        # keeps the wide plan out of the trials; the search's splits come first
-        frames = [tuple(materialize(x.select("features", label), "split_frame") for x in pair) for pair in tuning.split_frames(
-            data, "fold", retrain, lambda tr: models.fit_preprocessor(tr, columns, text))]
-
-        def evaluate_params(p, frames=frames):
-            return tuning.evaluate_frames(frames, models.lasso(p["alpha"], label=label).fit, label)
-
-        trials = tuning.search({"alpha": ("loguniform", low, high)}, n_trials,
-                               lambda p: evaluate_params(p, frames[:len(splits)]), seed=42, parallelism=8)
-        best = min(trials, key=lambda r: (r["value"], r["number"]))
-        chosen = {k: best[k] for k in ("number", "params_alpha")}
-        again = evaluate_params({"alpha": best["params_alpha"]})
-        final = tuning.refit(data, "fold", FOLDS, lambda tr: models.fit_pipeline(
-            tr, columns, text, models.lasso(best["params_alpha"], label=label), label))
-        fitted = {f"final_{m}": v for m, v in tuning.error_metrics(final.transform(data), label).items()}
-        rows += [{"search": name, "stage": "trial", **r} for r in trials]
-        rows += [{"search": name, "stage": "retrain", **chosen, **again}, {"search": name, "stage": "final", **chosen, **fitted}]
-    kinds = {"search": "string", "stage": "string", "number": "int"}
-    cols = [*kinds, *sorted({c for r in rows for c in r} - set(kinds))]
-    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows],
-                                 ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in cols))
+        drawn = [p["alpha"] for p in tuning.draws({"alpha": ("loguniform", low, high)}, n_trials, seed=42)]
+        errors = materialize(penalty_path.fit_paths(products, index, shift, columns, text, splits, drawn), "trials")
+        trials = tuning.trials_table(errors, len(retrain), ["alpha"]).withColumn("stage", F.lit("trial"))
+        best = tuning.best_trial(trials, F.struct("value", "number")).select("number", "params_alpha").first()
+        again = penalty_path.fit_paths(products, index, shift, columns, text, retrain, [best.params_alpha])
+        again = tuning.trials_table(again, len(retrain), ["alpha"]).withColumn("stage", F.lit("retrain"))
+        final, _ = penalty_path.fit_folds(products, index, shift, columns, text, FOLDS, [best.params_alpha])
+        final = final.select(F.lit("final").alias("stage"), F.col("alpha").alias("params_alpha"),
+                             *[F.col(m).alias(f"final_{m}") for m in tuning.METRICS])
+        chosen = again.unionByName(final, allowMissingColumns=True).withColumn("number", F.lit(best.number))
+        out.append(trials.unionByName(chosen, allowMissingColumns=True).withColumn("search", F.lit(name)))
+    return out[0].unionByName(out[1]).select("search", "stage", "number", *[c for c in out[0].columns if c not in ("search", "stage", "number")])
+
+
+ONE_ALPHAS = [0.001, 0.01, 0.05, 0.2]
+
+
+@register("lasso_path_one", "M2 V3 V4", sql=f"""
+WITH {S.population()},
+kept AS (SELECT fold, coalesce(claims_12mos, 0)::DOUBLE AS x, a_to_e_value AS y FROM pop WHERE plan IN {S.in_list(proxy.KEPT_PLANS)}),
+splits AS (SELECT * FROM {_split_values(SLIDING)}),
+t AS (SELECT split, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS c FROM kept JOIN splits USING (fold) WHERE role = 'train' GROUP BY split),
+a AS (SELECT CAST(i - 1 AS INTEGER) AS number, alpha FROM (SELECT unnest({ONE_ALPHAS}::DOUBLE[]) AS alpha, generate_subscripts({ONE_ALPHAS}::DOUBLE[], 1) AS i)),
+w AS (SELECT split, number, alpha, mx, my, sign(c) * greatest(abs(c / sx) - alpha, 0.0) / sx AS w FROM t, a),
+e AS (SELECT s.split, s.role, w.number, w.alpha, k.y, k.y - w.my - w.w * (k.x - w.mx) AS e FROM kept k JOIN splits s USING (fold) JOIN w USING (split))
+SELECT CAST(split AS INTEGER) AS split, role, number, round(alpha, 6) AS alpha, round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse,
+  round(1 - avg(e * e) / var_pop(y), 6) + 0.0 AS r2 FROM e GROUP BY ALL
+""")
+def lasso_path_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + V3: the penalty path of one feature on the sliding splits, which has a closed form (soft threshold)."""
+    data, index = _vectors(spark, sf_dir)
+    shift = penalty_path.shifts(data, LABEL)
+    products = penalty_path.fold_products(data, "fold", LABEL, shift)
+    errors = rounded(penalty_path.fit_paths(products, index, shift, ["claims_12mos"], [], SLIDING, ONE_ALPHAS).drop("nonzero"))
+    return errors.withColumn("r2", F.col("r2") + 0.0)  # no negative zero

@@ -140,6 +140,39 @@ def density_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.density(proxy.scored_table(spark, sf_dir), "y_prior"))
 
 
+@register("histogram_auto", "T11", sql=f"""
+WITH {S.pairs()},
+st AS (SELECT count(y_prior) AS n, min(y_prior) AS lo, max(y_prior) AS hi,
+              quantile_cont(y_prior, 0.75) - quantile_cont(y_prior, 0.25) AS iqr FROM pairs),
+m AS (SELECT lo, hi, CAST(ceil((hi - lo) / least((hi - lo) / (log2(n) + 1), greatest(2 * iqr / pow(n, 1.0 / 3), (hi - lo) / sqrt(n) / 2))) AS BIGINT) AS bins FROM st),
+e AS (SELECT i, CASE WHEN i = bins THEN hi ELSE i::DOUBLE * ((hi - lo) / bins::DOUBLE) + lo END AS edge, bins
+      FROM m, LATERAL (SELECT unnest(range(m.bins + 1)) AS i)),
+b AS (SELECT (SELECT count(*) FROM e WHERE e.edge <= p.y_prior) AS k FROM pairs p WHERE y_prior IS NOT NULL),
+c AS (SELECT least(k - 1, (SELECT bins - 1 FROM m)) AS bin, count(*) AS cnt FROM b GROUP BY 1)
+SELECT CAST(e.i AS INTEGER) AS bin, round(e.edge, 6) AS lo, round(e2.edge, 6) AS hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
+FROM e JOIN e e2 ON e2.i = e.i + 1 LEFT JOIN c ON c.bin = e.i
+""")
+def histogram_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the prior-year score with as many bins as its quartiles and count ask for."""
+    return rounded(profile.histogram(proxy.scored_table(spark, sf_dir), "y_prior", "auto"))
+
+
+@register("density_binned_prior", "T12", sql=f"""
+WITH {S.pairs()},
+st AS (SELECT count(y_prior) AS n, stddev_samp(y_prior) * pow(count(y_prior)::DOUBLE, -0.2) AS bw,
+              min(y_prior) AS lo, max(y_prior) AS hi, (max(y_prior) - min(y_prior)) / 4095.0::DOUBLE AS step FROM pairs),
+a AS (SELECT (y_prior - lo) / step AS z, least(floor((y_prior - lo) / step), 4094) AS b FROM pairs, st WHERE y_prior IS NOT NULL),
+w AS (SELECT b, sum(w) AS w FROM (SELECT b, b + 1 - z AS w FROM a UNION ALL SELECT b + 1, z - b FROM a) GROUP BY b),
+g AS (SELECT CAST(i AS INTEGER) AS i, CASE WHEN i = 199 THEN hi + 3.0 * bw
+                  ELSE i::DOUBLE * (((hi + 3.0 * bw) - (lo - 3.0 * bw)) / 199.0) + (lo - 3.0 * bw) END AS x FROM range(200) r(i), st)
+SELECT i, round(x, 6) AS x, round(sum(w * exp(-0.5 * pow((x - (b * step + lo)) / bw, 2))) / (max(n) * max(bw) * sqrt(2 * pi())), 6) AS density
+FROM g, w, st GROUP BY i, x
+""")
+def density_binned_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density of the prior-year score from 4,096 linear bins, whatever the rows."""
+    return rounded(profile.binned_density(proxy.scored_table(spark, sf_dir), "y_prior"))
+
+
 # ------------------------------------------------------------------ quality
 
 

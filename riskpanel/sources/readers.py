@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,28 @@ def read_folds(spark: SparkSession, path: str, *, folds: Sequence[int] | None =
     return nan_to_null(df)
 
 
+def read_dated(spark: SparkSession, path: str, pattern: str = r"train[ =](\d{4}-\d{2}-\d{2})", date: str = "startdate",
+               fold: str = "fold", glob: str | None = None) -> DataFrame:
+    """Files that carry their date in their name, of differing columns, in one scan.
+
+    The date is taken from the file's path (``pattern``'s group), the fold is its place among the dates of all files, and schemas
+    are merged: a column that a file lacks is NULL in its rows. A file without a date is an error. ``date`` and ``fold`` replace
+    columns of these names.
+    """
+    reader = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true")
+    df = (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+    files = df.inputFiles()  # as many as the folder lists
+    found = {f: re.search(pattern, unquote(f)) for f in files}
+    undated = [f for f, m in found.items() if m is None]
+    if undated:
+        raise ValueError(f"no date in the name of {undated[:5]}")
+    dates = sorted({m[1] for m in found.values()})
+    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), pattern, 1)
+    kept = [c for c in df.columns if c not in (date, fold)]
+    out = df.select(*[F.col(f"`{c}`") for c in kept], name.alias(date))
+    return nan_to_null(out.withColumn(fold, F.array_position(F.array(*[F.lit(d) for d in dates]), F.col(date)).cast("int")))
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
              header: bool = True) -> DataFrame:
     """CSV with an explicit schema (no inference pass over the data)."""
