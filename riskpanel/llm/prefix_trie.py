@@ -31,7 +31,7 @@ import heapq
 import os
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,18 +56,22 @@ def turn_rows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return rows.select("conv", place.cast("long").alias("place"), "turn_hash", "bytes")
 
 
-def with_shared_openings(rows: DataFrame, group: int, opening: Column) -> DataFrame:
-    """Conversations rebuilt: the first ``opening`` turns of conversation c - c % group, then c's own after as many.
+def with_shared_openings(rows: DataFrame, group: int, opening: Callable[[Column], Column]) -> DataFrame:
+    """Conversations rebuilt: the first ``opening(c)`` turns of conversation c - c % group, then c's own after as many.
 
-    ``opening`` is a column over ``conv``, 8 at most. Rows are those of :func:`turn_rows`, with a row of place 0 for every
-    conversation that exists; :func:`paths` leaves out conversations without it.
+    ``opening`` gives 8 at most. Rows are those of :func:`turn_rows`, each dealt at once to the conversations that get it, with a row of
+    place 0 for every conversation that exists; :func:`paths` leaves out conversations without it.
     """
-    own = rows.filter((F.col("conv") % group == 0) | (F.col("place") > opening))
-    near = [F.col("first") + j for j in range(1 - group, group) if j]
-    lent = rows.filter(F.col("conv") % group == 0).filter("place <= 8") \
-        .select(F.col("conv").alias("first"), "place", "turn_hash", "bytes").withColumn("conv", F.explode(F.array(*near))) \
-        .filter((F.col("conv") - F.col("conv") % group == F.col("first")) & (F.col("place") <= opening)).select(rows.columns)
-    return own.unionByName(lent).unionByName(openers(rows))
+    conv, place, none = F.col("conv"), F.col("place"), F.lit(None)
+    lender = conv % group == 0
+    to = lambda c, at: F.struct(c.alias("conv"), at.alias("place"))
+    dealt = [F.when(lender | (place > opening(conv)), to(conv, place)), F.when(place == 1, to(conv, F.lit(0).cast("long")))]
+    for j in range(1 - group, group):
+        c = conv + j
+        if j:
+            dealt.append(F.when(lender & (place <= 8) & (c - c % group == conv) & (place <= opening(c)), to(c, place)))
+    return rows.select(F.explode(F.array(*dealt)).alias("t"), "turn_hash", "bytes").filter(F.col("t").isNotNull()).select(
+        "t.conv", "t.place", F.when(F.col("t.place") > 0, F.col("turn_hash")).otherwise(none).alias("turn_hash"), "bytes")
 
 
 def openers(rows: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ def ends(steps: DataFrame) -> DataFrame:
     return joined.repartition("key").sortWithinPartitions("key", "first").mapInArrow(digests, "key binary, ends_sha256 string")
 
 
-def prefix_trie(rows: DataFrame, width: int = 10_000, least: int = 1000, held: int = 200_000) -> DataFrame:
+def prefix_trie(rows: DataFrame, width: int = 10_000, least: int = 64, held: int = 200_000) -> DataFrame:
     """(conv, depth, parent_conv, members, children, leaves, saved, ends_sha256) of each node.
 
     ``rows`` are those of :func:`turn_rows` with :func:`openers`, or of :func:`with_shared_openings`. Nodes of more than

@@ -63,7 +63,7 @@ def test_trie_of_rebuilt_conversations(spark):
     rng = random.Random(8)
     convs = {c: [("u", rng.choice("ab")) for _ in range(rng.randrange(1, 12))] for c in range(-11, 40) if c % 7 != 3}
     rows = prefix_trie.turn_rows(turn_table(spark, convs))
-    opening = F.pmod(F.col("conv") * 7, F.lit(9))
+    opening = lambda conv: F.pmod(conv * 7, F.lit(9))
     rebuilt = {}
     for c, turns in convs.items():
         first, h = c - (c % 5 if c >= 0 else -(-c % 5)), c * 7 % 9
