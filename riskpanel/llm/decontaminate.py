@@ -6,8 +6,9 @@ documents are joined on their hashes; around each hit, document and item are ali
 window of ``WINDOW`` tokens must agree in ``NEED`` of them. The two masks are lossless for that:
 every pair of substituted places in 13 tokens leaves some placement of a mask untouched, so
 no such overlap is missed. An item of 8 to 12 tokens must be there as a whole, with a fifth
-of its tokens replaced at most, and one hit of a mask; items under 8 tokens are no evidence
-and match nothing.
+of its tokens replaced at most: one in items of 8 or 9 tokens, whose two interleaved masks can't both be
+hit by it, two in longer ones, which have three. An item under 8 tokens must be there verbatim; its one seed is the
+hash of the whole item. Documents are searched for a mask only if the benchmark has items of its length.
 
 The seeds of the test set are broadcast only if they are counted to be at most
 ``broadcast_rows``; else the same join runs as a shuffle join on the seed hash, where AQE splits skewed
@@ -29,6 +30,8 @@ from .common import only
 #: Token places that a mask looks at.
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 SPAN, WINDOW, NEED = 8, 13, 11
+#: Masks of items of 8 and 9, and of 10 to 12 tokens: every second, every third place, from each of the first 2 or 3.
+SECONDS, THIRDS = (0, 2, 4, 6), (0, 3, 6)
 
 
 def token_hashes(text: Column) -> Column:
@@ -37,25 +40,37 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` + (pos, key): the seed of each mask at each place of the token array ``h``.
+def masks_of(size: int) -> list[tuple[tuple[int, ...], int | None]]:
+    """(mask, number of first places it is laid at; None: all) for items of ``size`` tokens."""
+    if size >= WINDOW:
+        return [(m, None) for m in MASKS]
+    if size >= SPAN:
+        return [(SECONDS, 2)] if size < 10 else [(THIRDS, 3)]
+    return [(tuple(range(size)), 1)]
+
+
+def seeds(df: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
+    """``keep`` + (pos, mask, key): the seed of each mask at each place of the token array ``h``; key is null where
+    a mask doesn't fit.
 
     The outer explode keeps the optimizer from adding a size filter that tokenizes twice;
     its null rows join nothing.
     """
-    used = sorted({o for m in MASKS for o in m})
-    n = F.greatest(F.size("h") - (SPAN - 1), F.lit(0))
+    used = sorted({o for m in masks for o in m})
+    n = F.greatest(F.size("h") - min(map(max, masks), default=0), F.lit(0))
     shifted = F.arrays_zip(*[F.slice("h", o + 1, n).alias(f"t{o}") for o in used])
     rows = df.select(*keep, F.posexplode_outer(shifted).alias("pos", "s"))
-    keys = [F.xxhash64(F.lit(i), *[F.col(f"s.t{o}") for o in m]) for i, m in enumerate(MASKS)]
-    return rows.select(*keep, "pos", F.explode_outer(F.when(F.col("s").isNotNull(), F.array(*keys))).alias("key"))
+    keys = [F.struct(F.lit(i).alias("mask"), F.when(F.col(f"s.t{max(m)}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"s.t{o}") for o in m]))
+                     .alias("key")) for i, m in enumerate(masks)]
+    return rows.select(*keep, "pos", F.explode_outer(F.when(F.col("s").isNotNull(), F.array(*keys))).alias("k")) \
+        .select(*keep, "pos", "k.mask", "k.key")
 
 
 def verified(doc: Column, item: Column, width: Column) -> Column:
     """Whether some window of ``width`` aligned tokens of two stretches agrees in enough of them."""
     same = F.zip_with(doc, item, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     last = F.least(F.size(doc), F.size(item)) - width
-    need = F.when(width == WINDOW, NEED).otherwise(F.ceil(width * 0.8))
+    need = F.when(width == WINDOW, NEED).when(width < SPAN, width).otherwise(F.ceil(width * 0.8))
     starts = F.when(last >= 0, F.sequence(F.lit(0), last))
     return F.coalesce(F.exists(starts, lambda i: F.aggregate(F.slice(same, i + 1, width), F.lit(0), lambda a, x: a + x) >= need), F.lit(False))
 
@@ -64,12 +79,21 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
              item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, items): contaminated ids with the sorted test items that they hold."""
     items = only(benchmark, item=item_col, text=item_text_col).select("item", token_hashes(F.col("text")).alias("ih")) \
-        .filter(F.size("ih") >= SPAN)
-    marks = seeds(items.withColumnRenamed("ih", "h"), ["item"]).filter("key is not null") \
-        .select("item", F.col("pos").alias("ipos"), "key").distinct()
+        .filter(F.size("ih") > 0)
+    sizes = [r[0] for r in items.select(F.least(F.size("ih"), F.lit(WINDOW))).distinct().collect()]  # 13 at most
+    laid = {size: masks_of(size) for size in sizes}
+    masks = sorted({m for own in laid.values() for m, _ in own}) or list(MASKS)
+    marks = seeds(items.withColumnRenamed("ih", "h"), ["item", "h"], masks).filter("key is not null")
+    # a mask is laid over the items of its lengths, at its first places
+    wanted = F.lit(False)
+    for size, own in laid.items():
+        for m, places in own:
+            here = (F.least(F.size("h"), F.lit(WINDOW)) == size) & (F.col("mask") == masks.index(m))
+            wanted = wanted | (here & (F.col("pos") < places) if places else here)
+    marks = marks.filter(wanted).select("item", F.col("pos").alias("ipos"), "key").distinct()
     small = marks.limit(broadcast_rows + 1).count() <= broadcast_rows
     sent = F.broadcast if small else (lambda df: df)
-    rows = seeds(only(docs, id=id_col, text=text_col).select("id", token_hashes(F.col("text")).alias("h")), ["id", "h"])
+    rows = seeds(only(docs, id=id_col, text=text_col).select("id", token_hashes(F.col("text")).alias("h")), ["id", "h"], masks).drop("mask")
     if small:
         hits = rows.join(F.broadcast(marks), "key")
     else:  # only the stretch that verification looks at is shuffled

@@ -140,10 +140,11 @@ OP8_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 dt AS (SELECT doc_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
-it AS (SELECT item_id, len(w) AS m, unnest(w) AS t, generate_subscripts(w, 1) AS q FROM i WHERE len(w) >= 13),
-e AS (SELECT doc_id, item_id, p - q AS diag, q, least(n, m + p - q) - greatest(0, p - q) AS overlap FROM dt JOIN it USING (t)),
-c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS same FROM e WHERE overlap >= 13),
-f AS (SELECT DISTINCT doc_id, item_id FROM c WHERE same >= 11),
+it AS (SELECT item_id, len(w) AS m, unnest(w) AS t, generate_subscripts(w, 1) AS q FROM i),
+e AS (SELECT doc_id, item_id, m, p - q AS diag, q, least(n, m + p - q) - greatest(0, p - q) AS overlap FROM dt JOIN it USING (t)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS same FROM e WHERE m >= 13 AND overlap >= 13),
+f AS (SELECT DISTINCT doc_id, item_id FROM c WHERE same >= 11 UNION SELECT doc_id, item_id FROM e WHERE m < 13 AND overlap = m
+    GROUP BY doc_id, item_id, m, diag HAVING count(*) >= CASE WHEN m < 8 THEN m ELSE ceil(m * 0.8) END),
 g AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM f GROUP BY doc_id)
 SELECT doc_id, g.items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items
 FROM documents LEFT JOIN g USING (doc_id)
@@ -163,8 +164,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prefix_trie.turn_rows(read(spark, sf_dir, "conversations"))
-    opening = F.crc32(F.col("conv").cast("string")) % 9
-    found = prefix_trie.prefix_trie(prefix_trie.with_shared_openings(rows, 5, opening))
+    rebuilt = prefix_trie.with_shared_openings(rows, 5, lambda conv: F.crc32(conv.cast("string")) % 9)
+    found = prefix_trie.prefix_trie(rebuilt)
     return found.select(
         F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), F.col("members").alias("n_convs"),
         F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), "ends_sha256")
