@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.session import materialize
 
-__all__ = ["materialize", "read", "only", "binary_list", "held", "partitions", "ranges"]
+__all__ = ["materialize", "read", "only", "binary_list", "held", "give_back", "tidy", "partitions", "ranges"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,17 +30,40 @@ def binary_list(batch, name: str) -> list:
 _held: dict = {}
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker (numpy's and Arrow's) to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """``run`` for mapInArrow, as a task that keeps no memory after its end: workers live on and their freed pages
+    count against the executor. Arrow takes memory from the system's allocator, which gives it back."""
+    def wrapped(batches):
+        import pyarrow as pa
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
 def held(name: str, make):
     """A Python worker's cache, kept over its tasks as long as they ask for the same one: a
     worker that turns to another operator gives the memory of the last one's back."""
     if name not in _held:
         _held.clear()
+        give_back()
         _held[name] = make()
-        try:
-            import ctypes
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
     return _held[name]
 
 

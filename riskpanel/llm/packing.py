@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only
+from .common import materialize, only, tidy
 from .tokens import encoder, slices
 
 
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, i
                          pa.array(own[3], pa.int64()), pa.array(own[4], pa.int64()), pa.array(own[5], pa.binary())],
                         names=["id", "row", "piece", "start", "length", "ids"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, row long, piece int, start long, length long, ids binary")
+    return src.mapInArrow(tidy(run), f"id {src.schema['id'].dataType.simpleString()}, row long, piece int, start long, length long, ids binary")
 
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ def pack(parts: DataFrame, capacity: int = 1024, pieces_per_task: int = 100_000)
     tasks = max(1, -(-n // pieces_per_task))
     schema = parts.schema.add("sequence_id", "long").add("offset", "long")
     return parts.repartition(tasks, F.xxhash64("row", "piece", F.lit(tasks))) \
-        .sortWithinPartitions(F.desc("length"), "row", "piece").mapInArrow(_pack_task(capacity), schema)
+        .sortWithinPartitions(F.desc("length"), "row", "piece").mapInArrow(tidy(_pack_task(capacity)), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id",

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, held, materialize, only
+from .common import binary_list, held, materialize, only, tidy
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([simhash(shingle_hashes(t, shingle)) for t in binary_list(b, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(tidy(run), f"id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _masks(bits: list[int], parts: int) -> list[list[int]]:
@@ -198,7 +198,7 @@ def links(classes: DataFrame, radius: int = 4, hot: int = 4096, tile: int = 256)
     rows = marked.select("fp", "rep", "k1", F.explode(F.when(F.col("crowded"), parts[F.col("t")]).otherwise(one)).alias("e")) \
         .select("e.t", "k1", "e.k2", "fp", "rep")
     return rows.repartition("t", "k1", "k2").sortWithinPartitions("t", "k1", "k2") \
-        .mapInArrow(_link_tiles(radius, tile), "a long, b long").distinct()
+        .mapInArrow(tidy(_link_tiles(radius, tile)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,9 +240,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              hot: int = 4096) -> DataFrame:
     """One row of each group of ``docs``: that of the smallest id (null ids last). Rows are
     numbered and written once, so rows that share an id are told apart."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows, "__row", text_col, shingle, radius, hot)
-    ids = rows.select("__row", F.col(f"`{id_col}`").alias("key"))
-    rank = F.struct(F.col("key").isNull(), "key", "__row")
-    stay = found.join(ids, found.id == ids["__row"]).groupBy("component").agg(F.min_by("__row", rank).alias("__row"))
-    return rows.join(stay.select("__row"), "__row", "left_semi").drop("__row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # its columns can't clash with those in here
+    rows = materialize(docs.select(whole.alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    slim = rows.select("row", F.col(f"doc.`{id_col}`").alias("key"), F.col(f"doc.`{text_col}`").alias("text"))
+    found = near_duplicates(slim, "row", "text", shingle, radius, hot)
+    ids = slim.select("row", "key")
+    rank = F.struct(F.col("key").isNull(), "key", "row")
+    stay = found.join(ids, found.id == ids["row"]).groupBy("component").agg(F.min_by("row", rank).alias("row"))
+    return rows.join(stay.select("row"), "row", "left_semi").select("doc.*")

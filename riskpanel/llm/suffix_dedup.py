@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import binary_list, held, materialize, only, ranges
+from .common import binary_list, held, materialize, only, ranges, tidy
 
 ANCHOR, STRETCH, GROUP_BYTES = 40, 16, 1_000_000
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
@@ -111,7 +111,7 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
     return text, window[first] - start[text], n, at[first] - start[text], h[at[first]]
 
 
-def _split(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _split(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -123,24 +123,25 @@ def _split(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]
 
 
 def prepare(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with a row number and its text as zstd bytes (null stays null), written once:
-    columns __row, __z and all others but the text."""
-    others = [c for c in docs.columns if c != text_col]
-    src = docs.select(*[f"`{c}`" for c in others], F.col(f"`{text_col}`").alias("__z"))
+    """``docs`` with a row number and its text as zstd bytes (null stays null), written once: columns row, z
+    and c0, c1, ... for the others in their order, so that no name of theirs clashes with one in here."""
+    others = [f"c{i}" for i in range(len(docs.columns) - 1)]
+    src = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(others, [c for c in docs.columns if c != text_col])],
+                      F.col(f"`{text_col}`").alias("z"))
 
     def run(batches: Iterator):
         import pyarrow as pa
         from zstandard import ZstdCompressor
         pack = ZstdCompressor(level=3).compress
         for b in batches:
-            z = pa.array([None if t is None else pack(t) for t in binary_list(b, "__z")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), z], names=[*others, "__z"])
+            z = pa.array([None if t is None else pack(t) for t in binary_list(b, "z")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), z], names=[*others, "z"])
 
-    schema = StructType([docs.schema[c] for c in others]).add("__z", "binary")
-    return materialize(src.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    schema = StructType([src.schema[c] for c in others]).add("z", "binary")
+    return materialize(src.mapInArrow(tidy(run), schema).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
-def unpacked(batch, name: str = "__z") -> list[bytes | None]:
+def unpacked(batch, name: str = "z") -> list[bytes | None]:
     from zstandard import ZstdDecompressor
     unpack = ZstdDecompressor().decompress
     return [None if z is None else unpack(z) for z in batch.column(name).to_pylist()]
@@ -153,7 +154,7 @@ def blocks(prepared: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest as content_hash
         for b in batches:
-            rows, texts = b.column("__row").to_numpy(), [t or b"" for t in unpacked(b)]
+            rows, texts = b.column("row").to_numpy(), [t or b"" for t in unpacked(b)]
             for lo, hi in _split(texts):
                 own = texts[lo:hi]
                 text, start, n, at, h = anchors(np.frombuffer(b"".join(own), np.uint8), np.array([*map(len, own)], np.int64), length)
@@ -166,7 +167,7 @@ def blocks(prepared: DataFrame, length: int) -> DataFrame:
                          pa.array((at - start)[part].astype(np.int32)), pa.array(h[part].view(np.int64)), pa.array(content[part].view(np.int64))],
                         names=["row", "start", "n", "lead", "anchor", "content"])
 
-    return prepared.select("__row", "__z").mapInArrow(run, "row long, start long, n int, lead int, anchor long, content long")
+    return prepared.select("row", "z").mapInArrow(tidy(run), "row long, start long, n int, lead int, anchor long, content long")
 
 
 def refine(data: np.ndarray, suffixes: np.ndarray, length: int, q: int = 8) -> np.ndarray:
@@ -302,7 +303,7 @@ def _fetch(length: int):
 def _compared(rows: DataFrame, length: int) -> DataFrame:
     """(anchor, content, first, last): runs of windows that rows of one (g1, g2) have in common."""
     return rows.select("g1", "g2", "content", "shift", "n", "bytes").repartition("g1", "g2").sortWithinPartitions("g1", "g2") \
-        .mapInArrow(_compare(length), "anchor long, content long, first long, last long")
+        .mapInArrow(tidy(_compare(length)), "anchor long, content long, first long, last long")
 
 
 def _crowded(stretches: DataFrame, length: int, crowded: int) -> DataFrame:
@@ -316,7 +317,7 @@ def _crowded(stretches: DataFrame, length: int, crowded: int) -> DataFrame:
     one = stretches.join(picked.join(differing, group).select(*group, "content", "differing"), [*group, "content"])
     again = stretches.join(picked.filter("times > 1").select(*group, "same"), [*group, "same"], "left_semi")
     windows = one.filter(F.col("differing") > crowded).select(*group, "content", "shift", "n", "bytes").mapInArrow(
-        _windows(length), "g1 long, g2 long, content long, at long, window long")
+        tidy(_windows(length)), "g1 long, g2 long, content long, at long, window long")
     common = windows.groupBy(*group, "window").agg(F.count("*").alias("times")).filter("times > 1").select(*group, "window")
     single = windows.join(common, [*group, "window"], "left_semi")
     shift = F.col("shift").cast("long")
@@ -339,9 +340,9 @@ def repeated_ranges(prepared: DataFrame, length: int = 200, crowded: int = 5000)
     contents = materialize(contents.join(kinds, "anchor"), "contents")
     wanted = contents.filter("kinds > 1").groupBy("row").agg(F.collect_list(F.struct(
         "anchor", "content", "start", "n", "lead", (F.col("kinds") > crowded).alias("crowded"))).alias("wanted"))
-    raw = prepared.select(F.col("__row").alias("row"), "__z").join(wanted, "row").select("__z", "wanted").mapInArrow(
-        _fetch(length), "anchor long, content long, n int, lead int, crowded boolean, bytes binary")
-    dealt = raw.mapInArrow(_cut_crowded(length), "g1 long, g2 long, content long, shift int, n int, crowded boolean, same long, bytes binary")
+    raw = prepared.select("row", "z").join(wanted, "row").select("z", "wanted").mapInArrow(
+        tidy(_fetch(length)), "anchor long, content long, n int, lead int, crowded boolean, bytes binary")
+    dealt = raw.mapInArrow(tidy(_cut_crowded(length)), "g1 long, g2 long, content long, shift int, n int, crowded boolean, same long, bytes binary")
     if contents.filter(F.col("kinds") > crowded).isEmpty():
         partly = _compared(dealt, length)
     else:
@@ -389,10 +390,9 @@ def keep_text(text: bytes, runs: list[tuple[int, int]]) -> str:
 
 
 def with_ranges(docs: DataFrame, text_col: str, length: int, crowded: int) -> DataFrame:
-    """The rows of ``prepare`` with their repeated ranges as __spans (null: none)."""
+    """The rows of ``prepare`` with their repeated ranges as spans (null: none)."""
     prepared = prepare(docs, text_col)
-    found = repeated_ranges(prepared, length, crowded).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    return prepared.join(found, "__row", "left")
+    return prepared.join(repeated_ranges(prepared, length, crowded), "row", "left")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, crowded: int = 5000) -> DataFrame:
@@ -403,25 +403,27 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         import pyarrow as pa
         for b in batches:
             out = []
-            for text, spans in zip(unpacked(b), b.column("__spans").to_pylist()):
+            for text, spans in zip(unpacked(b), b.column("spans").to_pylist()):
                 text, runs = text or b"", merged(spans)
                 out.append((len(text), sum(e - a for a, e in runs), len(runs), sha256(keep(text, runs)).hexdigest()))
             cols = zip(*out) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()]))],
+            yield pa.RecordBatch.from_arrays([b.column("c0"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()]))],
                                              names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return with_ranges(src, "text", length, crowded).mapInArrow(
-        run, f"id {src.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        tidy(run), f"id {src.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, crowded: int = 5000) -> DataFrame:
     """``docs`` with repeated strings cut from the text column (null stays null), all columns kept."""
     columns = docs.columns
+    inner = iter(range(len(columns)))
+    names = [None if c == text_col else f"c{next(inner)}" for c in columns]
 
     def run(batches: Iterator):
         import pyarrow as pa
         for b in batches:
-            out = [None if t is None else keep_text(t, merged(s)) for t, s in zip(unpacked(b), b.column("__spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else b.column(c) for c in columns], names=columns)
+            out = [None if t is None else keep_text(t, merged(s)) for t, s in zip(unpacked(b), b.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n is None else b.column(n) for n in names], names=columns)
 
-    return with_ranges(docs, text_col, length, crowded).mapInArrow(run, docs.schema)
+    return with_ranges(docs, text_col, length, crowded).mapInArrow(tidy(run), docs.schema)

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, held, only, ranges
+from .common import binary_list, held, only, ranges, tidy
 
 #: Bytes that end a word besides white space.
 PUNCTUATION = b".,;:!?\"()[]{}|"
@@ -178,13 +178,17 @@ def train(texts: list[bytes | None], labels: list[int], buckets: int = 1 << 16,
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, id_col: str = "doc_id", text_col: str = "text",
                   label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """(id, text, y) of at most ``max_train`` rows, a quarter of them of class 1, chosen by a hash of the id."""
-    lab = only(labels, id=label_id, y=label_col).filter("y in (0, 1) and id is not null").dropDuplicates(["id"])
+    """(id, text, y) of at most ``max_train`` rows, a quarter of them of class 1, chosen by a hash of the id.
+
+    An id that has both labels is of class 1; of rows with one id the smallest text trains.
+    """
+    lab = only(labels, id=label_id, y=label_col).filter("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y"))
     chosen = None
     for y, most in ((0, max_train - max_train // 4), (1, max_train // 4)):
         own = lab.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
-    return only(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    return only(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").groupBy("id") \
+        .agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **options) -> Model:
@@ -233,7 +237,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([score(t) for t in binary_list(b, "text")], pa.float64())],
                                              names=["id", "score"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double")
+    return src.mapInArrow(tidy(run), f"id {src.schema['id'].dataType.simpleString()}, score double")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -246,4 +250,4 @@ def clean(docs: DataFrame, model: Model, threshold: float, text_col: str = "text
         for b in batches:
             yield b.filter(pa.array([score(t) < threshold for t in binary_list(b, text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, only
+from .common import materialize, only, tidy
 from .tokens import encoder, slices
 
 HEAD = struct.Struct("<4sIQQ")
@@ -187,7 +187,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
             yield from emit()
 
     ordered = src.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return materialize(ordered.mapInArrow(run, "part long, shard long, n_tokens long, data binary"), "wavelet_shards")
+    return materialize(ordered.mapInArrow(tidy(run), "part long, shard long, n_tokens long, data binary"), "wavelet_shards")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -217,4 +217,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(start + ends - n), pa.array(n), pa.array(crc, pa.int64())],
                                                  names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -170,6 +170,14 @@ def test_toxicity_edges(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.scores(odd_docs, none).collect()} == {1 / (1 + np.exp(60.0))}
 
 
+def test_conflicting_labels_and_repeated_ids_have_one_result(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (2, "z"), (3, "c")], "doc_id int, text string")
+    labels = [(1, 0), (1, 1), (2, 0), (2, 0), (3, 1), (3, 0)]
+    for order in (labels, labels[::-1]):
+        got = toxicity.training_rows(docs, spark.createDataFrame(order, "doc_id int, toxic int").repartition(3), 100)
+        assert sorted((r.id, r.text, r.y) for r in got.collect()) == [(1, "a", 1), (2, "z", 0), (3, "c", 1)]
+
+
 def test_toxicity_query_is_shaped_by_the_contract(spark):
     rows = QUERIES["op4_toxicity"][0](spark, SF_SMALL).collect()
     assert len(rows) == 200
@@ -223,17 +231,17 @@ def test_lm_buckets_grow_with_the_corpus(spark, monkeypatch):
 # 6 token ids
 
 ODD_TEXTS = ["", "a", "  two  blanks ", " lead", "trail ", "a\n\nb", "tab\there", "it's we'll\nI'd x", "nb\xa0sp", "e\u0301 x", "A\x00B",
-             "<|endoftext|> hi", "日本語 テキスト\nabc", "😀 👩‍👩‍👧 x", "a \n b", "x\n", "\nx", "\x1cfoo bar", "foo\x85bar baz", "...,,, !!\n??", "'s 't a'S b"]
+             "<|endoftext|> hi", "a <|EndOfText|> b<|endoftext|>", "<|startoftext|>x\ny", "日本語 テキスト\nabc", "😀 👩‍👩‍👧 x", "a \n b", "x\n", "\nx", "\x1cfoo bar", "foo\x85bar baz", "...,,, !!\n??", "'s 't a'S b"]
 
 
 @pytest.mark.parametrize("name, blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunked_ids_equal_the_librarys(spark, name, blanks):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(tokenizer(name))
-    plain.encode_special_tokens = True
-    enc = tokens.ChunkEncoder(tokenizer(name), blanks, cache=50)
     texts = ODD_TEXTS + [t for _, t in docs_of(spark)[:60]]
-    for _ in range(2):
+    for specials in (False, True):
+        plain.encode_special_tokens = specials
+        enc = tokens.ChunkEncoder(tokenizer(name), blanks, cache=50, plain_specials=specials)
         ids, n = enc.encode(texts)
         ends = np.cumsum(n)
         for t, e, k in zip(texts, ends, n):
@@ -328,9 +336,11 @@ def test_suffix_dedup_compares_bounded_groups(spark, monkeypatch):
 
 def test_suffix_dedup_edges(spark, odd_docs, no_docs):
     assert suffix_dedup.digests(no_docs).count() == 0
-    cut = suffix_dedup.strip_repeats(odd_docs.drop("__z"))
-    assert cut.columns == odd_docs.drop("__z").columns and cut.count() == 10
+    cut = suffix_dedup.strip_repeats(odd_docs)
+    assert cut.columns == odd_docs.columns and cut.count() == 10
     assert cut.filter("doc_id = 2").first().text is None
+    others = [c for c in odd_docs.columns if c not in ("doc_id", "text")]
+    assert cut.select(others).distinct().collect() == odd_docs.select(others).distinct().collect()
     assert suffix_dedup.keep_text("aéb".encode(), [(2, 3)]) == "aéb" and suffix_dedup.keep_text("aéb".encode(), [(1, 3)]) == "ab"
 
 
@@ -369,6 +379,29 @@ def test_decontamination_tolerates_substitutions(spark, odd_docs, broadcast_rows
     assert decontaminate.findings(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_short_items_are_found_whole(spark, broadcast_rows):
+    from itertools import combinations
+    rows, bench, want = [], [], {}
+    for size in range(1, 13):
+        words = [f"s{size}w{i}" for i in range(size)]
+        bench.append((size, " ".join(words)))
+        most = 0 if size < 8 else 1 if size < 10 else 2
+        for gone in range(most + 2):
+            for places in list(combinations(range(size), gone))[:70]:
+                own = [f"x{i}" if i in places else w for i, w in enumerate(words)]
+                if any(i not in places for i in range(size)):
+                    rows.append((len(rows), " ".join(["lead", *own, "tail"][len(rows) % 2:])))
+                    if gone <= most:
+                        want[rows[-1][0]] = [size]
+        rows.append((len(rows), " ".join(words[:-1])))  # cut short
+        rows.append((len(rows), " ".join(words[1:])))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    items = spark.createDataFrame(bench, "item_id int, text string")
+    got = {r["id"]: r["items"] for r in decontaminate.findings(docs, items, broadcast_rows=broadcast_rows).collect()}
+    assert got == want
+
+
 def test_decontamination_is_native(spark):
     from riskpanel.llm.common import read
     plan = decontaminate.findings(read(spark, SF_SMALL, "documents"), read(spark, SF_SMALL, "benchmark"))._jdf.queryExecution().toString()
@@ -499,4 +532,5 @@ def test_simhash_edges(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 6, 7, 8]
+    assert {(r["__row"], r["__z"], r.c0, tuple(r.spans)) for r in kept.collect()} == {(7, "z", "c", (3,))}
     assert simhash.keep_one(no_docs).count() == 0
