@@ -103,9 +103,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to
 t AS (SELECT r, unnest(w) AS w3, generate_subscripts(w, 1) AS p FROM d),
 g AS (SELECT r, p, w3, lag(w3) OVER (PARTITION BY r ORDER BY p) AS w2, lag(w3, 2) OVER (PARTITION BY r ORDER BY p) AS w1 FROM t),
 n AS (SELECT count(*) AS n FROM g),
-c1 AS (SELECT w3, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 2),
-c2 AS (SELECT w2, w3, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-c3 AS (SELECT w1, w2, w3, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+c1 AS (SELECT w3, count(*) AS c FROM g GROUP BY ALL),
+c2 AS (SELECT w2, w3, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT w1, w2, w3, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY ALL),
 j AS (SELECT g.*, n, c1.c AS k1, c2.c AS k2, c3.c AS k3, x1.c AS x2, x2.c AS x3 FROM g CROSS JOIN n
     LEFT JOIN c1 ON c1.w3 = g.w3 LEFT JOIN c2 ON c2.w2 = g.w2 AND c2.w3 = g.w3
     LEFT JOIN c3 ON c3.w1 = g.w1 AND c3.w2 = g.w2 AND c3.w3 = g.w3
