@@ -19,16 +19,6 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson correlation from the six sufficient sums (sparse long form, zeros implicit)."""
-    num = n * sxy - sx * sy
-    vx = n * sxx - sx * sx
-    vy = n * syy - sy * sy
-    # a constant side leaves only rounding noise in n·Σx² − (Σx)²: treat it as 0
-    ok = (vx > F.lit(1e-12) * n * sxx) & (vy > F.lit(1e-12) * n * syy)
-    return F.when(ok, num / (F.sqrt(vx) * F.sqrt(vy)))
-
-
 def corr_sparse(n: Column, mean_y: Column, ss_y: Column, n1: Column, mean_x1: Column, ss_x1: Column,
                 mean_y1: Column, co_1: Column) -> Column:
     """Pearson correlation from centred moments of the rows that hold a value (``1``: count, mean and
@@ -40,6 +30,22 @@ def corr_sparse(n: Column, mean_y: Column, ss_y: Column, n1: Column, mean_x1: Co
     return F.when((ss_x > 0) & (ss_y > 0), co / (F.sqrt(ss_x) * F.sqrt(ss_y)))
 
 
+def corr_support(n: Column, n_a: Column, at_a: Column, own_a: Column, sq_a: Column, n_b: Column, at_b: Column, own_b: Column,
+                 sq_b: Column, n_ab: Column, sum_a: Column, sum_b: Column, sum_ab: Column) -> Column:
+    """Pearson correlation of two sparse columns over ``n`` rows, from sums of values less a constant near their mean.
+
+    a has ``n_a`` values of its own, ``own_a`` and ``sq_a`` are sum and sum of squares of them less ``at_a`` (b likewise); over the ``n_ab``
+    rows that hold both, ``sum_a``, ``sum_b`` and ``sum_ab`` are those of the two and of their product. Nothing large is
+    subtracted from anything large, so a small spread beside a large mean is kept; a constant side gives NULL.
+    """
+    def spread(n_x: Column, at: Column, own: Column, sq: Column) -> Column:
+        return sq - own * own / n + (n - n_x) / n * (2 * at * own + at * at * n_x)
+
+    var_a, var_b = spread(n_a, at_a, own_a, sq_a), spread(n_b, at_b, own_b, sq_b)
+    co = sum_ab - own_a * own_b / n + at_b * (sum_a - own_a * n_b / n) + at_a * (sum_b - own_b * n_a / n) + at_a * at_b * (n_ab - n_a * n_b / n)
+    return F.when((var_a > 0) & (var_b > 0), co / (F.sqrt(var_a) * F.sqrt(var_b)))
+
+
 def _gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x): series below a+1, continued fraction above."""
     if x <= 0:

@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.rowwise import row_argmax
 from riskpanel.functions.stats import chi2_sf
+from riskpanel.session import materialize
+
+
+#: A contingency table of more cells than this is an error, not a report.
+MAX_CELLS = 10_000_000
 
 
 def _grid(df: DataFrame, row: str, col: str) -> DataFrame:
     """The full contingency table ``(row, col, observed)``: every pair of levels, 0
     where the pair never occurs; NULL in either key is dropped.
 
-    The levels of ``col`` are gathered from the count table, one array; each row
-    level then lists all of them. Sizes are those of the two category domains.
+    Counts are one aggregate, written once. The levels of either key come from it; their product is the table itself, at most
+    ``MAX_CELLS`` cells, which is checked before it is made.
     """
-    cells = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-               .groupBy(row, col).agg(F.count(F.lit(1)).alias("__o")))
-    levels = F.array_distinct(F.flatten(F.collect_list(F.map_keys("__m")).over(Window.partitionBy())))
-    rows = cells.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, "__o"))).alias("__m"))
-    return (rows.withColumn("__levels", levels).select(row, "__m", F.explode("__levels").alias(col))
-                .select(row, col, F.coalesce(F.try_element_at("__m", F.col(col)), F.lit(0)).cast("long").alias("observed")))
+    cells = materialize(df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+                          .groupBy(row, col).agg(F.count(F.lit(1)).alias("__o")), "cells")
+    rows, cols = cells.select(row).distinct(), cells.select(col).distinct()
+    r, c = rows.count(), cols.count()
+    if r * c > MAX_CELLS:
+        raise ValueError(f"a table of {r} x {c} cells; {MAX_CELLS} at most")
+    few, many = (rows, cols) if r < c else (cols, rows)
+    return many.crossJoin(F.broadcast(few)).join(cells, [row, col], "left") \
+        .select(row, col, F.coalesce("__o", F.lit(0)).cast("long").alias("observed"))
 
 
 def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -37,15 +45,14 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
 def _cells(df: DataFrame, row: str, col: str) -> DataFrame:
     """All cells with their row, column and grand totals.
 
-    The totals are windows over the contingency table itself (rows x columns
-    levels, bounded by the two category domains), so the input is aggregated
-    once and never joined back to its own sums.
+    The totals are aggregates of the contingency table itself (rows x columns levels) joined back by
+    level, the grand total is one number.
     """
     o = F.col("observed").cast("double")
-    return _grid(df, row, col).select(row, col, "observed",
-                                      F.sum(o).over(Window.partitionBy(row)).alias("__r"),
-                                      F.sum(o).over(Window.partitionBy(col)).alias("__c"),
-                                      F.sum(o).over(Window.partitionBy()).alias("__n"))
+    grid = materialize(_grid(df, row, col), "grid")
+    total = grid.agg(F.sum(o)).first()[0]
+    return grid.join(grid.groupBy(row).agg(F.sum(o).alias("__r")), row).join(grid.groupBy(col).agg(F.sum(o).alias("__c")), col) \
+        .select(row, col, "observed", "__r", "__c", F.lit(total).cast("double").alias("__n"))
 
 
 def chi_square_cells(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -83,7 +90,6 @@ def pairwise_chi_square(df: DataFrame, group: str, flag: str, with_p: bool = Tru
                                  F.sum(F.when(F.col(flag) == 1, 0).otherwise(1)).cast("double").alias("a0")))
     # both sides of the pair join read the (one row per group) count table: write
     # it once so the input is aggregated once
-    from riskpanel.session import materialize
     cnt = materialize(cnt, "group_counts")
     x = cnt.select(F.col(group).alias("g1"), F.col("a1").alias("x1"), F.col("a0").alias("x0"))
     y = cnt.select(F.col(group).alias("g2"), F.col("a1").alias("y1"), F.col("a0").alias("y0"))
@@ -165,7 +171,6 @@ def ablate_column(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     """
     from pyspark.ml.classification import LogisticRegression
     from riskpanel.ml.models import fit_preprocessor
-    from riskpanel.session import materialize
 
     # two preprocessors and two iterative fits read the same rows: write them once
     df = materialize(df.select(*numeric, *categorical, sensitive, label), "ablation_input")

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskpanel.functions.stats import corr_from_sums, corr_sparse
+from riskpanel.functions.stats import corr_sparse, corr_support
+from riskpanel.session import materialize
 
 
 def target_corr(long: DataFrame, rows: DataFrame, keys: Sequence[str], target: str,
@@ -70,60 +71,45 @@ def top_family(ranked: DataFrame, prefix: str, k: int, feature: str = "feature",
 def cross_corr(long: DataFrame, keys: Sequence[str], selected: Sequence[str], other_prefix: str,
                other_features: Sequence[str], n_rows: int, k: int = 15) -> DataFrame:
     """T4: for each selected feature, the ``k`` features of another family most
-    correlated with it (by absolute correlation, ties by name).
-
-    The selected features are pivoted to one row per key (``len(selected)``
-    columns) and joined to the other family's non-zero rows, so each row is
-    widened by the selection, not paired with every other row of its key.
-    """
+    correlated with it (by absolute correlation, ties by name): :func:`cross_corr_by` with one group."""
     spark = long.sparkSession
-    sel = list(selected)
-    a_long = long.where(F.col("feature").isin(sel))
-    a_wide = a_long.groupBy(*keys).agg(*[F.sum(F.when(F.col("feature") == f, F.col("value"))).alias(f"a{i}")
-                                         for i, f in enumerate(sel)]).fillna(0.0)
-    a_stats = a_long.groupBy("feature").agg(F.sum("value").alias("sa"),
-                                            F.sum(F.col("value") * F.col("value")).alias("saa"))
-    b_long = long.where(F.col("feature").startswith(other_prefix))
-    b_sums = (b_long.join(a_wide, list(keys), "left").fillna(0.0)
-                    .groupBy("feature").agg(F.sum("value").alias("sb"),
-                                            F.sum(F.col("value") * F.col("value")).alias("sbb"),
-                                            *[F.sum(F.col("value") * F.col(f"a{i}")).alias(f"sab{i}")
-                                              for i in range(len(sel))]))
-    b_grid = spark.createDataFrame([(f,) for f in other_features], "feature string") \
-        .join(b_sums, "feature", "left").fillna(0.0)
-    pairs = b_grid.select(F.col("feature").alias("other"), "sb", "sbb", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"sab{i}").alias("sab")) for i, f in enumerate(sel)])).alias("p")
-    ).select("other", "sb", "sbb", "p.feature", "p.sab")
-    n = F.lit(float(n_rows))  # rows of the frame, zeros included
-    pairs = pairs.join(a_stats, "feature", "left").fillna(0.0, subset=["sa", "saa"])
-    c = corr_from_sums(n, F.col("sa"), F.col("sb"), F.col("saa"), F.col("sbb"), F.col("sab"))
-    out = pairs.select("feature", "other", c.alias("corr"), F.abs(c).alias("abs_corr"))
-    w = Window.partitionBy("feature").orderBy(F.col("abs_corr").desc_nulls_last(), F.col("other"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    chosen = spark.createDataFrame([(0, f) for f in selected], "__one int, feature string")
+    rows = spark.createDataFrame([(0, int(n_rows))], "__one int, n long")
+    return cross_corr_by(long.withColumn("__one", F.lit(0)), keys, "__one", chosen, other_prefix, other_features, rows, k).drop("__one")
 
 
 def cross_corr_by(long: DataFrame, keys: Sequence[str], by: str, selected: DataFrame, other_prefix: str,
                   other_features: Sequence[str], n_rows: DataFrame, k: int = 15) -> DataFrame:
-    """T4 per group ``by``: ``cross_corr`` with a selection (by, feature) and a row count (by, n) of each group.
+    """T4 per group ``by``, with a selection (by, feature) and a row count (by, n) of each group.
 
-    ``long`` holds ``by``; the selected values of a key are gathered into one map, so each row of
-    the other family meets the selection once, and sums are per (group, selected, other).
+    ``long`` holds ``by``. Values are taken less their feature's mean over the rows that hold it; the selected values
+    of a key are gathered into one list (never longer than the selection), so each row of the other family meets the selection
+    once, and sums are per (group, selected, other).
     """
     x = F.col("value").cast("double")
     cells = long.select(by, *keys, "feature", x.alias("value")).where("value IS NOT NULL")
-    chosen = cells.join(selected.select(by, "feature"), [by, "feature"], "left_semi")
-    a_stats = chosen.groupBy(by, "feature").agg(F.sum("value").alias("sa"), F.sum(x * x).alias("saa"))
-    other = cells.where(F.col("feature").startswith(other_prefix)).withColumnRenamed("feature", "other")
-    b_stats = other.groupBy(by, "other").agg(F.sum("value").alias("sb"), F.sum(x * x).alias("sbb"))
-    own = chosen.groupBy(by, *keys).agg(F.collect_list(F.struct("feature", "value")).alias("__own"))
+    used = cells.where(F.col("feature").startswith(other_prefix)).unionByName(
+        cells.where(~F.col("feature").startswith(other_prefix)).join(selected.select(by, "feature"), [by, "feature"], "left_semi"))
+    means = materialize(used.groupBy(by, "feature").agg(F.avg("value").alias("at")), "feature_means")  # a row a group and feature
+    centred = cells.join(means, [by, "feature"]).withColumn("value", F.col("value") - F.col("at"))
+    stats = materialize(centred.groupBy(by, "feature").agg(
+        F.count("*").cast("double").alias("n1"), F.max("at").alias("at"), F.sum("value").alias("own"), F.sum(x * x).alias("sq")), "feature_moments")
+    own = centred.join(selected.select(by, "feature"), [by, "feature"], "left_semi") \
+        .groupBy(by, *keys).agg(F.collect_list(F.struct("feature", "value")).alias("__own"))
+    other = centred.where(F.col("feature").startswith(other_prefix)).withColumnRenamed("feature", "other")
     both = other.join(own, [by, *keys]).select(by, "other", "value", F.explode("__own").alias("a"))
-    ab = both.groupBy(by, F.col("a.feature").alias("feature"), "other").agg(F.sum(F.col("value") * F.col("a.value")).alias("sab"))
+    ab = both.groupBy(by, F.col("a.feature").alias("feature"), "other").agg(
+        F.count("*").cast("double").alias("n_ab"), F.sum("a.value").alias("sum_a"), F.sum("value").alias("sum_b"),
+        F.sum(F.col("value") * F.col("a.value")).alias("sum_ab"))
     names = F.explode(F.array(*[F.lit(f) for f in other_features])).alias("other")
     grid = selected.select(by, "feature", names).join(n_rows.select(by, F.col("n").cast("double").alias("n")), by)
-    sums = ["sa", "saa", "sb", "sbb", "sab"]
+    moments = ["n1", "at", "own", "sq"]
+    a_stats = stats.select(by, "feature", *[F.col(m).alias(f"{m}_a") for m in moments])
+    b_stats = stats.select(by, F.col("feature").alias("other"), *[F.col(m).alias(f"{m}_b") for m in moments])
+    sums = [*[f"{m}_{s}" for s in "ab" for m in moments], "n_ab", "sum_a", "sum_b", "sum_ab"]
     pairs = grid.join(a_stats, [by, "feature"], "left").join(b_stats, [by, "other"], "left") \
         .join(ab, [by, "feature", "other"], "left").fillna(0.0, subset=sums)
-    c = corr_from_sums(*[F.col(v) for v in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    c = corr_support(F.col("n"), *[F.col(v) for v in sums])
     out = pairs.select(by, "feature", "other", c.alias("corr"), F.abs(c).alias("abs_corr"))
     w = Window.partitionBy(by, "feature").orderBy(F.col("abs_corr").desc_nulls_last(), F.col("other"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -263,6 +263,17 @@ def panel(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
     return out.select(*pol, *names, "a_to_e_value", "fold")
 
 
+def panel_profile(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Counts of every claim feature of the panel (and group), from the store."""
+    from riskpanel.operators.store import feature_profile
+    domains = code_domains(spark, sf_dir)
+    long, rows = claims_store(spark, sf_dir, domains=domains)
+    names = spark.createDataFrame([(n,) for n in feature_names(domains)], "feature string")
+    keys = ["party_id", "startdate"]
+    rows = rows.select(*keys, *([by] if by else []))
+    return feature_profile(long.where(F.col("feature") != "__actual"), rows, keys, names, by)
+
+
 def claims_store(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
                  domains: dict[str, list[str]] | None = None,
                  materialize: bool = True) -> tuple[DataFrame, DataFrame]:

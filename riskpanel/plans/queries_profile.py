@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskpanel.functions import binning as B
-from riskpanel.operators import cleaning, encoding, evaluate, profile, quality
+from riskpanel.operators import cleaning, encoding, evaluate, profile, quality, store
 from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.registry import register, rounded
@@ -87,9 +87,17 @@ FROM panel_long GROUP BY state, feature
 """)
 def prevalence_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: percent non-zero of every claim feature per state (NULL counts as non-zero)."""
-    panel = proxy.panel(spark, sf_dir)
-    feats = [c for c in panel.columns if c not in POP]
-    return rounded(profile.prevalence(panel, feats, by=["state"]))
+    return rounded(store.prevalence(proxy.panel_profile(spark, sf_dir, "state"), ["state"]))
+
+
+@register("prevalence_overall", "A10", sql=f"""
+WITH {S.panel_long()}
+SELECT feature AS column, round(avg(CASE WHEN value IS NULL OR value <> 0 THEN 1 ELSE 0 END) * 100.0, 6) AS pct_non_zero
+FROM panel_long GROUP BY feature
+""")
+def prevalence_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 without groups: percent non-zero of every claim feature."""
+    return rounded(store.prevalence(proxy.panel_profile(spark, sf_dir)))
 
 
 @register("flag_means", "A13 C13", sql=f"""
@@ -191,10 +199,7 @@ SELECT feature AS column FROM panel_long GROUP BY feature HAVING count(nullif(va
 """)
 def all_missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim features with no recorded value (NULL or 0) in any fold."""
-    panel = proxy.panel(spark, sf_dir)
-    feats = [c for c in panel.columns if c not in POP]
-    nulled = panel.select("fold", *[F.nullif(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in feats])
-    return quality.all_missing(nulled, "fold", feats)
+    return store.all_missing(proxy.panel_profile(spark, sf_dir, "fold"))
 
 
 @register("panel_info", "A15", sql=f"""

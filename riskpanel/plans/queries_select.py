@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskpanel.operators import selection
+from riskpanel.operators import selection, store
 from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.registry import register, rounded
@@ -170,6 +170,4 @@ SELECT feature AS column FROM panel_long GROUP BY feature HAVING min(value) IS N
 """)
 def constant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero-variance columns of the panel (the drop list of ``drop_constant``)."""
-    panel = proxy.panel(spark, sf_dir)
-    feats = proxy.feature_names(proxy.code_domains(spark, sf_dir))
-    return selection.constant_columns(panel, feats)
+    return store.constant(proxy.panel_profile(spark, sf_dir))

@@ -125,3 +125,77 @@ def test_class_table_without_windows(spark):
     by_class = {r.k: (r.p_0, r.p_1) for r in fairness.class_table(df, "k", "c", ["0", "1"], given="class").collect()}
     assert by_class == {"x": (0.5, 1.0), "y": (0.5, 0.0), "z": (0.0, 0.0)}
     assert "Window" not in fairness.class_table(df, "k", "c", ["0", "1"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [5, 60, 1_000_000])
+def test_ranks_are_exact_however_often_buckets_are_split(spark, few):
+    from riskpanel.operators import quantiles
+    rng = np.random.default_rng(3)
+    xs = {"a": rng.normal(0, 1e6, 900).round(1), "b": np.concatenate([np.full(400, 7.0), rng.random(50)]), "c": np.array([1.0]), "d": np.arange(5.0)}
+    rows = spark.createDataFrame([(g, float(x)) for g, v in xs.items() for x in v], "g string, __v double").repartition(3)
+    wanted = F.array(F.lit(0), (F.col("__n") / 2).cast("int"), F.col("__n") - 1)
+    got = {}
+    for r in quantiles.select_ranks(rows, ["g"], F.array_distinct(F.transform(wanted, lambda x: x.cast("long"))), few=few).collect():
+        got.setdefault((r.g, r["__n"]), {})[r["__rank"]] = r["__v"]
+    want = {(g, len(v)): {k: sorted(v)[k] for k in {0, len(v) // 2, len(v) - 1}} for g, v in xs.items()}
+    assert got == want
+    every = quantiles.select_ranks(rows.select("__v"), [], F.array(F.lit(700).cast("long")), few=few).collect()
+    assert [(r["__n"], r["__rank"], r["__v"]) for r in every] == [(1356, 700, sorted(np.concatenate([*xs.values()]))[700])]
+
+
+def test_store_profile_equals_the_wide_panel(spark):
+    from riskpanel.operators import store
+    rng = np.random.default_rng(2)
+    features = ["a_1", "a_2", "a_3", "b_1", "b_2", "c_1"]
+    rows, cells, wide = [], [], []
+    for i in range(60):
+        state = [None, "x", "y"][i % 3]
+        rows.append((i, state))
+        row = dict.fromkeys(features)
+        for fam in ("a", "b"):
+            if rng.random() < 0.6:
+                for f in features:
+                    if f.startswith(fam):
+                        row[f] = {"a_2": 5.0, "a_3": 0.0}.get(f, float(rng.integers(0, 3)))
+                        if row[f] or f in ("a_2", "b_1"):  # some zero cells are stored
+                            cells.append((i, f, row[f]))
+                if not any(c[0] == i and c[1].startswith(fam) for c in cells):
+                    cells.append((i, f"{fam}_1", 0.0))
+        wide.append((i, state, *row.values()))
+    cells += [(99, "c_1", 3.0)]  # no row of the panel
+    long = spark.createDataFrame(cells, "id int, feature string, value double")
+    frame = spark.createDataFrame(wide, "id int, state string, " + ", ".join(f"{f} double" for f in features))
+    names = spark.createDataFrame([(f,) for f in features], "feature string")
+    keyed = spark.createDataFrame(rows, "id int, state string")
+    got = {(r.state, r.column): r.pct_non_zero for r in store.prevalence(store.feature_profile(long, keyed, ["id"], names, "state"), ["state"]).collect()}
+    want = {(r.state, r.column): r.pct_non_zero for r in profile.prevalence(frame, features, ["state"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    overall = store.feature_profile(long, keyed, ["id"], names)
+    assert {r.column: round(r.pct_non_zero, 9) for r in store.prevalence(overall).collect()} == \
+        {r.column: round(r.pct_non_zero, 9) for r in profile.prevalence(frame, features).collect()}
+    from riskpanel.operators import selection
+    assert {r.column for r in store.constant(overall).collect()} == {r.column for r in selection.constant_columns(frame, features).collect()} \
+        >= {"a_2", "a_3", "c_1"}
+    assert {r.column for r in store.all_missing(overall).collect()} == {"a_3", "c_1"}
+
+
+def test_cross_correlation_keeps_a_small_spread_beside_a_large_mean(spark):
+    from riskpanel.operators import selection
+    rng = np.random.default_rng(7)
+    n = 400
+    a = 1e7 + rng.integers(0, 2, n)
+    b = np.where(rng.random(n) < 0.5, 0.0, 1e6 + (a - 1e7) + rng.random(n))
+    c = 1e7 + (a - 1e7) * 2 + rng.random(n)
+    cols = {"s_a": a, "o_b": b, "o_c": c, "o_const": np.full(n, 3.0)}
+    long = spark.createDataFrame([(i, f, float(v[i])) for f, v in cols.items() for i in range(n) if v[i]], "id int, feature string, value double")
+    got = {r.other: r.corr for r in selection.cross_corr(long, ["id"], ["s_a"], "o_", ["o_b", "o_c", "o_const", "o_none"], n).collect()}
+    assert abs(got["o_b"] - np.corrcoef(a, b)[0, 1]) < 1e-6 and abs(got["o_c"] - np.corrcoef(a, c)[0, 1]) < 1e-6
+    assert got["o_const"] is None and got["o_none"] is None
+
+
+def test_contingency_table_is_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 2), (None, 1)], "r string, c int")
+    assert {(x.r, x.c): x["count"] for x in fairness.crosstab(df, "r", "c").collect()} == {("a", 1): 1, ("a", 2): 1, ("b", 1): 0, ("b", 2): 1}
+    monkeypatch.setattr(fairness, "MAX_CELLS", 3)
+    with pytest.raises(ValueError):
+        fairness.crosstab(df, "r", "c")
