@@ -4,13 +4,15 @@ Both vocabularies pre-tokenize at white space: no token spans a single blank or
 between other characters. Texts are therefore cut into chunks there (by Arrow, a batch at a
 time), every distinct chunk is encoded by the library once (a bounded cache per Python
 worker), and a text's ids are the concatenation. Texts with other white space (runs of blanks,
-tabs, no-break spaces, ...) or the separator character itself are encoded whole, so ids never
-depend on the cutting.
+tabs, no-break spaces, ...), the separator character itself or a special token's string are encoded
+whole, so ids never depend on the cutting.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
@@ -20,24 +22,28 @@ from .common import held, ranges
 #: aren't single ones between other characters.
 ODD = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]" \
       r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: Letters of Latin-1, perhaps with a comma or full stop after them.
+WORD = r"\A[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,]?\z"
 
 
 class ChunkEncoder:
     """``encode`` gives the ids of many texts. ``blanks``: the vocabulary keeps white space
     (a blank belongs to the word after it, a line break is a token of its own); else it drops it."""
 
-    def __init__(self, path: str, blanks: bool, cache: int = 300_000):
+    def __init__(self, path: str, blanks: bool, cache: int = 300_000, plain_specials: bool = False):
         import pyarrow as pa
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pa.set_memory_pool(pa.system_memory_pool())  # gives a batch's memory back, unlike Arrow's default pool
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        # a special token's string in a text is that token, as the library's encode has it, or ordinary text if asked for
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.blanks, self.cache, self.model = blanks, cache, self.tokenizer.model
-        # how the library writes the letters of Latin-1 for its model, and the ids of what may stand beside a word
+        # how the library writes the letters of Latin-1 for its model, and the ids of what may stand after a word
         letters = [c for c in map(chr, range(256)) if c.isalpha()]
         self.spelt = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
-        self.beside = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",.\n"} | {"": []}
+        self.beside = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ",."}
         self.blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1] if blanks else ""
         self.clear()
 
@@ -51,29 +57,20 @@ class ChunkEncoder:
         word with the break before it, ``\\0`` + word for a text's first word."""
         return key[1:] if key[:1] == "\x00" else " " + key if self.blanks and key[:1] != "\n" else key
 
-    def _word_ids(self, key: str, known: dict[str, list[int]]) -> list[int] | None:
-        """Ids of a word of Latin-1 letters, perhaps with a comma or full stop: always one pre-token, so
-        the library's model gives them directly. None: the key is something else."""
-        head = key[0] if key[:1] in ("\n", "\x00") else ""
-        word = key[len(head):]
-        tail = word[-1] if word[-1:] in (",", ".") else ""
-        word = word[:-1] if tail else word
-        if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
-            return None
-        word = (self.blank + word if not head else word).translate(self.spelt) if self.blanks else word.lower().translate(self.spelt)
-        ids = known.get(word)
-        if ids is None:
-            ids = known[word] = [t.id for t in self.model.tokenize(word)]
-        return (self.beside["\n"] if self.blanks and head == "\n" else []) + ids + self.beside[tail]
-
     def _learn(self, keys: list[str]) -> None:
-        known: dict[str, list[int]] = {}
-        got = [self._word_ids(k, known) for k in keys]
-        rest = [i for i, g in enumerate(got) if g is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([self._text_of(keys[i]) for i in rest], add_special_tokens=False)):
-            got[i] = e.ids
+        """Add keys to the cache. Words of Latin-1 letters are always one pre-token, so the library's model gives their ids directly;
+        they are spelt as the library spells them for its model, all in one string."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        every = pa.array(keys, pa.string())
+        plain = pc.match_substring_regex(every, WORD).to_numpy(zero_copy_only=False)
+        words = every.take(pa.array(np.flatnonzero(plain))).to_pylist()
+        rest = [keys[i] for i in np.flatnonzero(~plain).tolist()]
+        tokenize, blank = self.model.tokenize, self.blank
+        got = [[t.id for t in tokenize(blank + w)] for w in "\n".join(words).translate(self.spelt).split("\n")] if words else []
+        got += [e.ids for e in self.tokenizer.encode_batch_fast([self._text_of(k) for k in rest], add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), self.flat.dtype, int(n.sum()))
+        ids = np.fromiter(chain.from_iterable(got), self.flat.dtype, int(n.sum()))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         first, last = len(self.index), len(self.index) + len(keys)
@@ -83,7 +80,35 @@ class ChunkEncoder:
         self.starts[first:last] = self.used + np.cumsum(n) - n
         self.lengths[first:last] = n
         self.used += len(ids)
-        self.index.update(zip(keys, range(first, last)))
+        self.index.update(zip(words + rest, range(first, last)))
+
+    def _ids_of(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, number) of an Arrow array of distinct chunks. A comma or full stop after a word of letters is a pre-token of
+        its own, so the cache has the word once, in lower case where the vocabulary folds case."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        plain = pc.match_substring_regex(words, WORD)
+        bare = pc.utf8_rtrim(words, characters=".,")
+        keys = pc.if_else(plain, bare if self.blanks else pc.utf8_lower(bare), words).dictionary_encode()
+        after = np.full(len(words), -1, np.int64)
+        for mark, token in self.beside.items():
+            after[pc.and_(plain, pc.ends_with(words, mark)).to_numpy(zero_copy_only=False)] = token
+        names = keys.dictionary.to_pylist()
+        if len(self.index) > self.cache:
+            self.clear()
+        found = list(map(self.index.get, names))
+        if None in found:
+            self._learn([k for k, i in zip(names, found) if i is None])
+            found = list(map(self.index.get, names))
+        at = np.array(found, np.int64)[keys.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int64)
+        n = self.lengths[at]
+        whole = n + (after >= 0)
+        first = np.cumsum(whole) - whole
+        ids = np.zeros(int(whole.sum()), self.flat.dtype)
+        ids[ranges(first, n)] = self.flat[ranges(self.starts[at], n)]
+        marked = np.flatnonzero(after >= 0)
+        ids[(first + n)[marked]] = after[marked]
+        return ids, first, whole
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text). ``texts``: list
@@ -92,6 +117,8 @@ class ChunkEncoder:
         import pyarrow.compute as pc
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         odd = pc.match_substring_regex(texts, ODD)
+        if self.special:  # lower case too: a vocabulary may fold it first
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.special, ignore_case=True))
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(whole):
             texts, kept = pc.if_else(odd, "", texts), texts
@@ -101,16 +128,10 @@ class ChunkEncoder:
             cut = pc.replace_substring(texts, "\n", " ")
         parts = pc.split_pattern(cut, " ")
         chunks = parts.flatten().dictionary_encode()
-        keys = chunks.dictionary.to_pylist()
-        if len(self.index) > self.cache:
-            self.clear()
-        found = list(map(self.index.get, keys))
-        if None in found:
-            self._learn([k for k, i in zip(keys, found) if i is None])
-            found = list(map(self.index.get, keys))
-        at = np.array(found, np.int64)[chunks.indices.to_numpy(zero_copy_only=False)] if keys else np.zeros(0, np.int64)
-        lengths = self.lengths[at]
-        ids = self.flat[ranges(self.starts[at], lengths)]
+        flat, first, size = self._ids_of(chunks.dictionary)
+        which = chunks.indices.to_numpy(zero_copy_only=False)
+        lengths = size[which]
+        ids = flat[ranges(first[which], lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         edge = parts.offsets.to_numpy().astype(np.int64)
         n = ends[edge[1:] - edge[0]] - ends[edge[:-1] - edge[0]]
