@@ -6,7 +6,8 @@ conversation repeat its beginning again and again, so their size grows with the
 square of its turns. ``expand`` therefore stores each turn once: a conversation
 is a list of segments, a trainable segment ends with one assistant reply, and
 the example of that reply is the concatenation of all segments up to its own.
-``render`` writes the examples out in full, one after the other.
+``examples`` writes them out in full, one after the other, and ``read_examples`` reads such a table back; ``read_back`` does
+the same from the segments.
 
 Template of a turn (:data:`TURN`): ``### role: text</turn>`` and a newline. In texts
 and roles a backslash becomes ``\\``, ``###`` becomes ``\#\#\#``, ``</turn>`` becomes
@@ -25,11 +26,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskpanel.session import checkpoint_dir
+
 from .common import only
 
 TURN = "### {role}: {text}</turn>\n"
@@ -93,25 +97,137 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         .mapInArrow(run, f"conv {src.schema['conv'].dataType.simpleString()}, {SEGMENT}")
 
 
-def render(segments: DataFrame) -> DataFrame:
-    """(conv, example, text, loss_start, loss_end): every example in full, from ``expand``'s rows."""
+def examples(segments: DataFrame, batch_chars: int = 1 << 22) -> DataFrame:
+    """(conv, example, text, loss_start, loss_end, last): every example in full, from ``expand``'s rows.
+
+    Turns after the last reply (all turns, where there is none) are in no example; they leave as a context-only row
+    without a loss, so that nothing of a conversation is lost. ``last`` marks the row that holds the whole conversation. A task holds the
+    conversation so far and about ``batch_chars`` of rows.
+    """
     def run(batches: Iterator):
         import pyarrow as pa
-        conv, text, n = object(), "", 0
+        names = ["conv", "example", "text", "loss_start", "loss_end", "last"]
+        conv, text, n, kept, rest, out, size = object(), "", 0, None, False, [], 0
+        kind = None
+
+        def batch():
+            types = [kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+
+        def done() -> list:
+            """The rows that are due at a conversation's end."""
+            if rest:
+                return [*([(*kept, False)] if kept else []), (conv, n, text, None, None, True)]
+            return [(*kept, True)] if kept else []
+
         for b in batches:
-            for r in b.to_pylist():
-                if r["conv"] != conv:
-                    conv, text, n = r["conv"], "", 0
-                text += r["text"]
-                if r["trainable"]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([conv], b.schema.field("conv").type), pa.array([n]), pa.array([text]),
-                         pa.array([r["loss_start"]]), pa.array([r["loss_end"]])],
-                        names=["conv", "example", "text", "loss_start", "loss_end"])
+            kind = b.schema.field("conv").type
+            for c, own, lo, hi, trainable in zip(*(b.column(x).to_pylist() for x in ("conv", "text", "loss_start", "loss_end", "trainable"))):
+                if c != conv:
+                    out += done()
+                    conv, text, n, kept, rest = c, "", 0, None, False
+                text, rest = text + own, not trainable
+                if trainable:
+                    if kept:
+                        out.append((*kept, False))
+                    kept = (c, n, text, lo, hi)
                     n += 1
+                    size += len(text)
+                if size >= batch_chars and out:
+                    yield batch()
+                    out, size = [], 0
+        out += done()
+        if out:
+            yield batch()
 
     return segments.mapInArrow(run, f"conv {segments.schema['conv'].dataType.simpleString()}, "
-                                    "example long, text string, loss_start long, loss_end long")
+                                    "example long, text string, loss_start long, loss_end long, last boolean")
+
+
+def write_examples(segments: DataFrame) -> DataFrame:
+    """:func:`examples` written in the shared folder and read from it; zstd finds the openings that a conversation's rows repeat."""
+    path = f"{checkpoint_dir(segments.sparkSession).rstrip('/')}/tables/examples-{uuid.uuid4().hex}"
+    examples(segments).write.option("compression", "zstd").parquet(path)
+    return segments.sparkSession.read.parquet(path)
+
+
+def render(segments: DataFrame) -> DataFrame:
+    """(conv, example, text, loss_start, loss_end): the trainable rows of :func:`examples`."""
+    return examples(segments).where("loss_start is not null").drop("last")
+
+
+def read_examples(written: DataFrame) -> DataFrame:
+    """One row per conversation, read back from its written examples (rows of :func:`examples`): its turns from the row that holds them
+    all, the text under the loss masks example by example, and sizes.
+
+    A first pass parses each example on its own and keeps its reply; only replies are brought together by conversation, in
+    order, and hashed as they stream by.
+    """
+    conv_type = written.schema["conv"].dataType.simpleString()
+
+    def parse(batches: Iterator):
+        import pyarrow as pa
+        names = ["conv", "example", "reply", "chars", "n_turns", "turns_sha256"]
+        for b in batches:
+            out = []
+            for example, text, lo, hi, last in zip(*(b.column(x).to_pylist() for x in ("example", "text", "loss_start", "loss_end", "last"))):
+                reply, n, turns = None, None, None
+                if lo is not None:
+                    if text[hi:] != "</turn>\n":
+                        raise ValueError("an example does not end with its reply")
+                    reply = unescape(text[lo:hi])
+                if last:
+                    n, at, digest = 0, 0, hashlib.sha256()
+                    while at < len(text):
+                        m = PARSE.match(text, at)
+                        if m is None:
+                            raise ValueError(f"not in the template at {at}")
+                        digest.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+                        n, at = n + 1, m.end()
+                    turns = digest.hexdigest()
+                out.append((example, reply, len(text), n, turns))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            columns = zip(*out) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column("conv"), *(pa.array(x, t) for x, t in zip(columns, types))], names=names)
+
+    def digest(batches: Iterator):
+        import pyarrow as pa
+        names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "example_chars"]
+        conv, state, kind, out = object(), None, None, []
+
+        def batch():
+            types = [kind, pa.int64(), pa.string(), *[pa.int64(), pa.string()], *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+
+        def row() -> tuple:
+            n, turns, chars, loss, size, count, total = state
+            return conv, n, turns, chars, loss.hexdigest(), size, count, total
+
+        for b in batches:
+            kind = b.schema.field("conv").type
+            for c, reply, chars, n, turns in zip(*(b.column(x).to_pylist() for x in ("conv", "reply", "chars", "n_turns", "turns_sha256"))):
+                if c != conv:
+                    if state:
+                        out.append(row())
+                    conv, state = c, [None, None, 0, hashlib.sha256(), None, 0, 0]
+                if reply is not None:
+                    state[2] += len(reply)
+                    state[3].update(reply.encode())
+                    state[5] += 1
+                    state[6] += chars
+                if turns is not None:
+                    state[0], state[1], state[4] = n, turns, chars
+            if out:
+                yield batch()
+                out = []
+        if state:
+            out.append(row())
+            yield batch()
+
+    replies = written.mapInArrow(parse, f"conv {conv_type}, example long, reply string, chars long, n_turns long, turns_sha256 string")
+    return replies.repartition("conv").sortWithinPartitions("conv", "example").mapInArrow(
+        digest, f"conv {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
+                "n_examples long, example_chars long")
 
 
 def read_back(segments: DataFrame) -> DataFrame:

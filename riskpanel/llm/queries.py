@@ -53,7 +53,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    return chat_format.read_back(chat_format.expand(turns.unionByName(extra))).withColumnRenamed("conv", "conv_id")
+    return chat_format.read_examples(
+        chat_format.write_examples(chat_format.expand(turns.unionByName(extra)))).withColumnRenamed("conv", "conv_id")
 
 
 OP3_SQL = r"""

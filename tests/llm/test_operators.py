@@ -125,6 +125,14 @@ def test_chat_round_trip_and_examples(spark):
         assert turns[-1][0] == "assistant" and r.text[r.loss_start:r.loss_end] == turns[-1][1]
         assert len(turns) == [i for i, t in enumerate(sorted(by[r.conv])) if t[1] == "assistant"][r.example] + 1
     assert chat_format.read_back(chat_format.expand(df.limit(0))).count() == 0
+    written = chat_format.examples(segments, batch_chars=300)
+    assert chat_format.read_examples(written).exceptAll(chat_format.read_back(segments)).count() == 0
+    assert chat_format.read_examples(written).count() == len(by)
+    for r in written.collect():
+        parsed = [(chat_format.unescape(m[1]), chat_format.unescape(m[2])) for m in chat_format.PARSE.finditer(r.text)]
+        assert parsed == [(role, text) for _, role, text in sorted(by[r.conv])][:len(parsed)]
+        assert r.last == (len(parsed) == len(by[r.conv]))
+    assert chat_format.read_examples(chat_format.examples(chat_format.expand(df.limit(0)))).count() == 0
 
 
 # 4 toxicity
