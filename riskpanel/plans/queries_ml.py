@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskpanel.ml import boosted_search as boosted_search_ml
 from riskpanel.ml import models, penalty_path, scoring, sparse, tuning
 from riskpanel.operators import cleaning, evaluate
 from riskpanel.plans import proxy
@@ -231,6 +233,32 @@ def tuning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).select("search", "stage", "number", *[c for c in out[0].columns if c not in ("search", "stage", "number")])
 
 
+#: Trees a trial may grow in ``boosted_search``: each one is several jobs over the rows, whatever their number.
+BOOSTED_TREES = 10
+
+
+@register("boosted_search", "V3 V5 M3 K5")
+def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3/M3: 30 random trials of boosted trees over the sliding windows (``stage`` trial), on features binned once. V5 + K5: the
+    best one refitted on folds 1-4, saved, loaded and scored on the fold after them (final)."""
+    rows, cells, known = _cells(spark, sf_dir)
+    index = materialize(sparse.feature_index(cells, known), "feature_index")
+    binned = boosted_search_ml.binned_cells(cells, materialize(boosted_search_ml.feature_borders(cells), "borders"))
+    data = sparse.vectors(rows.select(*KEYS, "fold", LABEL), binned, index, KEYS)
+    frames = boosted_search_ml.windows(data, "fold", LABEL, KEYS, SLIDING)
+    trials = boosted_search_ml.search(frames, LABEL, 30, max_trees=BOOSTED_TREES, parallelism=8)
+    best = min(trials, key=lambda r: (r["value"], r["number"]))
+    path = os.path.join(checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
+    sinks.save_model(PipelineModel(stages=[boosted_search_ml.refit(data.where(F.col("fold") < FOLDS[-1]), best, LABEL)]), path)
+    final = tuning.error_metrics(sinks.load_model(path).transform(data.where(F.col("fold") == FOLDS[-1])), LABEL)
+    out = [{"stage": "trial", **r} for r in trials] + [
+        {"stage": "final", "number": best["number"], **{k: v for k, v in best.items() if k.startswith("params_")}, **{f"final_{m}": v for m, v in final.items()}}]
+    kinds = {"stage": "string", "number": "int", "params_max_depth": "int", "params_min_data_in_leaf": "int"} \
+        | {f"user_attrs_sw{s}_trees": "int" for s in range(1, len(SLIDING) + 1)}
+    cols = [*kinds, *sorted({c for r in out for c in r} - set(kinds))]
+    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in out], ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in cols))
+
+
 ONE_ALPHAS = [0.001, 0.01, 0.05, 0.2]
 
 
