@@ -275,13 +275,10 @@ SELECT n.feature, coalesce(regexp_extract(n.feature, '[^_]*$') || ' - ' || l.lab
 FROM names n LEFT JOIN labels l ON regexp_extract(n.feature, '[^_]*$') = l.code
 """)
 def feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """12-month procedure features (P3 name match) relabelled ``code - label``."""
-    domains = proxy.code_domains(spark, sf_dir)
-    names = [n for n in proxy.feature_names(domains) if n.startswith("ccs_12mos")]
-    frame = spark.createDataFrame([(n,) for n in names], "feature string")
-    picked = columns.matching(spark.createDataFrame([], ", ".join(f"`{n}` double" for n in names)),
-                              regex="^ccs_12mos")
-    frame = frame.where(F.col("feature").isin(picked))
+    """12-month procedure features, matched by name among all of the panel (P3), relabelled ``code - label``."""
+    names = proxy.feature_names(proxy.code_domains(spark, sf_dir))
+    panel = spark.createDataFrame([], ", ".join(f"`{n}` double" for n in names))  # its columns, without its rows
+    frame = spark.createDataFrame([(n,) for n in columns.matching(panel, regex="^ccs_12mos")], "feature string")
     part = proxy.table(spark, sf_dir, "part")
     labels = part.select(F.lower("p_brand").alias("code"),
                          F.upper(F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("B"))).alias("label")).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.ml import boosted_search as boosted_search_ml
 from riskpanel.ml import models, penalty_path, scoring, sparse, tuning
-from riskpanel.operators import cleaning, evaluate
+from riskpanel.operators import cleaning, evaluate, fairness, panel as panel_ops
 from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.registry import register, rounded
@@ -259,6 +259,28 @@ def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in out], ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in cols))
 
 
+@register("compare_fits", "M7 J5 M2", sql=f"""
+WITH {S.population()},
+x AS (SELECT fold, n.feature, coalesce(CASE n.feature WHEN 'claims_3mos' THEN claims_3mos WHEN 'claims_6mos' THEN claims_6mos ELSE claims_12mos END, 0)::DOUBLE AS x,
+             a_to_e_value AS y FROM pop, (VALUES ('claims_3mos'), ('claims_6mos'), ('claims_12mos')) n(feature) WHERE plan IN {S.in_list(proxy.KEPT_PLANS)}),
+s AS (SELECT fold, feature, covar_pop(x, y) / stddev_pop(x) AS c FROM x WHERE fold <= 2 GROUP BY ALL),
+w AS (SELECT fold, feature, sign(c) * greatest(abs(c) - 0.01, 0.0) AS coef FROM s)
+SELECT 'num__' || feature AS feature, round(a.coef, 6) + 0.0 AS coef_a, round(b.coef, 6) + 0.0 AS coef_b,
+       round(abs(a.coef - b.coef), 6) AS coef_diff, a.coef = b.coef AS zero_diff
+FROM (SELECT * FROM w WHERE fold = 1) a JOIN (SELECT * FROM w WHERE fold = 2) b USING (feature)
+""")
+def compare_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 on coefficients of fitted models: one-feature Lasso fits (closed form in the SQL) of folds 1 and 2 side by side."""
+    data, index = _vectors(spark, sf_dir)
+    shift = penalty_path.shifts(data, LABEL)
+    products = materialize(penalty_path.fold_products(data, "fold", LABEL, shift), "products")
+    sides = []
+    for fold, name in ((1, "coef_a"), (2, "coef_b")):
+        own = [penalty_path.fit_folds(products, index, shift, [c], [], [fold], [0.01])[1].where("feature <> 'intercept'") for c in CLAIMS]
+        sides.append(panel_ops.stack(own).select("feature", (F.col("coef") + 0.0).alias(name)))
+    return rounded(fairness.compare_coefficients(*sides, k=None))
+
+
 ONE_ALPHAS = [0.001, 0.01, 0.05, 0.2]
 
 
