@@ -1,9 +1,8 @@
 """URL filter: host/path rules, then a list of canonical URLs behind a blocked Bloom filter.
 
-The filter has a fixed number of 256-bit blocks, so what is broadcast has a size
-bound that doesn't depend on the list (``2 ** log2_blocks`` rows of five longs).
-A longer list only makes it let through more urls; each possible hit goes
-to an exact hash join with the list, which removes all false positives.
+The filter has as many 256-bit blocks as the counted list asks for, 2 ** 20 rows of five longs at
+most, which bounds what is broadcast. A longer list only makes it let through more urls; each possible hit
+goes to an exact hash join with the list, which removes all false positives.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule, is on no list, and is allowed. Repeated rows stay. Extra columns of
@@ -12,6 +11,8 @@ the input don't reach the result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,20 +88,31 @@ def maybe_listed(df: DataFrame, key: str, filt: DataFrame, log2_blocks: int = 16
     return df.withColumn("block", block).join(F.broadcast(filt), "block").filter(hit).drop("block", "w0", "w1", "w2", "w3")
 
 
+def blocks_for(n: int) -> int:
+    """log2 of the number of blocks for ``n`` keys: 16 keys a block of 256 bits, 2 ** 20 blocks at most. A longer list
+    lets more urls pass to the exact join, which still decides."""
+    return min(max(math.ceil(math.log2(max(n, 1) / 16)), 4), 20)
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id",
-                url_col: str = "url", listed_col: str = "url", log2_blocks: int = 16) -> DataFrame:
+                url_col: str = "url", listed_col: str = "url", log2_blocks: int | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, listed) of every row: the longest fitting rule decides; else
-    a url is blocked if its canonical form is among those of ``listed``."""
+    a url is blocked if its canonical form is among those of ``listed``. ``log2_blocks``: size of the filter, else
+    that of :func:`blocks_for` the counted list."""
     keys = only(listed, url=listed_col).select(canonical(F.col("url")).alias("key")).filter("key <> ''").distinct()
     rows = only(pages, id=id_col, url=url_col).select(
         "id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
         canonical(F.col("url")).alias("key"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"))
+    if log2_blocks is None:
+        log2_blocks = blocks_for(keys.count())
     # each distinct url is looked up once, however many rows have it
     hits = maybe_listed(rows.select("key").filter("key <> ''"), "key", bloom(keys, "key", log2_blocks), log2_blocks).distinct()
     on_list = hits.join(keys, "key").select(F.col("key").alias("k"), F.lit(True).alias("on_list"))
-    out = rows.join(on_list, F.col("key") == F.col("k"), "left")
+    # rows without a canonical url are no rows of the join: they would share one key
+    out = rows.filter("key <> ''").join(on_list, F.col("key") == F.col("k"), "left") \
+        .unionByName(rows.filter("key = ''").withColumns({"k": F.lit(None).cast("string"), "on_list": F.lit(None).cast("boolean")}))
     listed_flag = F.coalesce("on_list", F.lit(False))
     return out.select("id", "host", "path", "rule", F.coalesce("by_rule", F.when(listed_flag, "block").otherwise("allow"))
                       .alias("verdict"), listed_flag.alias("listed"))

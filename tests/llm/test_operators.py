@@ -86,6 +86,10 @@ def test_bloom_lets_all_listed_pass_and_few_others(spark):
     assert url_filter.maybe_listed(other, "key", filt, 8).count() < 2000
 
 
+def test_filter_size_follows_the_list():
+    assert [url_filter.blocks_for(n) for n in (0, 1, 16 * 2 ** 10, 16 * 2 ** 10 + 1, 10 ** 12)] == [4, 4, 10, 11, 20]
+
+
 def test_url_rules_edges(spark):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/")]
     urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?y#z", "http://example.net", "http://notnet/", "http://x.net?q/",
