@@ -331,26 +331,29 @@ def repeated_ranges(prepared: DataFrame, length: int = 200, crowded: int = 5000)
     if length < ANCHOR + 8:
         raise ValueError(f"anchors need strings of at least {ANCHOR + 8} bytes")
     own = blocks(prepared, length)
-    often = own.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # tables that are joined to many rows of one anchor or content are written first: a join of two plain exchanges is one whose
+    # hot keys AQE splits, which it can't where an aggregate of the same key ends in the join's stage
+    often = materialize(own.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
     own = materialize(own.join(often, "anchor"), "blocks")
     contents = own.groupBy("anchor", "content").agg(
         F.count("*").alias("times"), F.min("row").alias("row"), F.min_by("start", "row").alias("start"),
         F.first("n").alias("n"), F.first("lead").alias("lead"))
-    kinds = own.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("*").alias("kinds"))
-    contents = materialize(contents.join(kinds, "anchor"), "contents")
+    contents = materialize(contents, "contents")
+    kinds = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    contents = contents.join(kinds, "anchor")
     wanted = contents.filter("kinds > 1").groupBy("row").agg(F.collect_list(F.struct(
         "anchor", "content", "start", "n", "lead", (F.col("kinds") > crowded).alias("crowded"))).alias("wanted"))
     raw = prepared.select("row", "z").join(wanted, "row").select("z", "wanted").mapInArrow(
         tidy(_fetch(length)), "anchor long, content long, n int, lead int, crowded boolean, bytes binary")
     dealt = raw.mapInArrow(tidy(_cut_crowded(length)), "g1 long, g2 long, content long, shift int, n int, crowded boolean, same long, bytes binary")
-    if contents.filter(F.col("kinds") > crowded).isEmpty():
+    if kinds.filter(F.col("kinds") > crowded).isEmpty():
         partly = _compared(dealt, length)
     else:
         dealt = materialize(dealt, "edges")
         partly = _compared(dealt.filter("not crowded"), length).unionByName(_crowded(dealt.filter("crowded"), length, crowded))
     # of a content: all windows if it occurs again, and those that other contents hold too
     whole = contents.filter("times > 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
-    hits = whole.unionByName(partly).groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
+    hits = materialize(whole.unionByName(partly).groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "last")).alias("hits")), "hits")
     spans = own.join(hits, ["anchor", "content"]).select("row", "start", F.explode("hits").alias("h")) \
         .select("row", F.struct((F.col("start") + F.col("h.first")).alias("first"), (F.col("start") + F.col("h.last") + length).alias("end")).alias("s"))
     return spans.groupBy("row").agg(F.collect_list("s").alias("spans"))
