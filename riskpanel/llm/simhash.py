@@ -11,8 +11,8 @@
   is exact for the same reason and spreads the rows over many tasks.
 * Inside a task, fingerprints are stored as 64 vertical bit planes (64
   fingerprints a machine word). Distances of many pairs grow together in
-  carry-save counters; a row of a tile is abandoned once all its lanes exceed
-  the radius.
+  carry-save counters; of a tile, a row in a block of 1,024 lanes is abandoned once
+  all these lanes exceed the radius.
 * Only a spanning forest of the links of each tile leaves the task, so a group
   of n near copies yields at most n - 1 rows a band instead of n * n pairs.
 
@@ -123,25 +123,37 @@ def within(queries: np.ndarray, lanes: np.ndarray, radius: int, skip: np.ndarray
     return out
 
 
-def forest(fps: np.ndarray, radius: int, tile: int = 256) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, radius: int, tile: int = 256, block: int = 16) -> list[tuple[int, int]]:
     """Index pairs (i, j) of a spanning forest of all links among ``fps``."""
     n = len(fps)
-    label, pairs = np.arange(n), []
+    parent, pairs = np.arange(n), []
     lanes = planes(fps)
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        """Smallest members of the trees so far; the way there is shortened."""
+        top = parent[at]
+        while True:
+            above = parent[top]
+            if (above == top).all():
+                parent[at] = top
+                return top
+            top = above
+
     for at in range(0, n, tile):
         q = fps[at:at + tile]
         words = -(-(at + len(q)) // 64)  # only earlier lanes: j < i
         earlier = np.arange(words * 64)[None, :] >= (at + np.arange(len(q)))[:, None]
         skip = np.packbits(earlier, axis=1, bitorder="little").view("<u8")
-        hit = within(q, lanes[:, :words], radius, skip)
+        # block by block of lanes: one is abandoned once all of it exceeds the radius
+        hit = np.concatenate([within(q, lanes[:, w:min(w + block, words)], radius, skip[:, w:w + block]) for w in range(0, words, block)], axis=1)
         for r in np.flatnonzero(hit.any(axis=1)):
             i = at + int(r)
             js = np.flatnonzero(np.unpackbits(hit[r].view(np.uint8), bitorder="little"))
-            for root, k in zip(*np.unique(label[js], return_index=True)):
-                mine = label[i]
+            for root, k in zip(*np.unique(roots(js), return_index=True)):
+                mine = int(roots(np.array([i]))[0])
                 if root != mine:
                     pairs.append((i, int(js[k])))
-                    label[label == max(root, mine)] = min(root, mine)
+                    parent[max(root, mine)] = min(root, mine)
     return pairs
 
 
