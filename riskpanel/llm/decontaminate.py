@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import materialize, only
 
 #: Token places that a mask looks at.
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
@@ -110,7 +110,10 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return found.select("id", "item").distinct().groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that hold test items, all columns kept."""
-    bad = findings(docs, benchmark, id_col, **options).select(F.col("id").alias("__bad_id"))
-    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["__bad_id"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` without the rows that hold test items, all columns kept. The ids found are written; if they are counted to
+    be at most ``broadcast_rows``, the texts are not shuffled."""
+    bad = findings(docs, benchmark, id_col, broadcast_rows=broadcast_rows, **options).select(F.col("id").alias("__bad_id"))
+    bad = materialize(bad, "contaminated")
+    small = bad.count() <= broadcast_rows
+    return docs.join(F.broadcast(bad) if small else bad, docs[f"`{id_col}`"].eqNullSafe(bad["__bad_id"]), "left_anti")

@@ -40,10 +40,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, i
     def run(batches: Iterator):
         import pyarrow as pa
         from pyspark import TaskContext
-        enc, seen = encoder(tokenizer, blanks), TaskContext.get().partitionId() << 40
+        enc, seen = encoder(tokenizer, blanks, cache=100_000), TaskContext.get().partitionId() << 40
         for b in batches:
             texts, doc_ids = b.column("text"), b.column("id")
-            for first, last in slices(texts):
+            for first, last in slices(texts, 1_500_000):
                 got, n = enc.encode(texts.slice(first, last - first))
                 ids, at = got.astype("<u4"), np.concatenate(([0], np.cumsum(n)))
                 end = np.array([end_id], "<u4").tobytes()
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, i
                         [doc_ids.slice(first).take(pa.array(own[0])), pa.array(own[1], pa.int64()), pa.array(own[2], pa.int32()),
                          pa.array(own[3], pa.int64()), pa.array(own[4], pa.int64()), pa.array(own[5], pa.binary())],
                         names=["id", "row", "piece", "start", "length", "ids"])
+            b = texts = doc_ids = got = ids = rows = None  # the next batch comes before these names are bound again
 
     return src.mapInArrow(tidy(run), f"id {src.schema['id'].dataType.simpleString()}, row long, piece int, start long, length long, ids binary")
 

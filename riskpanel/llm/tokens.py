@@ -144,9 +144,9 @@ class ChunkEncoder:
         return ids, n
 
 
-def encoder(path: str, blanks: bool) -> ChunkEncoder:
+def encoder(path: str, blanks: bool, cache: int = 300_000) -> ChunkEncoder:
     """The worker's own encoder: its cache serves all tasks that this worker runs."""
-    return held(f"encoder {path}", lambda: ChunkEncoder(path, blanks))
+    return held(f"encoder {path}", lambda: ChunkEncoder(path, blanks, cache))
 
 
 def slices(texts, most: int = 4_000_000):
