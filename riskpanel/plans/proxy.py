@@ -24,8 +24,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from riskpanel.operators.panel import lookback, pivot_features
 
@@ -77,33 +79,55 @@ def claim_lines(spark: SparkSession, sf_dir: str, dates=None) -> DataFrame:
                       "l_quantity", "l_returnflag", "p_type", "p_brand", "p_size"))
 
 
-def tagged_lines(spark: SparkSession, sf_dir: str, back: Sequence[str] = START_DATES,
-                 fwd: Sequence[str] = START_DATES, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """Claim lines assigned in ONE explode to every start date whose look-back
-    window (``role='back'``, the 12 months before) or outcome window
-    (``role='fwd'``, the 12 months from it) holds them, with nested-window flags
-    ``w3``/``w6`` and the start as a date ``sdate``. A line lands in at most a
-    handful of start dates; the candidate array is a fixed list of CASE
-    expressions, so the whole step stays in generated code.
+def code_items(domains: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(family, lower-case code) of every code of the domains; a code's place here plus 1 is its item number (0 is the outcome)."""
+    families = (("ccsr", "CCSR_CATEGORY"), ("drg", "DRG"), ("ccs", "CCS"))
+    return [(fam, c) for fam, kind in families for c in dict.fromkeys(d.lower() for d in domains[kind])]
+
+
+def tagged_items(spark: SparkSession, sf_dir: str, starts: Sequence[str], domains: dict[str, list[str]],
+                 windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """Items of the claim lines ``(party_id, sdate, item, v3, v6, v12)``: a line gives its diagnosis, procedure and DRG to every start
+    date whose look-back window (the 12 months before) holds it, and item 0 (its revenue) to those whose outcome window does.
+
+    Codes turn into item numbers on the code table, so joins, shuffles and aggregates carry numbers of fixed width. A line lands
+    in at most a handful of start dates; the candidates are a fixed list of CASE expressions, which stays in generated code.
     """
-    d = F.to_date(F.col("o_orderdate"))
+    numbers = {pair: i for i, pair in enumerate(code_items(domains), start=1)}
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("__ccsr"), F.col("p_brand").alias("__ccs"),
+                                            F.lpad(F.col("p_size").cast("string"), 3, "0").alias("__drg"))
+    for fam, kind in (("ccsr", "CCSR_CATEGORY"), ("ccs", "CCS"), ("drg", "DRG")):
+        codes = spark.createDataFrame([(c, numbers[fam, c.lower()]) for c in domains[kind]], f"__{fam} string, {fam} int")
+        p = p.join(F.broadcast(codes), f"__{fam}", "left").drop(f"__{fam}")  # the domains are schema-sized
     span = max(windows)
-    cands = []
-    for x in sorted(back):
-        s = F.to_date(F.lit(x))
-        cands.append(F.when((d >= F.add_months(s, -span)) & (d < s),
-                            F.struct(s.alias("sdate"), F.lit("back").alias("role"))))
-    for x in sorted(fwd):
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", (F.col("l_returnflag") == "R").alias("returned"),
+        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("revenue"))
+    o = table(spark, sf_dir, "orders").where(window_bounds(starts, span)).select(
+        "o_orderkey", F.col("o_custkey").alias("party_id"), F.to_date("o_orderdate").alias("d"))
+    d, cands = F.col("d"), []
+    for x in sorted(starts):
         s = F.to_date(F.lit(x))
-        cands.append(F.when((d >= s) & (d < F.add_months(s, span)),
-                            F.struct(s.alias("sdate"), F.lit("fwd").alias("role"))))
-    dates = window_bounds([*back, *fwd], span, back=bool(back), fwd=bool(fwd))
-    t = claim_lines(spark, sf_dir, dates).select("*", F.explode(F.array(*cands)).alias("__t")).where(F.col("__t").isNotNull())
-    sd = F.col("__t.sdate")
-    return t.select("party_id", "revenue", "l_quantity", "p_type", "p_brand",
-                    F.when(F.col("l_returnflag") == "R", F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("DRG"),
-                    sd.alias("sdate"), F.col("__t.role").alias("role"),
-                    *[(d >= F.add_months(sd, -m)).alias(f"w{m}") for m in windows if m != span])
+        cands += [F.when((d >= F.add_months(s, -span)) & (d < s), F.struct(s.alias("sdate"), F.lit(True).alias("back"))),
+                  F.when((d >= s) & (d < F.add_months(s, span)), F.struct(s.alias("sdate"), F.lit(False).alias("back")))]
+    # the join with the orders comes last, in tasks of a fixed number of lines: they also sum the items before the shuffle
+    coded = li.join(p, li.l_partkey == p.p_partkey).repartition(store_tasks(spark, sf_dir), "l_orderkey")
+    lines = coded.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    t = lines.select("party_id", "d", "revenue", "l_quantity", "ccsr", "ccs", F.when(F.col("returned"), F.col("drg")).alias("drg"),
+                     F.explode(F.array(*cands)).alias("__t")).where(F.col("__t").isNotNull())
+    t = t.select("*", F.col("__t.sdate").alias("sdate"), F.col("__t.back").alias("back"))
+    zero, one, rev = F.lit(0.0), F.lit(1.0), F.col("revenue").cast("double")
+    w3, w6 = (d >= F.add_months(F.col("sdate"), -m) for m in windows if m != span)
+
+    def item(number, v3, v6, v12):
+        return F.struct(number.alias("item"), v3.alias("v3"), v6.alias("v6"), v12.cast("double").alias("v12"))
+
+    back = F.array(item(F.col("ccsr"), F.when(w3, rev).otherwise(zero), F.when(w6, rev).otherwise(zero), rev),
+                   item(F.col("ccs"), F.when(w3, one).otherwise(zero), F.when(w6, one).otherwise(zero), one),
+                   item(F.col("drg"), zero, zero, F.col("l_quantity")))
+    fwd = F.array(item(F.lit(0), zero, zero, rev))
+    return t.select("party_id", "sdate", F.explode(F.when(F.col("back"), back).otherwise(fwd)).alias("i")) \
+            .select("party_id", "sdate", "i.*").where(F.col("item").isNotNull())
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,25 +266,60 @@ def panel(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
     code, so "any 12-month cell present" is the block's presence test. Only the
     order indicators read ``orders`` again.
     """
-    from riskpanel.operators.panel import pivot_long
     domains = domains or code_domains(spark, sf_dir)
-    names = feature_names(domains)
+    out = panel_values(spark, sf_dir, starts, domains)
+    return out.select(*PANEL_ROW, *[F.col("values")[i].alias(n) for i, n in enumerate(feature_names(domains))], "a_to_e_value", "fold")
+
+
+PANEL_ROW = ["party_id", "startdate", "plan", "state", "zip", "gender", "marketing_channel", "tobacco_usage_ind",
+             *[f"claims_{m}mos" for m in WINDOWS]]
+
+
+def panel_values(spark: SparkSession, sf_dir: str, starts: Sequence[str], domains: dict[str, list[str]]) -> DataFrame:
+    """The rows of :func:`panel` with their features as one array ``values``, in the order of :func:`feature_names`."""
     keys = ["party_id", "startdate"]
-    long, rows = claims_store(spark, sf_dir, starts, domains)
-    wide = pivot_long(long.where(F.col("feature") != "__actual"), keys, names)
-    flags = []
-    for fam, marker in (("ccsr", "ccsr_12mos_"), ("drg", "drg_los_"), ("ccs", "ccs_12mos_")):
-        cols = [F.col(f"`{n}`") for n in names if n.startswith(marker)]
-        flags.append((F.greatest(*cols) if len(cols) > 1 else cols[0]).isNotNull().alias(f"__has_{fam}"))
-    # presence flags in their own projection: each is evaluated once per row
-    wide = wide.select(*keys, *[F.col(f"`{n}`") for n in names], *flags)
-    cols = [F.when(F.col(f"__has_{n.split('_', 1)[0]}"), F.coalesce(F.col(f"`{n}`"), F.lit(0.0))).alias(n)
-            for n in names]
-    # the outcome rows come from the same store; the pivot is only joined to them
-    out = rows.join(wide.select(*keys, *cols), keys, "left").join(order_indicators(spark, sf_dir, starts), keys, "left")
-    pol = ["party_id", "startdate", "plan", "state", "zip", "gender", "marketing_channel", "tobacco_usage_ind",
-           *[f"claims_{m}mos" for m in WINDOWS]]
-    return out.select(*pol, *names, "a_to_e_value", "fold")
+    store = member_store(spark, sf_dir, starts, domains)
+    numbers = {pair: i for i, pair in enumerate(code_items(domains), start=1)}
+    at = {v: np.full(len(numbers) + 1, -1) for v in ("v3", "v6", "v12")}  # by item number: where its amount goes
+    families = {f: [] for f in ("ccsr", "drg", "ccs")}
+    for i, name in enumerate(feature_names(domains)):
+        fam, window, code = name.split("_", 2)
+        at[{"3mos": "v3", "6mos": "v6"}.get(window, "v12")][numbers[fam, code]] = i
+        families[fam].append(i)
+    # the outcome rows come from the same store; a row's few entries are spread over its array last
+    out = outcome_rows(spark, sf_dir, store, starts).join(order_indicators(spark, sf_dir, starts), keys, "left") \
+        .join(store.where("has_actual").drop("has_actual", "actual"), keys, "left")
+    out = out.select(*PANEL_ROW, "a_to_e_value", "fold", "has_ccsr", "has_drg", "has_ccs", "items")
+    schema = StructType([*out.schema.fields[:-4], StructField("values", ArrayType(DoubleType()))])
+    return out.mapInArrow(spreader(at, families, sum(map(len, families.values()))), schema)
+
+
+def spreader(at: dict[str, np.ndarray], families: dict[str, list[int]], size: int, most: int = 4_000_000):
+    """Rows with ``items`` and ``has_*`` marks -> the same rows with the dense array ``values``: amount ``v`` of an item goes to place ``at[v][item]``,
+    the other places are 0, those of a family that a row doesn't have are NULL. At most ``most`` places are made at a time."""
+    def spread(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for whole in batches:
+            step = max(most // max(size, 1), 1)
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                n, items = batch.num_rows, batch.column("items")
+                count = np.asarray(pc.fill_null(pc.list_value_length(items), 0))
+                flat, row = items.flatten(), np.repeat(np.arange(n), count)
+                item = np.asarray(flat.field("item"))
+                dense, none = np.zeros((n, size)), np.zeros((n, size), bool)
+                for v, place in at.items():
+                    amount = np.asarray(pc.fill_null(flat.field(v), 0.0))
+                    to = place[item]
+                    dense[row[to >= 0], to[to >= 0]] = amount[to >= 0]
+                for fam, places in families.items():
+                    has = np.asarray(pc.fill_null(batch.column(f"has_{fam}"), False))
+                    none[np.ix_(~has, places)] = True
+                values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(dense.ravel(), mask=none.ravel()))
+                keep = [c for c in batch.schema.names if c != "items" and c not in {f"has_{f}" for f in families}]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], values], names=[*keep, "values"])
+    return spread
 
 
 def panel_profile(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
@@ -275,61 +334,70 @@ def panel_profile(spark: SparkSession, sf_dir: str, by: str | None = None) -> Da
 
 
 def claims_store(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
-                 domains: dict[str, list[str]] | None = None,
-                 materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+                 domains: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """The long feature store and the outcome rows from ONE pass over the claim lines.
 
     Returns ``(long, rows)``. ``long(party_id, startdate, feature, value)``
     holds every 12-month cell of a claimed code and the non-zero 3/6-month
     cells (zeros implicit), plus one ``__actual`` entry per outcome;
     ``rows`` has one row per (member, start) with an outcome, its attributes,
-    ``a_to_e_value`` and ``fold``.
-
-    Each line becomes at most three items (diagnosis, procedure, DRG) carrying
-    its 3/6/12-month amounts; a code-generated partial aggregate sums them per
-    (member, start, kind, code), and the windows are unpivoted only after
-    that. With ``materialize`` the store is written once to the shared
-    checkpoint folder, so both outputs read it instead of re-running the pass.
+    ``a_to_e_value`` and ``fold``. Both read the same :func:`member_store`.
     """
-    from riskpanel.session import materialize as _mat
     domains = domains or code_domains(spark, sf_dir)
-    t = tagged_lines(spark, sf_dir, starts, starts)
-    rev, zero, one = F.col("revenue"), F.lit(0.0), F.lit(1.0)
-
-    def item(kind, code, v3, v6, v12):
-        return F.struct(F.lit(kind).alias("kind"), code.alias("code"), v3.alias("v3"), v6.alias("v6"),
-                        v12.cast("double").alias("v12"))
-
-    back = F.array(
-        item("ccsr", F.when(F.col("p_type").isin(domains["CCSR_CATEGORY"]), F.lower("p_type")),
-             F.when(F.col("w3"), rev).otherwise(zero), F.when(F.col("w6"), rev).otherwise(zero), rev),
-        item("ccs", F.when(F.col("p_brand").isin(domains["CCS"]), F.lower("p_brand")),
-             F.when(F.col("w3"), one).otherwise(zero), F.when(F.col("w6"), one).otherwise(zero), one),
-        item("drg", F.when(F.col("DRG").isin(domains["DRG"]), F.lower("DRG")), zero, zero, F.col("l_quantity")))
-    fwd = F.array(item("__actual", F.lit(""), zero, zero, rev))
-    e = (t.select("party_id", "sdate", F.explode(F.when(F.col("role") == "fwd", fwd).otherwise(back)).alias("i"))
-          .select("party_id", "sdate", "i.*").where(F.col("code").isNotNull()))
-    agg = e.groupBy("party_id", "sdate", "kind", "code").agg(
-        F.sum("v3").alias("v3"), F.sum("v6").alias("v6"), F.sum("v12").alias("v12"))
-
-    def cell(name, v):
-        return F.struct(name.alias("feature"), v.alias("value"))
-
-    k, c = F.col("kind"), F.col("code")
-    windows = lambda pre: F.array(*[cell(F.concat(F.lit(f"{pre}_{m}mos_"), c), F.col(f"v{m}"))
-                                    for m in WINDOWS])
-    cells = (F.when(k == "ccsr", windows("ccsr")).when(k == "ccs", windows("ccs"))
-              .when(k == "drg", F.array(cell(F.concat(F.lit("drg_los_"), c), F.col("v12"))))
-              .otherwise(F.array(cell(F.lit("__actual"), F.col("v12")))))
-    long = (agg.select("party_id", F.date_format("sdate", "yyyy-MM-dd").alias("startdate"),
-                       F.explode(cells).alias("x"))
-               .select("party_id", "startdate", "x.feature", "x.value")
-               .where((F.col("value") != 0) | ~F.col("feature").rlike("_(3|6)mos_")))
-    if materialize:
-        long = _mat(long, "claims_store")
-    outcome = (long.where(F.col("feature") == "__actual")
-                   .select("party_id", "startdate", F.col("value").alias("actual")))
-    return long, _with_outcome(spark, sf_dir, outcome, starts)
+    store = member_store(spark, sf_dir, starts, domains)
+    return store_long(store, domains), outcome_rows(spark, sf_dir, store, starts)
+
+
+#: Claim lines that one task of the store gathers: their number fixes the number of tasks, so a task keeps its size on larger tables.
+STORE_LINES = 500_000
+
+
+def member_store(spark: SparkSession, sf_dir: str, starts: Sequence[str], domains: dict[str, list[str]]) -> DataFrame:
+    """One row per (member, start date) with claims, written once to the shared checkpoint folder.
+
+    ``items`` lists the claimed codes (``item``, see :func:`code_items`) with their 3/6/12-month amounts; ``has_actual`` and ``actual``
+    are the outcome, ``has_ccsr``, ``has_drg`` and ``has_ccs`` tell whether a 12-month amount of the family is there. Lines
+    are summed by code first (partially before the shuffle, so a hot member is combined there); a row lists each code once.
+    """
+    from riskpanel.session import materialize
+    agg = tagged_items(spark, sf_dir, starts, domains).groupBy("party_id", "sdate", "item").agg(
+        *[F.sum(v).alias(v) for v in ("v3", "v6", "v12")])
+    item, first, has = F.col("item"), 1, []
+    for fam in ("ccsr", "drg", "ccs"):
+        last = first + sum(f == fam for f, _ in code_items(domains))
+        has.append(F.max((item >= first) & (item < last) & F.col("v12").isNotNull()).alias(f"has_{fam}"))
+        first = last
+    rows = agg.repartition(store_tasks(spark, sf_dir), "party_id", "sdate").groupBy("party_id", "sdate").agg(
+        F.collect_list(F.when(item > 0, F.struct("item", "v3", "v6", "v12"))).alias("items"),
+        F.max(item == 0).alias("has_actual"), F.max(F.when(item == 0, F.col("v12"))).alias("actual"), *has)
+    return materialize(rows.select("party_id", F.date_format("sdate", "yyyy-MM-dd").alias("startdate"), *rows.columns[2:]), "claims_store")
+
+
+def store_tasks(spark: SparkSession, sf_dir: str) -> int:
+    return max(-(-table(spark, sf_dir, "lineitem").count() // STORE_LINES), 1)
+
+
+def store_long(store: DataFrame, domains: dict[str, list[str]], carry: Sequence[str] = ()) -> DataFrame:
+    """The long form of :func:`member_store`, see :func:`claims_store`; ``carry``: further columns of ``store`` to keep."""
+    own = ["party_id", "startdate", *carry]
+    names = item_names(domains)
+    i = F.col("i.item")
+    named = [F.element_at(F.array(*[F.lit(n[w]).cast("string") for n in names]), i) for w in range(3)]
+    cells = F.array(*[F.struct(n.alias("feature"), F.col(f"i.{v}").alias("value"), F.lit(v == "v12").alias("whole"))
+                      for n, v in zip(named, ("v3", "v6", "v12"))])
+    long = store.select(*own, F.explode("items").alias("i")).select(*own, F.explode(cells).alias("x")).select(*own, "x.*") \
+        .where(F.col("feature").isNotNull() & (F.col("whole") | (F.col("value") != 0))).drop("whole")
+    return long.unionByName(store.where("has_actual").select(*own, F.lit("__actual").alias("feature"), F.col("actual").alias("value")))
+
+
+def item_names(domains: dict[str, list[str]]) -> list[tuple[str | None, str | None, str]]:
+    """Feature names of the items 1, 2, ... by window (3, 6 and 12 months; a DRG has one)."""
+    return [(None, None, f"drg_los_{c}") if fam == "drg" else tuple(f"{fam}_{m}mos_{c}" for m in WINDOWS)
+            for fam, c in code_items(domains)]
+
+
+def outcome_rows(spark: SparkSession, sf_dir: str, store: DataFrame, starts: Sequence[str]) -> DataFrame:
+    return _with_outcome(spark, sf_dir, store.where("has_actual").select("party_id", "startdate", "actual"), starts)
 
 
 def score_pairs(spark: SparkSession, sf_dir: str, starts: Sequence[str] = START_DATES,
