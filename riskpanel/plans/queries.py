@@ -95,9 +95,13 @@ FROM panel_long
 def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies ⟕ diagnosis ⟕ DRG ⟕ procedures ⋈ outcome for five start dates,
     checked in long form (U2 keeps the NULL cells of members without claims)."""
-    wide = proxy.panel(spark, sf_dir)
-    feats = [c for c in wide.columns if c not in PANEL_IDS]
-    return rounded(reshape.melt(wide, PANEL_IDS, feats, "feature", "value"))
+    domains = proxy.code_domains(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in proxy.feature_names(domains)])
+    rows = rounded(proxy.panel_values(spark, sf_dir, proxy.START_DATES, domains))
+    value = F.col("value")  # most cells are zeros, which rounding leaves alone
+    return rows.select(*PANEL_IDS, F.posexplode("values").alias("__i", "value")) \
+        .select(*PANEL_IDS, F.element_at(names, F.col("__i") + 1).alias("feature"),
+                F.when(value == 0, F.lit(0.0)).otherwise(F.round(value, 6)).alias("value"))
 
 
 @register("panel_wide", "E1 A1 J1 J2 P13")
