@@ -215,8 +215,9 @@ SELECT party_id, startdate, plan, NULL, NULL, round(a_to_e_value, 6) FROM ae{y[2
 """ for y in _YEARS[1:]))
 def stacked_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union by name of the yearly frames, the first of which has more columns
-    (missing -> NULL); each year's scan is pruned to its own dates."""
-    years = [proxy.a_to_e(spark, sf_dir, [y]) for y in proxy.START_DATES]
+    (missing -> NULL). The claim lines of all years are joined once; a year is a filter on the written outcomes."""
+    outcomes = proxy.a_to_e(spark, sf_dir)
+    years = [outcomes.where(F.col("startdate") == y) for y in proxy.START_DATES]
     slim = [y.select("party_id", "startdate", "plan", "a_to_e_value") for y in years[1:]]
     return rounded(panel_ops.stack([years[0], *slim]))
 
