@@ -30,7 +30,7 @@ def target_corr(long: DataFrame, rows: DataFrame, keys: Sequence[str], target: s
     stats = base.groupBy(*by).agg(F.count("__y").cast("double").alias("n"), F.avg("__y").alias("my"),
                                   (F.var_pop("__y") * F.count("__y")).alias("ssy"))
     x = F.col("value").cast("double")
-    sums = (long.select(*keys, "feature", "value").join(base.where(F.col("__y").isNotNull()), list(keys))
+    sums = (long.select(*keys, "feature", "value").where(F.col("feature").isin(list(features))).join(base.where(F.col("__y").isNotNull()), list(keys))
                 .where(F.col("value").isNotNull()).groupBy(*by, "feature")
                 .agg(F.count("value").cast("double").alias("n1"), F.avg(x).alias("mx1"),
                      (F.var_pop(x) * F.count("value")).alias("ssx1"), F.avg("__y").alias("my1"),
@@ -82,22 +82,26 @@ def cross_corr_by(long: DataFrame, keys: Sequence[str], by: str, selected: DataF
                   other_features: Sequence[str], n_rows: DataFrame, k: int = 15) -> DataFrame:
     """T4 per group ``by``, with a selection (by, feature) and a row count (by, n) of each group.
 
-    ``long`` holds ``by``. Values are taken less their feature's mean over the rows that hold it; the selected values
-    of a key are gathered into one list (never longer than the selection), so each row of the other family meets the selection
-    once, and sums are per (group, selected, other).
+    ``long`` holds ``by``. Values are taken less their feature's mean over the rows that hold it. The cells in use are written
+    once; those of a key are gathered into two lists by one shuffle (the selected ones, never longer than the selection,
+    and those of the other family), and sums are per (group, selected, other).
     """
     x = F.col("value").cast("double")
     cells = long.select(by, *keys, "feature", x.alias("value")).where("value IS NOT NULL")
-    used = cells.where(F.col("feature").startswith(other_prefix)).unionByName(
-        cells.where(~F.col("feature").startswith(other_prefix)).join(selected.select(by, "feature"), [by, "feature"], "left_semi"))
+    selected = materialize(selected.select(by, "feature"), "selected")
+    chosen = selected.distinct().withColumn("__own", F.lit(True))
+    family = F.col("feature").startswith(other_prefix)
+    used = cells.join(F.broadcast(chosen), [by, "feature"], "left").where(family | F.col("__own"))  # a selection is schema-sized
+    used = materialize(used, "feature_cells")
     means = materialize(used.groupBy(by, "feature").agg(F.avg("value").alias("at")), "feature_means")  # a row a group and feature
-    centred = cells.join(means, [by, "feature"]).withColumn("value", F.col("value") - F.col("at"))
+    centred = used.join(means, [by, "feature"]).withColumn("value", F.col("value") - F.col("at"))
     stats = materialize(centred.groupBy(by, "feature").agg(
         F.count("*").cast("double").alias("n1"), F.max("at").alias("at"), F.sum("value").alias("own"), F.sum(x * x).alias("sq")), "feature_moments")
-    own = centred.join(selected.select(by, "feature"), [by, "feature"], "left_semi") \
-        .groupBy(by, *keys).agg(F.collect_list(F.struct("feature", "value")).alias("__own"))
-    other = centred.where(F.col("feature").startswith(other_prefix)).withColumnRenamed("feature", "other")
-    both = other.join(own, [by, *keys]).select(by, "other", "value", F.explode("__own").alias("a"))
+    entry = F.struct("feature", "value")
+    lists = centred.dropna(subset=list(keys)).groupBy(by, *keys).agg(
+        F.collect_list(F.when(F.col("__own"), entry)).alias("__own"), F.collect_list(F.when(family, entry)).alias("__other"))
+    both = lists.where("size(__own) > 0").select(by, "__own", F.explode("__other").alias("b")) \
+        .select(by, F.col("b.feature").alias("other"), F.col("b.value").alias("value"), F.explode("__own").alias("a"))
     ab = both.groupBy(by, F.col("a.feature").alias("feature"), "other").agg(
         F.count("*").cast("double").alias("n_ab"), F.sum("a.value").alias("sum_a"), F.sum("value").alias("sum_b"),
         F.sum(F.col("value") * F.col("a.value")).alias("sum_ab"))

@@ -9,6 +9,7 @@ from riskpanel.operators import selection, store
 from riskpanel.plans import proxy
 from riskpanel.plans import sqlparts as S
 from riskpanel.plans.registry import register, rounded
+from riskpanel.session import materialize
 
 NULLABLE_CORR = "CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
 
@@ -126,12 +127,15 @@ def cross_corr_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     diagnosis (3-month) features most correlated with A/E (``cross_corr`` has the last fold)."""
     domains = proxy.code_domains(spark, sf_dir)
     names, keys = proxy.feature_names(domains), ["party_id", "startdate"]
-    long, rows = proxy.claims_store(spark, sf_dir, domains=domains)
-    rows = rows.select(*keys, "fold", "a_to_e_value")
-    corr = selection.target_corr(long, rows, keys, "a_to_e_value", [n for n in names if n.startswith("ccsr_3mos")], by=["fold"])
+    store = proxy.member_store(spark, sf_dir, proxy.START_DATES, domains)
+    rows = materialize(proxy.outcome_rows(spark, sf_dir, store, proxy.START_DATES).select(*keys, "fold", "a_to_e_value"), "outcome_rows")
+    # members' entries are joined to their fold together, before they are dealt out as cells
+    long = proxy.store_long(store.join(rows.select(*keys, "fold"), keys), domains, ["fold"])
+    family = F.col("feature").startswith("ccsr_3mos")
+    corr = selection.target_corr(long.where(family), rows, keys, "a_to_e_value", [n for n in names if n.startswith("ccsr_3mos")], by=["fold"])
     w = Window.partitionBy("fold").orderBy(F.abs("corr").desc_nulls_last(), F.col("feature"))
     top = corr.withColumn("__k", F.row_number().over(w)).where("__k <= 10").select("fold", "feature")
-    out = selection.cross_corr_by(long.select(*keys, "feature", "value").join(rows.select(*keys, "fold"), keys), keys, "fold", top,
+    out = selection.cross_corr_by(long.where(family | F.col("feature").startswith("ccs_")), keys, "fold", top,
                                   "ccs_", [n for n in names if n.startswith("ccs_")], rows.groupBy("fold").agg(F.count("*").alias("n")))
     return rounded(out.select("fold", "feature", "other", "corr", "abs_corr", F.col("rank").cast("int").alias("rank")))
 
