@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -22,8 +22,13 @@ from .common import held, ranges
 #: aren't single ones between other characters.
 ODD = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]" \
       r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
-#: Letters of Latin-1, perhaps with a comma or full stop after them.
-WORD = r"\A[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,]?\z"
+#: Letters of Latin-1, and the ASCII marks that may follow them. An apostrophe is none: 's and the like are pre-tokens.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: A chunk of a word: perhaps a line break or the sign of a text's first word, then letters, then perhaps marks.
+WORD = rf"\A[\n\x00]?[{LETTERS}]+[{re.escape(MARKS)}]*\z"
+#: What the cache holds of such a chunk.
+KEY = rf"\A\x00?[{LETTERS}]+\z"
 
 
 class ChunkEncoder:
@@ -40,75 +45,96 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = plain_specials
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.blanks, self.cache, self.model = blanks, cache, self.tokenizer.model
-        # how the library writes the letters of Latin-1 for its model, and the ids of what may stand after a word
-        letters = [c for c in map(chr, range(256)) if c.isalpha()]
-        self.spelt = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
-        self.beside = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ",."}
+        # how the library writes the letters of Latin-1 for its model, and a blank before them
+        self.spelt = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS})
         self.blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1] if blanks else ""
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() < 65536 else np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.lengths, self.again = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+
+    def _forget(self) -> None:
+        """Drop the keys that no batch has asked for again since the last time: most words of a large corpus occur once."""
+        kept = np.flatnonzero(self.again[:len(self.index)])
+        names, flat = list(self.index), self.flat[ranges(self.starts[kept], self.lengths[kept])]
+        self.index = {names[i]: j for j, i in enumerate(kept.tolist())}
+        self.flat[:len(flat)], self.used = flat, len(flat)
+        n = self.lengths[kept]
+        self.lengths[:len(kept)], self.starts[:len(kept)], self.again[:] = n, np.cumsum(n) - n, False
 
     def _text_of(self, key: str) -> str:
         """Keys of the cache: a word stands for itself after a blank, ``\\n`` + word for a line's first
-        word with the break before it, ``\\0`` + word for a text's first word."""
+        word with the break before it, ``\\0`` + word for one with nothing before it."""
         return key[1:] if key[:1] == "\x00" else " " + key if self.blanks and key[:1] != "\n" else key
 
-    def _learn(self, keys: list[str]) -> None:
-        """Add keys to the cache. Words of Latin-1 letters are always one pre-token, so the library's model gives their ids directly;
-        they are spelt as the library spells them for its model, all in one string."""
-        import pyarrow as pa
+    def _model_ids(self, words: list[str], before: str) -> list[list[int]]:
+        """Ids of words of letters by the library's model. They are spelt as the library spells them for it, all in one string."""
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(before + w)] for w in "\n".join(words).translate(self.spelt).split("\n")] if words else []
+
+    def _learn(self, keys) -> np.ndarray:
+        """Add an Arrow array of keys to the cache; their places in it. Words of Latin-1 letters are always one pre-token, so the
+        library's model gives their ids directly; those of ASCII alone are kept apart, since they are spelt faster."""
         import pyarrow.compute as pc
-        every = pa.array(keys, pa.string())
-        plain = pc.match_substring_regex(every, WORD).to_numpy(zero_copy_only=False)
-        words = every.take(pa.array(np.flatnonzero(plain))).to_pylist()
-        rest = [keys[i] for i in np.flatnonzero(~plain).tolist()]
-        tokenize, blank = self.model.tokenize, self.blank
-        got = [[t.id for t in tokenize(blank + w)] for w in "\n".join(words).translate(self.spelt).split("\n")] if words else []
-        got += [e.ids for e in self.tokenizer.encode_batch_fast([self._text_of(k) for k in rest], add_special_tokens=False)]
+        plain, bare, ascii_ = (x.to_numpy(zero_copy_only=False) for x in (
+            pc.match_substring_regex(keys, KEY), pc.starts_with(keys, "\x00"), pc.string_is_ascii(keys)))
+        kinds = [np.flatnonzero(k) for k in (plain & ~bare & ascii_, plain & ~bare & ~ascii_, plain & bare, ~plain)]
+        words = [_strings(keys.take(k)) for k in kinds]
+        got = self._model_ids(words[0], self.blank) + self._model_ids(words[1], self.blank) + self._model_ids([w[1:] for w in words[2]], "")
+        got += [e.ids for e in self.tokenizer.encode_batch_fast([self._text_of(k) for k in words[3]], add_special_tokens=False)]
+        names = list(chain.from_iterable(words))
         n = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter(chain.from_iterable(got), self.flat.dtype, int(n.sum()))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        first, last = len(self.index), len(self.index) + len(keys)
+        first, last = len(self.index), len(self.index) + len(names)
         while last > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.again))
         self.flat[self.used:self.used + len(ids)] = ids
         self.starts[first:last] = self.used + np.cumsum(n) - n
         self.lengths[first:last] = n
         self.used += len(ids)
-        self.index.update(zip(words + rest, range(first, last)))
+        self.index.update(zip(names, range(first, last)))
+        places = np.empty(len(names), np.int64)
+        places[np.concatenate(kinds)] = np.arange(first, last)
+        return places
 
     def _ids_of(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first, number) of an Arrow array of distinct chunks. A comma or full stop after a word of letters is a pre-token of
-        its own, so the cache has the word once, in lower case where the vocabulary folds case."""
+        """(ids, first, number) of an Arrow array of distinct chunks. A line break before a word of letters and marks after it are pre-tokens
+        of their own, so the cache has the word once, in lower case where the vocabulary folds case, and the marks once."""
         import pyarrow as pa
         import pyarrow.compute as pc
         plain = pc.match_substring_regex(words, WORD)
-        bare = pc.utf8_rtrim(words, characters=".,")
-        keys = pc.if_else(plain, bare if self.blanks else pc.utf8_lower(bare), words).dictionary_encode()
-        after = np.full(len(words), -1, np.int64)
-        for mark, token in self.beside.items():
-            after[pc.and_(plain, pc.ends_with(words, mark)).to_numpy(zero_copy_only=False)] = token
-        names = keys.dictionary.to_pylist()
+        bare = pc.utf8_rtrim(words, characters=MARKS)
+        marked = np.flatnonzero(pc.and_(plain, pc.not_equal(pc.binary_length(bare), pc.binary_length(words))).to_numpy(zero_copy_only=False))
+        marks = pc.binary_join_element_wise("\x00", pc.utf8_ltrim(words.take(pa.array(marked)), characters="\n\x00" + LETTERS), "")
+        if self.blanks:
+            broken = pc.and_(plain, pc.starts_with(words, "\n"))
+            bare = pc.if_else(broken, pc.replace_substring(bare, "\n", "\x00", max_replacements=1), bare)
+            broken = np.flatnonzero(broken.to_numpy(zero_copy_only=False))
+        else:
+            bare, broken = pc.utf8_lower(bare), marked[:0]
+        parts = [pc.if_else(plain, bare, words), marks, *[pa.array(["\n"])] * bool(len(broken))]
+        keys = pa.concat_arrays(parts).dictionary_encode()
         if len(self.index) > self.cache:
-            self.clear()
-        found = list(map(self.index.get, names))
-        if None in found:
-            self._learn([k for k, i in zip(names, found) if i is None])
-            found = list(map(self.index.get, names))
-        at = np.array(found, np.int64)[keys.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int64)
-        n = self.lengths[at]
-        whole = n + (after >= 0)
-        first = np.cumsum(whole) - whole
-        ids = np.zeros(int(whole.sum()), self.flat.dtype)
-        ids[ranges(first, n)] = self.flat[ranges(self.starts[at], n)]
-        marked = np.flatnonzero(after >= 0)
-        ids[(first + n)[marked]] = after[marked]
-        return ids, first, whole
+            self._forget()
+        found = np.fromiter(map(self.index.get, _strings(keys.dictionary), repeat(-1)), np.int64, len(keys.dictionary))
+        new = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
+        if len(new):
+            found[new] = self._learn(keys.dictionary.take(pa.array(new)))
+        at = found[keys.indices.to_numpy(zero_copy_only=False)]
+        # up to three pieces of a chunk, side by side: the line break, the word, the marks
+        place, n = np.zeros((len(words), 3), np.int64), np.zeros((len(words), 3), np.int64)
+        place[:, 1], place[marked, 2] = at[:len(words)], at[len(words):len(words) + len(marked)]
+        n[:, 1], n[marked, 2] = self.lengths[place[:, 1]], self.lengths[place[marked, 2]]
+        if len(broken):
+            place[broken, 0], n[broken, 0] = at[-1], self.lengths[at[-1]]
+        whole = n.sum(axis=1)
+        ids = self.flat[ranges(self.starts[place.ravel()], n.ravel())]
+        return ids, np.cumsum(whole) - whole, whole
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text). ``texts``: list
@@ -144,6 +170,11 @@ class ChunkEncoder:
         return ids, n
 
 
+def _strings(array) -> list[str]:
+    """The strings of an Arrow array, several times faster than its own to_pylist."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def encoder(path: str, blanks: bool, cache: int = 300_000) -> ChunkEncoder:
     """The worker's own encoder: its cache serves all tasks that this worker runs."""
     return held(f"encoder {path}", lambda: ChunkEncoder(path, blanks, cache))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -260,6 +261,29 @@ def test_chunked_ids_equal_the_librarys(spark, name, blanks):
             assert ids[e - k:e].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t[:40])
 
 
+@pytest.mark.parametrize("name, blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_learns_a_word_once_and_keeps_what_recurs(name, blanks):
+    from tokenizers import Tokenizer
+    plain, enc = Tokenizer.from_file(tokenizer(name)), tokens.ChunkEncoder(tokenizer(name), blanks, cache=50)
+    learned, learn = [], enc._learn
+    enc._learn = lambda keys: (learned.extend(keys if isinstance(keys, list) else keys.to_pylist()), learn(keys))[1]
+
+    def same(texts):
+        ids, n = enc.encode(texts)
+        for t, e, k in zip(texts, np.cumsum(n), n):
+            assert ids[e - k:e].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+    # one word after a blank, one with nothing before it, four sorts of marks, a line break
+    same(["x stra\u00dfe stra\u00dfe### stra\u00dfe.%%% stra\u00dfe,\nstra\u00dfe###\nstra\u00dfe", "stra\u00dfe,"])
+    assert sum("stra" in k for k in learned) == (2 if blanks else 1)
+    same(["it's a's' ###a a#b <a>: \u00aa\u00b5. \u00c9t\u00e9~ a\u0301, a.\u0301 Na\u00efve\\^`", "\nodd ", "...\n...", "a\n'a\n\u00df", "", "E.ON|[x]"])
+    rare = iter("".join(w) for w in itertools.product("abcdefghij", repeat=4))
+    for _ in range(40):
+        same(["x immer " + " ".join(itertools.islice(rare, 30)) + " immer!"])
+    assert learned.count("immer") <= 2  # once more if it was new when the cache was full
+    assert len(enc.index) < 150
+
+
 def test_wavelet_matrix_against_lists():
     rng = np.random.default_rng(1)
     for n in (0, 1, 63, 64, 65, 1000):
