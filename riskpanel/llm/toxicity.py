@@ -13,8 +13,9 @@ worst passage, so a few toxic words in a long text aren't averaged away. Trainin
 each text, the passage that scores highest at the moment is the one that is learned from.
 
 Training rows are bounded by ``max_train`` (a documented bound; rows are chosen by a hash of the
-id, a quarter of them of label 1); the model is a fixed-size table. Scoring covers
-every row and whole texts.
+id, a quarter of them of label 1); the model is a fixed-size table. They reach the driver a
+partition at a time and stay there as word numbers; n-grams and their sums are worked out in
+blocks. Scoring covers every row and whole texts.
 
 Defined results: a null or empty text has no words and scores the model's bias alone; a
 label that is null, or other than 0 and 1, isn't trained on; without both classes among
@@ -24,14 +25,14 @@ Repeated rows get equal scores. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, held, only, ranges, tidy
+from .common import binary_list, give_back, held, only, ranges, tidy
 
 #: Bytes that end a word besides white space.
 PUNCTUATION = b".,;:!?\"()[]{}|"
@@ -74,6 +75,32 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def _table_sums(table: np.ndarray, rows: np.ndarray, counts: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """``_sums(table[rows], counts)``, by the same additions, with ``block`` rows gathered at a time."""
+    ends = np.cumsum(counts)
+    total = np.zeros((len(counts) + 1, *table.shape[1:]))
+    last = total[:1]
+    for first in range(0, len(rows), block):
+        so_far = np.cumsum(np.concatenate([last, table[rows[first:first + block]]]), axis=0)
+        lo, hi = np.searchsorted(ends, [first, first + len(so_far) - 1], side="right")
+        total[lo + 1:hi + 1] = so_far[ends[lo:hi] - first]
+        last = so_far[-1:]
+    return total[1:] - total[:-1]
+
+
+def _vocabulary(texts: Iterable[bytes | None], buckets: int, block: int = 1 << 12) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(word numbers of each text, ``grams`` of the distinct words); only one text at a time is held."""
+    index: dict[bytes, int] = {}
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
+    words = list(index)
+    del index
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for first in range(0, len(words), block):
+        own, n = grams(words[first:first + block], buckets)
+        parts.append((own.astype(np.min_scalar_type(buckets - 1)), n))
+    return docs, np.concatenate([p[0] for p in parts[1:] or parts]), np.concatenate([p[1] for p in parts])
+
+
 @dataclass
 class Model:
     """``gram_logit``: what each n-gram bucket adds to the logit, the product of its
@@ -116,16 +143,16 @@ def window_starts(n: int, window: int) -> np.ndarray:
     return np.unique(np.append(np.arange(0, n - window + 1, window // 2), n - window))
 
 
-def train(texts: list[bytes | None], labels: list[int], buckets: int = 1 << 16, dim: int = 8, window: int = 16,
+def train(texts: Iterable[bytes | None], labels: list[int], buckets: int = 1 << 16, dim: int = 8, window: int = 16,
           epochs: int = 8, batch: int = 64, rate: float = 1.0, seed: int = 7, start: float = 1e-4, warm_up: int = 2) -> Model:
-    """Joint training of embeddings and softmax by Adagrad on the worst passage of each text."""
+    """Joint training of embeddings and softmax by Adagrad on the worst passage of each text.
+
+    ``texts`` is gone through once, before ``labels`` is looked at."""
+    docs, gram, n_grams = _vocabulary(texts, buckets)
     y = np.asarray(labels, float)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return Model(np.zeros(buckets), float(np.clip(np.log(share / (1 - share)) if 0 < share < 1 else 60 * (2 * share - 1), -60, 60)), window)
-    index: dict[bytes, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int64) for t in texts]
-    gram, n_grams = grams(list(index), buckets)
     gram_at = np.cumsum(n_grams) - n_grams
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (buckets, dim)) / dim
@@ -134,7 +161,7 @@ def train(texts: list[bytes | None], labels: list[int], buckets: int = 1 << 16,
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for epoch in range(epochs):
         # at first a text is one bag; then word logits under the present model choose its worst passage
-        logit = _sums((emb @ (w[:, 1] - w[:, 0]))[gram], n_grams) / np.maximum(n_grams, 1)
+        logit = _table_sums(emb @ (w[:, 1] - w[:, 0]), gram, n_grams) / np.maximum(n_grams, 1)
         chosen = []
         for d in docs:
             if epoch < warm_up:
@@ -152,7 +179,7 @@ def train(texts: list[bytes | None], labels: list[int], buckets: int = 1 << 16,
             uniq, inv = np.unique(ids, return_inverse=True)
             n = n_grams[uniq]
             rows = gram[ranges(gram_at[uniq], n)]
-            vec = _sums(emb[rows], n) / n[:, None] if len(uniq) else np.zeros((0, dim))
+            vec = _table_sums(emb, rows, n) / n[:, None] if len(uniq) else np.zeros((0, dim))
             hidden = _sums(vec[inv], counts) / places[:, None]
             z = hidden @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -168,9 +195,9 @@ def train(texts: list[bytes | None], labels: list[int], buckets: int = 1 << 16,
             per_word = np.zeros((len(uniq), dim))
             doc_of = np.repeat(np.arange(len(own)), counts)
             np.add.at(per_word, inv, (back / places[:, None])[doc_of])
-            per_gram = np.repeat(per_word / np.maximum(n, 1)[:, None], n, axis=0)
+            per_gram = per_word / np.maximum(n, 1)[:, None]
             touched, gi = np.unique(rows, return_inverse=True)
-            grad = np.stack([np.bincount(gi, per_gram[:, k], len(touched)) for k in range(dim)], axis=1)
+            grad = np.stack([np.bincount(gi, np.repeat(per_gram[:, k], n), len(touched)) for k in range(dim)], axis=1)
             emb_sq[touched] += (grad ** 2).mean(axis=1)
             emb[touched] -= rate * grad / np.sqrt(emb_sq[touched])[:, None]
     return Model(emb @ (w[:, 1] - w[:, 0]), float(b[1] - b[0]), window, emb, w)
@@ -192,9 +219,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, id_col: st
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **options) -> Model:
-    """Model from at most ``max_train`` labelled rows of ``docs``; those are all that reaches the driver."""
-    rows = training_rows(docs, labels, max_train).orderBy("id").collect()
-    return train([r["text"].encode() if r["text"] is not None else None for r in rows], [r["y"] for r in rows], **options)
+    """Model from at most ``max_train`` labelled rows of ``docs``; those are all that reaches the driver, a partition at a time."""
+    y: list[int] = []
+
+    def texts() -> Iterator[bytes | None]:
+        for r in training_rows(docs, labels, max_train).orderBy("id").toLocalIterator():
+            y.append(r["y"])
+            yield r["text"].encode() if r["text"] is not None else None
+
+    model = train(texts(), y, **options)
+    give_back()
+    return model
 
 
 def _scorer(df: DataFrame, model: Model):

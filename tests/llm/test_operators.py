@@ -191,6 +191,41 @@ def test_conflicting_labels_and_repeated_ids_have_one_result(spark):
         assert sorted((r.id, r.text, r.y) for r in got.collect()) == [(1, "a", 1), (2, "z", 0), (3, "c", 1)]
 
 
+def test_table_sums_are_the_sums_in_blocks():
+    rng = np.random.default_rng(3)
+    for counts in ([], [0], [0, 0, 3, 0, 4, 4, 0, 1, 9, 0], rng.integers(0, 6, 400)):
+        counts = np.array(counts, np.int64)
+        for shape in ((50,), (50, 3)):
+            table, rows = rng.normal(size=shape), rng.integers(0, 50, counts.sum()).astype(np.uint16)
+            for block in (1, 4, 7, 1 << 15):
+                assert np.array_equal(toxicity._table_sums(table, rows, counts, block), toxicity._sums(table[rows], counts))
+
+
+def test_toxicity_vocabulary_has_all_grams_in_blocks():
+    texts = [b"one two three", None, b"", b"two " + b"four" * 30 + b" a", b"three one"]
+    docs, gram, n = toxicity._vocabulary(iter(texts), 1 << 16, block=2)
+    assert [d.tolist() for d in docs] == [[0, 1, 2], [], [], [1, 3, 4], [2, 0]]
+    want, want_n = toxicity.grams([b"one", b"two", b"three", b"four" * 30, b"a"], 1 << 16)
+    assert np.array_equal(gram, want) and np.array_equal(n, want_n)
+    assert [len(x) for x in toxicity._vocabulary([None, b" "], 8)] == [2, 0, 0]
+
+
+def test_toxicity_training_holds_little_beside_its_words():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, (60_000, 12), dtype=np.uint8)
+    words = [x.tobytes() for x in letters]
+    texts = [b" ".join(words[i:i + 300]) for i in range(0, len(words), 300)]
+    del words, letters
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, [i % 4 == 0 for i in range(len(texts))], epochs=3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6, peak  # 60,000 words of 33 n-grams; gathered in one go they took 211 MB
+
+
 def test_toxicity_query_is_shaped_by_the_contract(spark):
     rows = QUERIES["op4_toxicity"][0](spark, SF_SMALL).collect()
     assert len(rows) == 200
