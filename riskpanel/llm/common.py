@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskpanel.session import materialize
 
-__all__ = ["materialize", "read", "only", "binary_list", "held", "give_back", "tidy", "partitions", "ranges"]
+__all__ = ["materialize", "read", "only", "binary_values", "held", "give_back", "tidy", "partitions", "ranges"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +23,12 @@ def only(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in cols.items()])
 
 
-def binary_list(batch, name: str) -> list:
-    """A string column of an Arrow batch as UTF-8 bytes (null: None)."""
+def binary_values(batch, name: str, rows: int = 256) -> Iterator[bytes | None]:
+    """A string column of an Arrow batch as UTF-8 bytes (null: None); of ``rows`` rows at a time there is a copy."""
     import pyarrow as pa
-    return batch.column(name).cast(pa.large_binary()).to_pylist()
+    column = batch.column(name)
+    for first in range(0, len(column), rows):
+        yield from column.slice(first, rows).cast(pa.large_binary()).to_pylist()
 
 
 _held: dict = {}

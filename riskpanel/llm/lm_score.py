@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, materialize, only, partitions
+from .common import binary_values, materialize, only, partitions
 
 BUCKET_GRAMS = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +95,7 @@ def blocks(docs: DataFrame, block_tokens: int, id_col: str, text_col: str) -> Da
         id_type = None
         for b in batches:
             id_type = b.schema.field("id").type
-            for key, text in zip(b.column("id").to_pylist(), binary_list(b, "text")):
+            for key, text in zip(b.column("id").to_pylist(), binary_values(b, "text")):
                 words = (text or b"").lower().split()
                 for w in set(words):
                     index.setdefault(w, len(index))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, only
+from .common import binary_values, only
 
 #: Frequent short words of the corpus languages (fixed values).
 STOP_WORDS = frozenset("the be to of and that have with is in it for der die und das ist mit von zu le la les de des et est "
@@ -77,7 +77,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator):
         import pyarrow as pa
         for b in batches:
-            rows = np.array([measure(t) for t in binary_list(b, "text")], np.int64).reshape(-1, len(STATS))
+            rows = np.array([measure(t) for t in binary_values(b, "text")], np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, rows.T)], names=["id", *STATS])
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, " + ", ".join(f"{s} long" for s in STATS))

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, held, materialize, only, tidy
+from .common import binary_values, held, materialize, only, tidy
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
         held("simhash", dict)
         for b in batches:
-            fps = np.array([simhash(shingle_hashes(t, shingle)) for t in binary_list(b, "text")], np.uint64)
+            fps = np.array([simhash(shingle_hashes(t, shingle)) for t in binary_values(b, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     return src.mapInArrow(tidy(run), f"id {src.schema['id'].dataType.simpleString()}, fp long")

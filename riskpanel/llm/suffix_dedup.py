@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import binary_list, held, materialize, only, ranges, tidy
+from .common import binary_values, held, materialize, only, ranges, tidy
 
 ANCHOR, STRETCH, GROUP_BYTES = 40, 16, 1_000_000
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
@@ -134,7 +134,7 @@ def prepare(docs: DataFrame, text_col: str) -> DataFrame:
         from zstandard import ZstdCompressor
         pack = ZstdCompressor(level=3).compress
         for b in batches:
-            z = pa.array([None if t is None else pack(t) for t in binary_list(b, "z")], pa.binary())
+            z = pa.array([None if t is None else pack(t) for t in binary_values(b, "z")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), z], names=[*others, "z"])
 
     schema = StructType([src.schema[c] for c in others]).add("z", "binary")

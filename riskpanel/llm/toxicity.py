@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, give_back, held, only, ranges, tidy
+from .common import binary_values, give_back, held, only, ranges, tidy
 
 #: Bytes that end a word besides white space.
 PUNCTUATION = b".,;:!?\"()[]{}|"
@@ -269,7 +269,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
         score = start()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([score(t) for t in binary_list(b, "text")], pa.float64())],
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([score(t) for t in binary_values(b, "text")], pa.float64())],
                                              names=["id", "score"])
 
     return src.mapInArrow(tidy(run), f"id {src.schema['id'].dataType.simpleString()}, score double")
@@ -283,6 +283,6 @@ def clean(docs: DataFrame, model: Model, threshold: float, text_col: str = "text
         import pyarrow as pa
         score = start()
         for b in batches:
-            yield b.filter(pa.array([score(t) < threshold for t in binary_list(b, text_col)], pa.bool_()))
+            yield b.filter(pa.array([score(t) < threshold for t in binary_values(b, text_col)], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

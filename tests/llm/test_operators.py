@@ -191,6 +191,27 @@ def test_conflicting_labels_and_repeated_ids_have_one_result(spark):
         assert sorted((r.id, r.text, r.y) for r in got.collect()) == [(1, "a", 1), (2, "z", 0), (3, "c", 1)]
 
 
+def test_texts_leave_an_arrow_batch_a_few_rows_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    from riskpanel.llm.common import binary_values
+    texts = ["é", None, "", "b" * 300, "c\x00"] * 103
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], names=["t"])
+        want = [None if t is None else t.encode() for t in texts]
+        assert list(binary_values(batch, "t")) == want and list(binary_values(batch.slice(3, 7), "t", 2)) == want[3:10]
+        assert list(binary_values(batch.slice(0, 0), "t")) == []
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 4000] * 4000)], names=["t"])
+    tracemalloc.start()
+    try:
+        assert sum(map(len, binary_values(batch, "t"))) == 16_000_000
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4e6, peak  # 16 MB as one list
+
+
 def test_table_sums_are_the_sums_in_blocks():
     rng = np.random.default_rng(3)
     for counts in ([], [0], [0, 0, 3, 0, 4, 4, 0, 1, 9, 0], rng.integers(0, 6, 400)):
