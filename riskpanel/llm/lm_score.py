@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, materialize, only, partitions
+from .common import binary_values, materialize, only, partitions, tidy
 
 BUCKET_GRAMS = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +110,7 @@ def blocks(docs: DataFrame, block_tokens: int, id_col: str, text_col: str) -> Da
             yield emit()
 
     kind = src.schema["id"].dataType.simpleString()
-    rows = src.mapInArrow(run, f"ids array<{kind}>, sizes array<long>, words binary, rank binary, tokens binary")
+    rows = src.mapInArrow(tidy(run), f"ids array<{kind}>, sizes array<long>, words binary, rank binary, tokens binary")
     return materialize(rows.withColumn("block", F.monotonically_increasing_id()), "lm_blocks")
 
 
@@ -165,7 +165,7 @@ def exploded(blocked: DataFrame, order: int, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                         zip(*rows[at:at + 256]), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "grams", "times"])
 
-    return blocked.select("block", "sizes", "words", "rank", "tokens").mapInArrow(run, "bucket int, block long, grams binary, times binary")
+    return blocked.select("block", "sizes", "words", "rank", "tokens").mapInArrow(tidy(run), "bucket int, block long, grams binary, times binary")
 
 
 def counted(grams: DataFrame, min_count: int, buckets: int) -> DataFrame:
@@ -196,7 +196,7 @@ def counted(grams: DataFrame, min_count: int, buckets: int) -> DataFrame:
         if held:
             yield from joined(bucket, held)
 
-    return grams.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, counts binary")
+    return grams.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "block long, bucket int, counts binary")
 
 
 def backoff_scores(grams: list[np.ndarray], counts: list[np.ndarray], total: int, backoff: float) -> np.ndarray:
@@ -212,6 +212,18 @@ def backoff_scores(grams: list[np.ndarray], counts: list[np.ndarray], total: int
     return score
 
 
+def _counts_of(grams: np.ndarray, uniq: np.ndarray, table: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """``table``'s counts of n-grams found in ``uniq``, 0 for those that are 0. They are searched in order of their
+    first bits (a radix sort), so that a search finds its part of ``uniq`` in the processor's cache."""
+    out = np.empty(len(grams), np.int64)
+    for first in range(0, len(grams), step):
+        own = grams[first:first + step]
+        order = np.argsort((own >> np.uint64(40)).astype(np.uint16), kind="stable")
+        own = own[order]
+        out[first + order] = np.where(own != 0, table[np.minimum(np.searchsorted(uniq, own), len(uniq) - 1)], 0)
+    return out
+
+
 def _looked_up(grams: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
     """The corpus count of the n-gram that ends at each token, per n; ``found`` has those of the
     block's sorted distinct n-grams, by bucket."""
@@ -221,8 +233,7 @@ def _looked_up(grams: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndar
     table = np.concatenate(found) if found else np.zeros(0, np.int64)
     if len(table) != len(uniq):
         raise ValueError("a block's n-grams and their counts differ in number")
-    return [np.where(g != 0, table[np.minimum(np.searchsorted(uniq, g), max(len(uniq) - 1, 0))], 0) if len(uniq)
-            else np.zeros(0, np.int64) for g in grams]
+    return [_counts_of(g, uniq, table) for g in grams]
 
 
 def score(docs: DataFrame, order: int = 3, min_count: int = 1, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text",
@@ -258,4 +269,4 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 1, backoff: float =
 
     kind = blocked.schema["ids"].dataType.elementType.simpleString()
     return blocked.join(per_block, "block", "left").select("ids", "sizes", "words", "rank", "tokens", "counts") \
-        .mapInArrow(run, f"id {kind}, n_tokens long, log_score double, perplexity double")
+        .mapInArrow(tidy(run), f"id {kind}, n_tokens long, log_score double, perplexity double")
