@@ -343,9 +343,10 @@ def repeated_ranges(prepared: DataFrame, length: int = 200, crowded: int = 5000)
     contents = contents.join(kinds, "anchor")
     wanted = contents.filter("kinds > 1").groupBy("row").agg(F.collect_list(F.struct(
         "anchor", "content", "start", "n", "lead", (F.col("kinds") > crowded).alias("crowded"))).alias("wanted"))
-    raw = prepared.select("row", "z").join(wanted, "row").select("z", "wanted").mapInArrow(
-        tidy(_fetch(length)), "anchor long, content long, n int, lead int, crowded boolean, bytes binary")
-    dealt = raw.mapInArrow(tidy(_cut_crowded(length)), "g1 long, g2 long, content long, shift int, n int, crowded boolean, same long, bytes binary")
+    fetch, cut = _fetch(length), _cut_crowded(length)
+    # one step after the other in one Python worker: two operators of one task would have a worker each, and idle ones keep memory
+    dealt = prepared.select("row", "z").join(wanted, "row").select("z", "wanted").mapInArrow(
+        tidy(lambda batches: cut(fetch(batches))), "g1 long, g2 long, content long, shift int, n int, crowded boolean, same long, bytes binary")
     if kinds.filter(F.col("kinds") > crowded).isEmpty():
         partly = _compared(dealt, length)
     else:

@@ -464,6 +464,22 @@ def test_refine_depth():
     assert ids[0] == ids[1] == ids[2] >= 0 and ids[3] == -1
 
 
+def test_a_suffix_task_needs_one_python_worker(spark, monkeypatch):
+    """No stage has two Python operators: each would keep a worker of the executor, and its memory, in every task."""
+    docs = spark.createDataFrame([(i, f"text {i} " + "repeated words " * (20 + i)) for i in range(6)], "doc_id long, text string")
+    plans, write = [], suffix_dedup.materialize
+
+    def recorded(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(suffix_dedup, "materialize", recorded)
+    for crowded in (5000, 1):
+        plans.append(suffix_dedup.strip_repeats(docs, crowded=crowded)._jdf.queryExecution().optimizedPlan().toString())
+    stages = [s for plan in plans for s in re.split(r"Repartition|Join|Aggregate|Union|Relation", plan)]
+    assert sum(s.count("MapInArrow") for s in stages) > 6 and all(s.count("MapInArrow") <= 1 for s in stages)
+
+
 # 8 decontamination
 
 def test_masks_are_lossless():
